@@ -5,17 +5,24 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import secret_scan
-from .common import documents
+from . import language_id, secret_scan
+from .common import documents, held_out
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.find_secrets(documents(spark, sf_dir)))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = language_id.fit(docs, ~held_out("doc_id"))
+    return language_id.predict(docs, model).withColumn("held_out", held_out("doc_id")).select("doc_id", "held_out", "lang_pred", F.col("score"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_secret_scan": op9_secret_scan}
+    return {"op10_language_id": op10_language_id, "op9_secret_scan": op9_secret_scan}
 
 
 def oracle_sql() -> dict[str, str]:
