@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, secret_scan
+from . import language_id, quality, secret_scan
 from .common import documents, held_out
 
 
@@ -15,6 +15,12 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.find_secrets(documents(spark, sf_dir)))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scores = quality.predict(docs, quality.fit(docs, labels, lambda c: ~held_out(c)))
+    return scores.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = language_id.fit(docs, ~held_out("doc_id"))
@@ -22,7 +28,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_language_id": op10_language_id, "op9_secret_scan": op9_secret_scan}
+    return {"op2_quality": op2_quality, "op10_language_id": op10_language_id, "op9_secret_scan": op9_secret_scan}
 
 
 def oracle_sql() -> dict[str, str]:
