@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, language_id, quality, secret_scan
+from . import chat_format, language_id, pii_votes, quality, secret_scan
 from .common import documents, held_out
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_votes.digest(pii_votes.find_personal_data(documents(spark, sf_dir)))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     talks = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -35,7 +39,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_quality": op2_quality, "op10_language_id": op10_language_id, "op6_chat_format": op6_chat_format, "op9_secret_scan": op9_secret_scan}
+    return {"op2_quality": op2_quality, "op10_language_id": op10_language_id, "op4_pii": op4_pii, "op6_chat_format": op6_chat_format, "op9_secret_scan": op9_secret_scan}
 
 
 def oracle_sql() -> dict[str, str]:
