@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, language_id, pii_votes, quality, secret_scan
+from . import chat_format, language_id, mixing, pii_votes, quality, secret_scan
 from .common import documents, held_out
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", mixing.domain(F.col("source")).alias("domain"), "lang", "source")
+    taken = mixing.mix(docs, mixing.weight_table(docs), mixing.LEVELS)
+    return taken.select("doc_id", "domain", "lang", "source", F.col("m_tokens").alias("n_tokens"), F.col("m_epoch").alias("epoch"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_votes.digest(pii_votes.find_personal_data(documents(spark, sf_dir)))
 
@@ -39,8 +45,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_quality": op2_quality, "op10_language_id": op10_language_id, "op4_pii": op4_pii, "op6_chat_format": op6_chat_format, "op9_secret_scan": op9_secret_scan}
+    return {"op2_quality": op2_quality, "op10_language_id": op10_language_id, "op3_mixing": op3_mixing, "op4_pii": op4_pii, "op6_chat_format": op6_chat_format, "op9_secret_scan": op9_secret_scan}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat_format": chat_format.ORACLE}
+    return {"op3_mixing": mixing.oracle(), "op6_chat_format": chat_format.ORACLE}
