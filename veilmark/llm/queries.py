@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, language_id, mixing, pii_votes, quality, secret_scan
+from . import chat_format, embedding_dedup, language_id, mixing, pii_votes, quality, secret_scan
 from .common import documents, held_out
 
 
@@ -28,6 +28,10 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.format_windows(talks.unionByName(own)))
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.find_links(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.find_secrets(documents(spark, sf_dir)))
 
@@ -45,7 +49,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_quality": op2_quality, "op10_language_id": op10_language_id, "op3_mixing": op3_mixing, "op4_pii": op4_pii, "op6_chat_format": op6_chat_format, "op9_secret_scan": op9_secret_scan}
+    return {"op2_quality": op2_quality, "op10_language_id": op10_language_id, "op3_mixing": op3_mixing, "op4_pii": op4_pii, "op6_chat_format": op6_chat_format, "op8_embedding_dedup": op8_embedding_dedup, "op9_secret_scan": op9_secret_scan}
 
 
 def oracle_sql() -> dict[str, str]:
