@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, embedding_dedup, language_id, mixing, pii_votes, quality, secret_scan
+from . import chat_format, decontamination, embedding_dedup, language_id, mixing, pii_votes, quality, secret_scan, substring_dedup
 from .common import documents, held_out
 
 
@@ -21,6 +21,11 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_votes.digest(pii_votes.find_personal_data(documents(spark, sf_dir)))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("doc_id", "contaminated", F.sort_array(F.array_distinct(F.transform("leaks", lambda x: x["item"].cast("bigint")))).alias("items"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     talks = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -36,6 +41,10 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.find_secrets(documents(spark, sf_dir)))
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(documents(spark, sf_dir))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     scores = quality.predict(docs, quality.fit(docs, labels, lambda c: ~held_out(c)))
@@ -49,7 +58,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_quality": op2_quality, "op10_language_id": op10_language_id, "op3_mixing": op3_mixing, "op4_pii": op4_pii, "op6_chat_format": op6_chat_format, "op8_embedding_dedup": op8_embedding_dedup, "op9_secret_scan": op9_secret_scan}
+    return {"op1_substring_dedup": op1_substring_dedup, "op2_quality": op2_quality, "op10_language_id": op10_language_id, "op3_mixing": op3_mixing, "op4_pii": op4_pii, "op5_decontamination": op5_decontamination, "op6_chat_format": op6_chat_format, "op8_embedding_dedup": op8_embedding_dedup, "op9_secret_scan": op9_secret_scan}
 
 
 def oracle_sql() -> dict[str, str]:

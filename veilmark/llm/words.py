@@ -48,13 +48,17 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, starts
 
 
-def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+#: Space and all ASCII that is neither letter nor digit.
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
+def words(column: pa.Array, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash of each word, first word of each text with the total at the end, bytes, start byte and end byte of each word).
 
-    Words are runs of bytes other than space and 0x09-0x0D; A-Z counts as a-z. A null text has no words.
+    Words are runs of bytes outside `gaps`, by default space and 0x09-0x0D; A-Z counts as a-z. A null text has none.
     """
     data, starts = text_bytes(column)
-    gap = _SPACE[data]
+    gap = gaps[data]
     edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
     if len(data) and not gap[0]:
         edge = np.concatenate([[0], edge])
