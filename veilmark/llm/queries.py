@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, embedding_dedup, language_id, mixing, pii_votes, quality, secret_scan, substring_dedup
+from . import chat_format, decontamination, embedding_dedup, language_id, mixing, ngram_join, pii_votes, quality, secret_scan, substring_dedup
 from .common import documents, held_out
 
 
@@ -33,6 +33,10 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.format_windows(talks.unionByName(own)))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(documents(spark, sf_dir), n=4, hundredths=85)
+
+
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.find_links(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -58,7 +62,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_substring_dedup": op1_substring_dedup, "op2_quality": op2_quality, "op10_language_id": op10_language_id, "op3_mixing": op3_mixing, "op4_pii": op4_pii, "op5_decontamination": op5_decontamination, "op6_chat_format": op6_chat_format, "op8_embedding_dedup": op8_embedding_dedup, "op9_secret_scan": op9_secret_scan}
+    return {"op1_substring_dedup": op1_substring_dedup, "op2_quality": op2_quality, "op10_language_id": op10_language_id, "op3_mixing": op3_mixing, "op4_pii": op4_pii, "op5_decontamination": op5_decontamination, "op6_chat_format": op6_chat_format, "op7_ngram_join": op7_ngram_join, "op8_embedding_dedup": op8_embedding_dedup, "op9_secret_scan": op9_secret_scan}
 
 
 def oracle_sql() -> dict[str, str]:

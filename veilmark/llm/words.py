@@ -17,6 +17,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+_STEPS = np.arange(1, 17, dtype=np.uint64) * _ODD
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _ODD)
@@ -80,16 +81,16 @@ def shingles(hashes: np.ndarray, at: np.ndarray, n: int) -> list[np.ndarray]:
     """For each text the sorted distinct hashes of its runs of n words; a shorter text has one, of all its words."""
     runs = np.zeros(max(0, len(hashes) - n + 1), dtype=np.uint64)
     for k in range(n):
-        runs = mix(runs + hashes[k : len(hashes) - n + 1 + k] + U(k + 1) * _ODD)
+        runs = mix(runs + hashes[k : len(hashes) - n + 1 + k] + _STEPS[k % len(_STEPS)])
     out = []
     for a, b in zip(at[:-1], at[1:], strict=True):
         if b - a >= n:
             out.append(np.unique(runs[a : b - n + 1]))
         elif b > a:
-            whole = U(b - a)
+            whole = np.array([b - a], dtype=np.uint64)
             for k in range(a, b):
-                whole = mix(np.atleast_1d(whole + hashes[k] + _ODD))[0]
-            out.append(np.array([whole], dtype=np.uint64))
+                whole = mix(whole + hashes[k : k + 1] + _ODD)
+            out.append(whole)
         else:
             out.append(np.empty(0, dtype=np.uint64))
     return out
