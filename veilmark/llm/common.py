@@ -97,6 +97,20 @@ def texts_of(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+def add_columns(df: DataFrame, text: str, added: T.StructType | str, work: Callable[[pa.Array], dict], size: int = SLICE_BYTES) -> DataFrame:
+    """`df` with further columns that `work` makes of its text column, row by row and in place."""
+    more = added if isinstance(added, T.StructType) else T._parse_datatype_string(added)
+    if clash := {f.name for f in more} & {*df.columns}:
+        df = df.drop(*clash)
+    inner = df.withColumn("v_text", F.col(text).cast("string"))
+    names = df.columns
+
+    def all_columns(part: pa.RecordBatch) -> dict:
+        return {n: part.column(i) for i, n in enumerate(names)} | work(part.column(len(names)))
+
+    return map_slices(inner, "v_text", T.StructType([*df.schema.fields, *more.fields]), all_columns, size)
+
+
 def map_slices(df: DataFrame, text: str, schema: T.StructType | str, work: Callable[[pa.RecordBatch], dict | None], size: int = SLICE_BYTES) -> DataFrame:
     """mapInArrow over slices; `work` returns the columns of the result by name."""
     kind = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)

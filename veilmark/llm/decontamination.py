@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices
+from .common import add_columns
 from .words import PUNCTUATION, U, mix, words
 
 #: 1: the word counts, 0: any word. Five words each.
@@ -126,25 +126,39 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str) -> list[Table]:
     return [*out, *([table(items, texts)] if items else [])]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: int = 8, share: float = 0.8) -> DataFrame:
-    """One row per row of `docs`: the id, `contaminated`, and `leaks`, the stretches (item, start and end word, words that agree).
+def with_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: int = 8, share: float = 0.8) -> DataFrame:
+    """`docs` with `leaks`, the stretches (item, start and end word, words that agree) that each text shares with items.
 
     A stretch is a leak where at least `least` words agree, or `share` of a shorter item, and they are at least `share`
     of the stretch. Words are runs of letters and digits, ASCII letters in either case. Null and empty texts and items
-    hold nothing, a repeated item counts as items of their own, repeated rows each get their row, an empty table on
-    either side gives no leaks, and further columns are not read.
+    hold nothing, a repeated item counts as items of their own, repeated rows stay repeated, an empty table on either
+    side gives no leaks, and a column `leaks` is replaced.
     """
     spark = docs.sparkSession
+    form = "array<struct<item:string,start:bigint,end:bigint,agree:bigint>>"
     span = pa.list_(pa.struct([("item", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("agree", pa.int64())]))
-    kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.array().cast("array<struct<item:string,start:bigint,end:bigint,agree:bigint>>").alias("leaks"))
-    for block in blocks(benchmark, item_col, item_text):
-        shared = spark.sparkContext.broadcast(block)  # BLOCK_WORDS words
-
-        def work(part: pa.RecordBatch, shared=shared) -> dict:
-            hashes, at, *_ = words(part.column(1), PUNCTUATION)
-            more = leaks(hashes, at, shared.value, least, share)
-            return {"id": part.column(0), "text": part.column(1), "leaks": pa.array([[*a, *b] for a, b in zip(part.column(2).to_pylist(), more, strict=True)], type=span)}
-
-        out = map_slices(out, "text", f"id {kind}, text string, leaks array<struct<item:string,start:bigint,end:bigint,agree:bigint>>", work)
-    return out.select(F.col("id").alias(id_col), (F.size("leaks") > 0).alias("contaminated"), "leaks")
+
+    def lookup(name, shared):
+        def work(column: pa.Array) -> dict:
+            hashes, at, *_ = words(column, PUNCTUATION)
+            return {name: pa.array(leaks(hashes, at, shared.value, least, share), type=span)}
+
+        return work
+
+    out, names = docs.drop("leaks"), []
+    for k, block in enumerate(blocks(benchmark, item_col, item_text)):
+        name = f"v_leaks_{k}"
+        out = add_columns(out, text_col, f"{name} {form}", lookup(name, spark.sparkContext.broadcast(block)))  # BLOCK_WORDS words
+        names.append(name)
+    return out.withColumn("leaks", F.concat(*names) if names else F.array().cast(form)).drop(*names)
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row per row of `docs`: the id, `contaminated`, and `leaks` as in with_leaks; further columns are not read."""
+    found = with_leaks(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), benchmark, **options)
+    return found.select(F.col("id").alias(id_col), (F.size("leaks") > 0).alias("contaminated"), "leaks")
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """The rows of `docs` whose text holds no leak."""
+    return with_leaks(docs, benchmark, text_col, **options).where(F.size("leaks") == 0).select(*docs.columns)

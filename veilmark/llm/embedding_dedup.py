@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import drop_written, written
 from .components import components
 
 #: Vectors in a tile, at most twice as many.
@@ -207,6 +207,7 @@ def find_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
         yield pa.RecordBatch.from_arrays([pa.array(every[kept[:, 0]]), pa.array(every[kept[:, 1]]), pa.array([None] * len(kept), pa.int64())], names=["a", "b", "n"])
 
     found = written(work.mapInArrow(run, "a bigint, b bigint, n bigint"), "links")
+    drop_written(tiles)
     groups = components(found.where("b IS NOT NULL").select("a", "b")).withColumnRenamed("id", "g_id")
     counts = found.where("b IS NULL").groupBy(F.col("a").alias("l_id")).agg(F.sum("n").alias("others"))
     classes = classes.select(F.col("label").alias("c_label"), F.col("same").alias("c_same"), F.col("id").alias("c_id"), F.col("n").alias("c_n"))

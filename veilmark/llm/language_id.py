@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chosen, map_slices, slices, texts_of
+from .common import add_columns, chosen, map_slices, slices, texts_of
 
 UNKNOWN = "und"
 COLUMNS = 1 << 15
@@ -161,18 +161,18 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     return Model(languages, weights, idf, temperature(np.array(rest).reshape(len(rest), len(languages)), labels[~seen]))
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of `docs`: the id, `lang_pred` and `score`, the calibrated probability of that language.
+def predict_rows(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """`docs` with `lang_pred` and `lang_score`, the calibrated probability of that language.
 
     A null text, one without a letter, and any text under a model without languages is `und` with score 1. Repeated
-    rows each get their row, an empty table gives none, equal probabilities go to the first language by name, and
-    further columns are not read.
+    rows stay repeated, an empty table stays empty, equal probabilities go to the first language by name, and columns of
+    the two names are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # COLUMNS by the number of languages
 
-    def work(part: pa.RecordBatch) -> dict:
+    def work(column: pa.Array) -> dict:
         m = shared.value
-        found, some = grams(texts_of(part.column(1)))
+        found, some = grams(texts_of(column))
         names, scores = [UNKNOWN] * len(found), np.ones(len(found))
         if m.languages:
             for i, (columns, x) in enumerate(rows(found, m.idf)):
@@ -182,8 +182,12 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                     p /= p.sum()
                     k = int(p.argmax())
                     names[i], scores[i] = m.languages[k], min(1.0, float(p[k]))
-        return {"id": part.column(0), "lang_pred": pa.array(names), "score": pa.array(scores)}
+        return {"lang_pred": pa.array(names, pa.string()), "lang_score": pa.array(scores)}
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    inner = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return map_slices(inner, "text", f"id {kind}, lang_pred string, score double", work).withColumnRenamed("id", id_col)
+    return add_columns(docs, text_col, "lang_pred string, lang_score double", work)
+
+
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of `docs`: the id, `lang_pred` and `score`, as in predict_rows; further columns are not read."""
+    inner = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return predict_rows(inner, model).select(F.col("id").alias(id_col), "lang_pred", F.col("lang_score").alias("score"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices, written
+from .common import drop_written, map_slices, written
 from .components import components
 from .embedding_dedup import _forest as forest
 from .words import U, mix, shingles, words
@@ -229,7 +229,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
         return {"id": part.column(0), "group": part.column(2), "n": pa.array([len(s) for s in sets], pa.int64()), "set": pa.array([s.tobytes() for s in sets], pa.binary())}
 
     near = base.join(groups, F.col("id") == F.col("g_id")).select("id", "text", "group")
-    blocks = written(_blocks(written(map_slices(near, "text", "id bigint, group bigint, n bigint, set binary", whole).where("n > 0"), "sets")), "blocks")
+    sets = written(map_slices(near, "text", "id bigint, group bigint, n bigint, set binary", whole).where("n > 0"), "sets")
+    drop_written(groups)
+    blocks = written(_blocks(sets), "blocks")
+    drop_written(sets)
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,7 +257,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     pairs = side("x").join(side("y"), (F.col("x_group") == F.col("y_group")) & (F.col("x_block") < F.col("y_block"))).where(fits).select("x_block", "y_block", F.col("x_group").alias("group"))
     full = lambda p: blocks.select(F.col("block").alias(f"{p}_block"), *[F.col(c).alias(f"{p}_{c}") for c in ("groups", "ids", "sizes", "sets")])
     outer = pairs.join(full("a"), F.col("x_block") == F.col("a_block")).join(full("b"), F.col("y_block") == F.col("b_block")).mapInArrow(across, "a bigint, b bigint")
-    linked = components(written(inner.union(outer), "links").where("a <> b"))
+    found = written(inner.union(outer), "links")
+    drop_written(blocks)
+    linked = components(found)
+    drop_written(found)
     linked = linked.select(F.col("id").alias("l_id"), "component")
     found = classes.select("c_one", "c_two", "c_n", "rep").join(linked, F.col("rep") == F.col("l_id"), "left").select("c_one", "c_two", "c_n", F.coalesce("component", "rep").alias("component"))
     out = profiles.select("id", "n", "one", "two").join(found, (F.col("one") == F.col("c_one")) & (F.col("two") == F.col("c_two")) & (F.col("n") == F.col("c_n")) & F.col("id").isNotNull(), "left")

@@ -195,6 +195,13 @@ def vote_counts(found: DataFrame) -> list[tuple[str, list[int], int, int]]:
     return sorted((r["kind"], list(r["votes"]), r["size"], r["n"]) for r in rows)
 
 
+def kept_spans(model: Model, threshold: float) -> Column:
+    """Base spans and the looser ones that the classifier keeps, by kind as listed, then start."""
+    order = F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)])
+    kept = lambda c, base: F.transform(F.filter(c, lambda s: F.lit(base) | (score(s, model) >= threshold)), lambda s: F.struct(F.element_at(order, s["kind"]).alias("rank"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), F.lit(base).alias("base"), score(s, model).alias("score"), s["value"].alias("value")))
+    return F.transform(F.array_sort(F.concat(kept("v_base", True), kept("v_loose", False))), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base"), s["score"].alias("score"), s["value"].alias("value")))
+
+
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """One row per row of `docs`: the id and `spans`, an array of (kind, start, end, base, score, value) by kind as
     listed, then start. Base spans always stay; a looser candidate stays where the classifier gives `threshold`.
@@ -203,11 +210,20 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     their row, an empty table gives none, and further columns are not read.
     """
     found = written(candidates(docs.select(F.col(id_col).alias("v_id"), F.col(text_col).alias("v_text")), "v_text").select("v_id", "v_base", "v_loose"), "pii")
-    model = fit(vote_counts(found))
-    order = F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)])
-    kept = lambda c, base: F.transform(F.filter(c, lambda s: F.lit(base) | (score(s, model) >= threshold)), lambda s: F.struct(F.element_at(order, s["kind"]).alias("rank"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), F.lit(base).alias("base"), score(s, model).alias("score"), s["value"].alias("value")))
-    spans = F.transform(F.array_sort(F.concat(kept("v_base", True), kept("v_loose", False))), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base"), s["score"].alias("score"), s["value"].alias("value")))
-    return found.select(F.col("v_id").alias(id_col), spans.alias("spans"))
+    return found.select(F.col("v_id").alias(id_col), kept_spans(fit(vote_counts(found)), threshold).alias("spans"))
+
+
+def masked(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """`docs` with each span of personal data in the text replaced by its kind in brackets; of overlapping spans the
+    one that starts first, then the longest, is replaced. A null text stays null, a text without spans unchanged."""
+    found = candidates(docs, text_col)
+    model = fit(vote_counts(found.select("v_base", "v_loose")))
+    text = F.col(text_col).cast("string")
+    spans = F.array_sort(F.transform(kept_spans(model, threshold), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
+    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    step = lambda a, s: F.when(s["start"] < a["at"], a).otherwise(F.struct((-s["back"]).alias("at"), F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("out")))
+    out = F.aggregate("v_spans", begin, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    return found.withColumn("v_spans", spans).withColumn(text_col, F.when(F.size("v_spans") == 0, text).otherwise(out)).select(*docs.columns)
 
 
 def joined(spans: Column) -> Column:
