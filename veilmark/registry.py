@@ -1,4 +1,4 @@
-"""Queries of the library's own operators and the SQL that gives the same rows."""
+"""The library's own queries and the SQL that gives the same rows."""
 
 from __future__ import annotations
 
@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import oracles
+from .plans.queries import QUERIES, pii_all_resolved
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    """Personal-data spans of documents, overlaps resolved."""
+    return pii_all_resolved(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
