@@ -129,7 +129,8 @@ def strict_schema(spark: SparkSession, sf: str) -> DataFrame:
 
 def _named(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     nodes = fixtures.nodes(spark)
-    return nodes, redact.tokens_for(detect.detect_nodes(nodes))
+    # a few nodes, read several times by one plan
+    return nodes, redact.tokens_for(detect.detect_nodes(nodes).cache()).cache()
 
 
 def node_detections(spark: SparkSession, sf: str) -> DataFrame:
@@ -175,7 +176,8 @@ def plan_rules(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def plan_message(spark: SparkSession, sf: str) -> DataFrame:
-    return _requests(spark).select("session_id", planning.user_message(_requests(spark)).alias("message"))
+    requests = _requests(spark)
+    return requests.select("session_id", planning.user_message(requests).alias("message"))
 
 
 def plan_resolved(spark: SparkSession, sf: str) -> DataFrame:
