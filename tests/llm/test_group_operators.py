@@ -242,7 +242,7 @@ def test_shortage_of_a_subtree_goes_up(spark):
 
 
 def test_mix_of_odd_rows(spark):
-    docs = spark.createDataFrame([(1, None, "web", None, None, 1), (2, "", "web", None, None, 1), (3, "a b", "web", "en", "s", 1), (3, "a b", "web", "en", "s", 1), (None, "c d e", None, "en", "s", 1)], "doc_id BIGINT, text STRING, domain STRING, lang STRING, source STRING, m BIGINT")
+    docs = spark.createDataFrame([(1, None, "web", None, None, 1), (2, "", "web", None, None, 1), (3, "a b", "web", "en", "s", 1), (3, "a b", "web", "en", "s", 1), (None, "c d e", None, "en", "s", 1)], "doc_id BIGINT, text STRING, domain STRING, lang STRING, source STRING, m_place BIGINT")
     got = mixing.mix(docs, mixing.weight_table(docs), mixing.LEVELS, share=1.0).collect()
-    assert sum(r["m_tokens"] for r in got) <= 7 and all(r["m"] == 1 for r in got)
+    assert sum(r["m_tokens"] for r in got) <= 7 and all(r["m_place"] == 1 for r in got)
     assert mixing.mix(docs.limit(0), mixing.weight_table(docs), mixing.LEVELS).count() == 0

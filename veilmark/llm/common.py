@@ -102,13 +102,21 @@ def add_columns(df: DataFrame, text: str, added: T.StructType | str, work: Calla
     more = added if isinstance(added, T.StructType) else T._parse_datatype_string(added)
     if clash := {f.name for f in more} & {*df.columns}:
         df = df.drop(*clash)
-    inner = df.withColumn("v_text", F.col(text).cast("string"))
-    names = df.columns
+    names, own = df.columns, "v_text"
+    while own in names:
+        own += "_"
+    inner = df.withColumn(own, F.col(text).cast("string"))
 
     def all_columns(part: pa.RecordBatch) -> dict:
         return {n: part.column(i) for i, n in enumerate(names)} | work(part.column(len(names)))
 
-    return map_slices(inner, "v_text", T.StructType([*df.schema.fields, *more.fields]), all_columns, size)
+    return map_slices(inner, own, T.StructType([*df.schema.fields, *more.fields]), all_columns, size)
+
+
+def set_aside(df: DataFrame, prefixes: tuple[str, ...], needed: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
+    """`df` with columns out of the way whose names an operator uses for itself, and how to rename them back."""
+    names = {c: f"aside_{i}" for i, c in enumerate(df.columns) if c.startswith(prefixes) and c not in needed}
+    return df.withColumnsRenamed(names), {v: k for k, v in names.items()}
 
 
 def map_slices(df: DataFrame, text: str, schema: T.StructType | str, work: Callable[[pa.RecordBatch], dict | None], size: int = SLICE_BYTES) -> DataFrame:

@@ -63,23 +63,17 @@ def _near(qa, sa, ea, qb, sb, eb, threshold: float) -> tuple[np.ndarray, np.ndar
     return np.nonzero(dots + (ea[:, None] + eb[None, :] + ea[:, None] * eb[None, :]) >= threshold - 1e-9)
 
 
-def _forest(n: int, pairs: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The pairs that join two trees."""
-    parent = list(range(n))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    kept = []
-    for a, b in pairs:
-        x, y = root(a), root(b)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            kept.append((a, b))
-    return kept
+def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The pairs that join two trees; `a` in order."""
+    tree, kept = np.arange(n), []
+    first = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+    for s, e in zip(first, np.append(first[1:], len(a)), strict=True):
+        x, others = int(a[s]), b[s:e]
+        for y in others[tree[others] != tree[x]].tolist():
+            if tree[y] != tree[x]:
+                tree[tree == tree[y]] = tree[x]
+                kept.append((x, y))
+    return np.array(kept)
 
 
 def _tile_rows(df: DataFrame) -> DataFrame:
@@ -203,7 +197,7 @@ def find_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
         n = np.bincount(a, weights=heavy[b], minlength=len(every)) + np.bincount(b, weights=heavy[a], minlength=len(every))
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(every[some]), pa.array([None] * len(some), pa.int64()), pa.array(n[some].astype(np.int64))], names=["a", "b", "n"])
-        kept = np.array(_forest(len(every), zip(a.tolist(), b.tolist(), strict=True)))
+        kept = _forest(len(every), a, b)
         yield pa.RecordBatch.from_arrays([pa.array(every[kept[:, 0]]), pa.array(every[kept[:, 1]]), pa.array([None] * len(kept), pa.int64())], names=["a", "b", "n"])
 
     found = written(work.mapInArrow(run, "a bigint, b bigint, n bigint"), "links")

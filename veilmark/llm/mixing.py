@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import set_aside, written
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Hex digits of a document's place in an epoch by which each of two passes narrows down where a leaf's prefix ends.
@@ -98,10 +98,13 @@ def mix(docs: DataFrame, weights: DataFrame, levels: list[str], id_col: str = "d
 
     The budget is `share` of all words, a leaf holds `epochs` times its words. A leaf's place in the tree may hold
     nulls; they are values like others. A null or empty text has no words and comes with whole epochs only. Rows with
-    equal ids and equal words are interchangeable, extra columns come along unread, and an empty table gives an empty
+    equal ids and equal words are interchangeable, extra columns come along unread (m_epoch and m_tokens
+    are replaced), and an empty table gives an empty
     mix. A budget ends before the document that would pass it. Where roundings meet a full leaf, up to a token a node
     may stay unspent.
     """
+    docs, back = set_aside(docs, ("m_", "c_"), (id_col, text_col, *levels))
+    back = {k: v for k, v in back.items() if v not in ("m_epoch", "m_tokens")}
     rows = docs.withColumn("m_tokens", F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("bigint"))
     thin = written(rows.select(F.col(id_col).alias("m_id"), *levels, "m_tokens"), "mix-tokens")
     leaves = thin.groupBy(*levels).agg(F.sum("m_tokens").alias("available")).withColumn("capacity", F.col("available") * epochs)
@@ -128,8 +131,9 @@ def mix(docs: DataFrame, weights: DataFrame, levels: list[str], id_col: str = "d
     sure = placed.where(copies > 0).withColumn("m_epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), copies - 1)))
     upto = Window.partitionBy(*levels).orderBy("m_place", id_col, "m_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     edge = placed.where(last).withColumn("m_upto", F.sum("m_tokens").over(upto)).where(F.col("m_upto") <= F.col("m_left2")).withColumn("m_epoch", F.col("m_whole"))
-    columns = [*docs.columns, "m_epoch", "m_tokens"]
-    return sure.select(*columns).unionByName(edge.select(*columns))
+    columns = [c for c in docs.columns if not c.startswith("aside_") or c in back]
+    columns += ["m_epoch", "m_tokens"]
+    return sure.select(*columns).unionByName(edge.select(*columns)).withColumnsRenamed(back)
 
 
 def domain(source: Column) -> Column:

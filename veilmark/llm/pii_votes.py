@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import set_aside, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns. Possessive loops and look-behinds only spare the matcher needless tries; a card's
@@ -216,6 +216,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def masked(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """`docs` with each span of personal data in the text replaced by its kind in brackets; of overlapping spans the
     one that starts first, then the longest, is replaced. A null text stays null, a text without spans unchanged."""
+    docs, back = set_aside(docs, ("v_",), (text_col,))
     found = candidates(docs, text_col)
     model = fit(vote_counts(found.select("v_base", "v_loose")))
     text = F.col(text_col).cast("string")
@@ -223,7 +224,7 @@ def masked(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> D
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     step = lambda a, s: F.when(s["start"] < a["at"], a).otherwise(F.struct((-s["back"]).alias("at"), F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("out")))
     out = F.aggregate("v_spans", begin, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return found.withColumn("v_spans", spans).withColumn(text_col, F.when(F.size("v_spans") == 0, text).otherwise(out)).select(*docs.columns)
+    return found.withColumn("v_spans", spans).withColumn(text_col, F.when(F.size("v_spans") == 0, text).otherwise(out)).select(*docs.columns).withColumnsRenamed(back)
 
 
 def joined(spans: Column) -> Column:
