@@ -31,7 +31,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Documents without words, or without an id, are no copies of anything and stay.
     """
     groups = ngram_join.join(docs)
-    gone = groups.where("doc_id != component_id").select("doc_id").distinct()
+    # written, so that the join knows its size
+    gone = written(groups.where("doc_id != component_id").select("doc_id").distinct(), "copies")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 

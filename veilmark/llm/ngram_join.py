@@ -2,7 +2,7 @@
 
 Texts become sets of word shingles. Equal sets are one class. Classes that may be similar are brought together by a
 pigeonhole: with the shingles' hash range cut into m parts, sets of a similarity of t or more differ in at most d parts,
-so of any fixed order of parts they share one among the first d + 1. Sets that share such a part, directly or through
+so of any fixed order of parts they share one among the first d + 1 of either. Sets that share such a part, directly or through
 others, form a group; sets of different groups can't be similar. Within a group, cut into blocks of bounded size, every
 set is a query against inverted lists: short lists are merged by counting, the few longest are only probed by binary
 search for what the short ones leave, and what reaches the required overlap is linked. Blocks report a spanning forest
@@ -20,15 +20,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, map_slices, written
+from .common import drop_written, map_slices, slices, written
 from .components import components
-from .embedding_dedup import _forest as forest
 from .words import U, mix, shingles, words
 
 #: Sizes whose ratio is less than this share the number of parts.
 RATIO = 1.5
 #: Shingles in a block of sets.
 BLOCK = 200_000
+#: Sets that a task remembers to let copies speak once.
+SEEN = 1_000_000
 
 
 def differ(largest: int, hundredths: int) -> int:
@@ -51,8 +52,8 @@ def edge(b: int) -> int:
 
 
 def signatures(s: np.ndarray, hundredths: int) -> np.ndarray:
-    """What a sorted set shares with every similar set: the hashes of its d + 1 fullest parts, for its own band of sizes
-    and for the next one where a similar set may lie there. Parts are ordered by their size, then their hash; an empty
+    """What a sorted set shares with every similar set: the hashes of its fullest parts, one more than it can differ in,
+    for its own band of sizes and for the next one where a similar set may lie there. Parts are ordered by their size, then their hash; an empty
     part is last and counts like others, so sets with few filled parts lose nothing."""
     n = len(s)
     if not n:
@@ -61,7 +62,9 @@ def signatures(s: np.ndarray, hundredths: int) -> np.ndarray:
     mixed = mix(s)
     b = band(n)
     for c in range(b, band(n * 100 // hundredths) + 1):
-        d = differ(edge(c + 1) - 1, hundredths)
+        top = edge(c + 1) - 1
+        d = differ(top, hundredths)  # fixes the parts of the band; what this set itself can differ by, its share of them
+        own = (n + min(top, n * 100 // hundredths)) * (100 - hundredths) // (100 + hundredths)
         m = d + 1 + (d + 1) * 3 // 10 + (4 if d else 0)
         part = ((s >> U(32)) * U(m)) >> U(32)
         size = np.bincount(part.astype(np.int64), minlength=m)
@@ -69,11 +72,16 @@ def signatures(s: np.ndarray, hundredths: int) -> np.ndarray:
         first = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1])
         total[part[first].astype(np.int64)] = np.add.reduceat(mixed, first)
         h = mix(total + np.arange(m, dtype=np.uint64) * U(0x9E3779B97F4A7C15) + U(c * 0x66D9FD93) + size.astype(np.uint64))
-        order = np.lexsort((h, -size))[: d + 1]
+        order = np.lexsort((h, -size))[: own + 1]
         out.append(h[order])
     return np.concatenate(out)
 
 
+def identity(s: np.ndarray) -> tuple[int, int]:
+    """Two hashes of a whole set; the first also names it while groups are found."""
+    return (int(np.bitwise_xor.reduce(mix(s))), int(np.add.reduce(mix(s ^ U(0x5851F42D4C957F2D))))) if len(s) else (0, 0)
+
+
 def search(query: np.ndarray, lists: tuple[np.ndarray, np.ndarray, np.ndarray], sizes: np.ndarray, hundredths: int) -> np.ndarray:
     """The indexed sets whose similarity to the query is hundredths / 100 or more, by DivideSkip.
 
@@ -118,14 +126,17 @@ def links(a: list[np.ndarray], b: list[np.ndarray] | None, hundredths: int) -> l
     index = a if b is None else b
     lists, sizes = inverted(index), np.array([len(s) for s in index])
     shift = 0 if b is None else len(a)
-
-    def pairs() -> Iterator[tuple[int, int]]:
-        for i, s in enumerate(a):
-            for j in search(s, lists, sizes, hundredths).tolist():
-                if b is not None or i < j:
-                    yield i, j + shift
-
-    return forest(len(a) + (len(b) if b is not None else 0), pairs())
+    tree, trees, kept = np.arange(len(a) + (len(b) if b is not None else 0)), len(a) + (len(b) if b is not None else 0), []
+    for i, s in enumerate(a):
+        if trees == 1:
+            break
+        found = search(s, lists, sizes, hundredths) + shift
+        for j in found[tree[found] != tree[i]].tolist():
+            if tree[j] != tree[i]:
+                tree[tree == tree[j]] = tree[i]
+                trees -= 1
+                kept.append((i, j))
+    return kept
 
 
 def _stars(postings: DataFrame) -> DataFrame:
@@ -165,7 +176,8 @@ def _blocks(sets: DataFrame) -> DataFrame:
         held, size = [], 0
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and size + row[1] > BLOCK:
+                # a block ends where it is full, or where a group ends and it is half full: few groups lie across
+                if held and (size + row[1] > BLOCK or (2 * size > BLOCK and row[0] != held[-1][0])):
                     yield pack(held)
                     held, size = [], 0
                 held.append(row)
@@ -200,28 +212,34 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
 
     def profile(part: pa.RecordBatch) -> dict:
         hashes, at, *_ = words(part.column(1))
-        size, one, two, parts = [], [], [], []
-        for s in shingles(hashes, at, n):
-            size.append(len(s))
-            one.append(int(np.bitwise_xor.reduce(mix(s))) if len(s) else 0)
-            two.append(int(np.add.reduce(mix(s ^ U(0x5851F42D4C957F2D)))) if len(s) else 0)
-            parts.append(signatures(s, hundredths).tobytes())
-        return {"id": part.column(0), "n": pa.array(size, pa.int64()), "one": pa.array(np.array(one, dtype=np.uint64).view(np.int64)), "two": pa.array(np.array(two, dtype=np.uint64).view(np.int64)), "parts": pa.array(parts, pa.binary())}
-
-    profiles = written(map_slices(base, "text", "id bigint, n bigint, one bigint, two bigint, parts binary", profile), "profiles")
-    classes = profiles.where("n > 0 AND id IS NOT NULL").groupBy("one", "two", "n").agg(F.min(F.struct("id", "parts")).alias("first"))
-    classes = classes.select(F.col("one").alias("c_one"), F.col("two").alias("c_two"), F.col("n").alias("c_n"), F.col("first.id").alias("rep"), F.col("first.parts").alias("parts"))
-
-    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 2000):
-                part = batch.slice(k, 2000)
-                raw = part.column(1).to_pylist()
-                count = np.array([len(x) // 8 for x in raw], dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(raw), "<i8")), pa.array(np.repeat(part.column(0).to_numpy(), count))], names=["part", "id"])
+        sets = shingles(hashes, at, n)
+        one, two = np.array([identity(s) for s in sets], dtype=np.uint64).reshape(-1, 2).T.copy()
+        return {"id": part.column(0), "n": pa.array([len(s) for s in sets], pa.int64()), "one": pa.array(one.view(np.int64)), "two": pa.array(two.view(np.int64))}
 
-    groups = components(_stars(classes.select("rep", "parts").mapInArrow(unpacked, "part bigint, id bigint")))
-    groups = written(groups.select(F.col("id").alias("g_id"), F.col("component").alias("group")), "groups")
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # copies in a task speak once
+        for batch in batches:
+            for part in slices(batch, "text"):
+                hashes, at, *_ = words(part.column(1))
+                found, keys = [], []
+                for s in shingles(hashes, at, n):
+                    one, two = identity(s)
+                    if len(s) and one not in seen:
+                        seen.add(one)
+                        found.append(signatures(s, hundredths))
+                        keys.append(one)
+                if len(seen) > SEEN:
+                    seen.clear()
+                if found:
+                    count = [len(x) for x in found]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(np.array(keys, dtype=np.uint64), count).view(np.int64))], names=["part", "id"])
+
+    profiles = written(map_slices(base, "text", "id bigint, n bigint, one bigint, two bigint", profile), "profiles")
+    classes = profiles.where("n > 0 AND id IS NOT NULL").groupBy("one", "two", "n").agg(F.min("id").alias("rep"))
+    classes = classes.select(F.col("one").alias("c_one"), F.col("two").alias("c_two"), F.col("n").alias("c_n"), "rep")
+    groups = components(_stars(base.where("id IS NOT NULL").mapInArrow(parts, "part bigint, id bigint")))
+    members = groups.select(F.col("id").alias("g_one"), F.col("component").alias("group")).join(classes, F.col("g_one") == F.col("c_one"))
+    groups = written(members.select(F.col("rep").alias("g_id"), "group"), "groups")
 
     def whole(part: pa.RecordBatch) -> dict:
         hashes, at, *_ = words(part.column(1))
@@ -229,10 +247,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
         return {"id": part.column(0), "group": part.column(2), "n": pa.array([len(s) for s in sets], pa.int64()), "set": pa.array([s.tobytes() for s in sets], pa.binary())}
 
     near = base.join(groups, F.col("id") == F.col("g_id")).select("id", "text", "group")
-    sets = written(map_slices(near, "text", "id bigint, group bigint, n bigint, set binary", whole).where("n > 0"), "sets")
+    blocks = written(_blocks(map_slices(near, "text", "id bigint, group bigint, n bigint, set binary", whole).where("n > 0")), "blocks")
     drop_written(groups)
-    blocks = written(_blocks(sets), "blocks")
-    drop_written(sets)
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
