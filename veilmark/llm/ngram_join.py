@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, map_slices, slices, written
+from .common import drop_written, map_slices, settings, slices, written
 from .components import components
 from .words import U, mix, shingles, words
 
@@ -28,6 +28,9 @@ from .words import U, mix, shingles, words
 RATIO = 1.5
 #: Shingles in a block of sets.
 BLOCK = 200_000
+#: Spark's own filter of joins at run time, of a megabyte whatever the input: texts that are in no group stay where they
+#: are. By default Spark leaves it out for scans under 10 GB.
+RUNTIME_FILTER = {"spark.sql.optimizer.runtime.bloomFilter.enabled": "true", "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "1m"}
 #: Sets that a task remembers to let copies speak once.
 SEEN = 1_000_000
 
@@ -239,15 +242,17 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     classes = classes.select(F.col("one").alias("c_one"), F.col("two").alias("c_two"), F.col("n").alias("c_n"), "rep")
     groups = components(_stars(base.where("id IS NOT NULL").mapInArrow(parts, "part bigint, id bigint")))
     members = groups.select(F.col("id").alias("g_one"), F.col("component").alias("group")).join(classes, F.col("g_one") == F.col("c_one"))
-    groups = written(members.select(F.col("rep").alias("g_id"), "group"), "groups")
+    groups = written(members.select(F.col("rep").alias("g_id"), F.col("c_n").alias("g_n"), "group"), "groups")
 
     def whole(part: pa.RecordBatch) -> dict:
         hashes, at, *_ = words(part.column(1))
         sets = shingles(hashes, at, n)
         return {"id": part.column(0), "group": part.column(2), "n": pa.array([len(s) for s in sets], pa.int64()), "set": pa.array([s.tobytes() for s in sets], pa.binary())}
 
-    near = base.join(groups, F.col("id") == F.col("g_id")).select("id", "text", "group")
-    blocks = written(_blocks(map_slices(near, "text", "id bigint, group bigint, n bigint, set binary", whole).where("n > 0")), "blocks")
+    # the condition on g_n always holds; Spark makes the filter only from a side that has one
+    near = base.join(groups.where("g_n > 0"), F.col("id") == F.col("g_id")).select("id", "text", "group")
+    with settings(docs.sparkSession, RUNTIME_FILTER):
+        blocks = written(_blocks(map_slices(near, "text", "id bigint, group bigint, n bigint, set binary", whole).where("n > 0")), "blocks")
     drop_written(groups)
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
