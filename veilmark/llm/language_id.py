@@ -9,7 +9,8 @@ not seen calibrates the probabilities.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -74,6 +75,25 @@ def rows(found: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray) -> list[tu
     return out
 
 
+class Sample(Sequence):
+    """TF-IDF rows of packed columns and counts, made when asked for: the driver holds the packed bytes only."""
+
+    def __init__(self, columns: pa.ChunkedArray, counts: pa.ChunkedArray, idf: np.ndarray, which: np.ndarray | None = None):
+        self.columns, self.counts, self.idf = columns, counts, idf
+        self.which = np.arange(len(columns)) if which is None else which
+
+    def __len__(self) -> int:
+        return len(self.which)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        at = int(self.which[i])
+        columns, counts = (np.frombuffer(x[at].as_buffer(), "<i4") for x in (self.columns, self.counts))
+        return rows([(columns.astype(np.int64), counts)], self.idf)[0]
+
+    def take(self, which: np.ndarray) -> Sample:
+        return Sample(self.columns, self.counts, self.idf, self.which[which])
+
+
 def document_frequencies(df: DataFrame, text: str) -> tuple[np.ndarray, int]:
     """How many texts have each column, over all rows; each task sends at most one row a column."""
 
@@ -95,7 +115,7 @@ def document_frequencies(df: DataFrame, text: str) -> tuple[np.ndarray, int]:
     return out[:COLUMNS], int(out[COLUMNS])
 
 
-def follow_the_leader(data: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, kinds: int, rounds: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.02, seed: int = 11) -> np.ndarray:
+def follow_the_leader(data: Sequence[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, kinds: int, rounds: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.02, seed: int = 11) -> np.ndarray:
     """FTRL-proximal for the multinomial loss: per-coordinate rates, soft threshold l1, ridge l2; no penalty on the intercept."""
     z = np.zeros((COLUMNS + 1, kinds))
     n = np.zeros((COLUMNS + 1, kinds))
@@ -146,18 +166,21 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
 
     def work(part: pa.RecordBatch) -> dict:
         found, some = grams(texts_of(part.column(1)))
-        return {"fold": part.column(0), "lang": part.column(2), "columns": pa.array([c.astype("<i4").tobytes() for c, _ in found]), "counts": pa.array([c.astype("<i4").tobytes() for _, c in found]), "some": pa.array(some)}
+        packed = [(c.astype("<i4").tobytes(), k.astype("<i4").tobytes()) for c, k in found]
+        key = [int.from_bytes(hashlib.blake2b(c + k, digest_size=8).digest(), "little", signed=True) for c, k in packed]
+        return {"fold": part.column(0), "lang": part.column(2), "key": pa.array(key, pa.int64()), "columns": pa.array([c for c, _ in packed], pa.binary()), "counts": pa.array([k for _, k in packed], pa.binary()), "some": pa.array(some)}
 
     picked = chosen(known.where(F.col("text").isNotNull()), F.col("id"), "lang", sample, seed).select(F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.lit(6)).alias("fold"), "text", "lang")
-    got = sorted(map(tuple, map_slices(picked, "text", "fold bigint, lang string, columns binary, counts binary, some boolean", work).where("some").collect()), key=lambda r: (r[1], bytes(r[2]), bytes(r[3])))
-    languages = sorted({r[1] for r in got})
-    data = rows([(np.frombuffer(r[2], "<i4").astype(np.int64), np.frombuffer(r[3], "<i4")) for r in got], idf)
-    labels = np.array([languages.index(r[1]) for r in got], dtype=np.int64)
-    seen = np.array([r[0] != 0 for r in got], dtype=bool)
+    got = map_slices(picked, "text", "fold bigint, lang string, key bigint, columns binary, counts binary, some boolean", work).where("some").toArrow()
+    got = got.sort_by([("lang", "ascending"), ("key", "ascending")])
+    languages = sorted(set(got["lang"].to_pylist()))
+    data = Sample(got["columns"], got["counts"], idf)
+    labels = np.array([languages.index(x) for x in got["lang"].to_pylist()], dtype=np.int64)
+    seen = got["fold"].to_numpy() != 0
     if not languages:
         return Model([], np.zeros((COLUMNS + 1, 0)), idf, 1.0)
-    weights = follow_the_leader([x for x, s in zip(data, seen, strict=True) if s], labels[seen], len(languages))
-    rest = [x @ weights[c] for (c, x), s in zip(data, seen, strict=True) if not s]
+    weights = follow_the_leader(data.take(np.flatnonzero(seen)), labels[seen], len(languages))
+    rest = [x @ weights[c] for c, x in data.take(np.flatnonzero(~seen))]
     return Model(languages, weights, idf, temperature(np.array(rest).reshape(len(rest), len(languages)), labels[~seen]))
 
 
