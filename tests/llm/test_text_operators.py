@@ -167,3 +167,10 @@ def test_words():
     assert h[0] == h[1] == h[2] and h[4] != h[5] and len(set(h.tolist())) == 6
     sliced = words.words(pa.array(["zz", *texts]).slice(1))
     assert sliced[0].tolist() == h.tolist()
+
+
+@pytest.mark.parametrize("n", [4, 5])
+def test_shingles_of_few_words(n):
+    for k in range(n + 1):
+        h, at, *_ = words.words(pa.array(["", " ".join("abcdefg"[:k]), None]))
+        assert [len(x) for x in words.shingles(h, at, n)] == [0, min(k, 1), 0]

@@ -79,9 +79,10 @@ def words(column: pa.Array, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.n
 
 def shingles(hashes: np.ndarray, at: np.ndarray, n: int) -> list[np.ndarray]:
     """For each text the sorted distinct hashes of its runs of n words; a shorter text has one, of all its words."""
-    runs = np.zeros(max(0, len(hashes) - n + 1), dtype=np.uint64)
+    count = max(0, len(hashes) - n + 1)
+    runs = np.zeros(count, dtype=np.uint64)
     for k in range(n):
-        runs = mix(runs + hashes[k : len(hashes) - n + 1 + k] + _STEPS[k % len(_STEPS)])
+        runs = mix(runs + hashes[k : k + count] + _STEPS[k % len(_STEPS)])
     out = []
     for a, b in zip(at[:-1], at[1:], strict=True):
         if b - a >= n:
