@@ -174,3 +174,13 @@ def test_shingles_of_few_words(n):
     for k in range(n + 1):
         h, at, *_ = words.words(pa.array(["", " ".join("abcdefg"[:k]), None]))
         assert [len(x) for x in words.shingles(h, at, n)] == [0, min(k, 1), 0]
+
+
+@pytest.mark.parametrize("number", ["555.123.4567", "555 123.4567", "(555) 123.4567", "555-123.4567"])
+def test_dotted_phones(spark, number):
+    """Each looser candidate of a text is what its pattern finds there, whatever else the text holds."""
+    texts = [f"phone {number} now", f"phone {number} now - or never", number]
+    for r in pii_votes.candidates(table(spark, texts), "text").collect():
+        want = [(m.start(), m.end()) for m in re.finditer(pii_votes.LOOSE["phone"], texts[r["doc_id"]])]
+        assert want and [(s["start"], s["end"]) for s in r["v_loose"] if s["kind"] == "phone"] == want
+    assert pii_votes.masked(table(spark, texts[:1] * 30)).first()["text"] == "phone [PHONE] now"

@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,9 +34,9 @@ LOOSE = {
     "card": r"(?<![0-9])(?<![0-9][\x20-])3[47][0-9]{2}[\x20-]?[0-9]{6}[\x20-]?[0-9]{5}(?![\x20-]?[0-9])",
     "phone": r"(?<![0-9+.)-])(?<!\+[0-9][\x20-])(?:\([0-9]{3}\) ?|[0-9]{3}[\x20.-])[0-9]{3}[.-][0-9]{4}(?![0-9.-])",
 }
-#: What a text must contain before its matcher runs.
-NEEDS = {"email": "@", "phone": "+"}
-LOOSE_NEEDS = {"email": "at", "phone": "-", "card": "3"}
+#: What a text must contain, one of them at least, before its matcher runs: every match holds one.
+NEEDS = {"email": ("@",), "phone": ("+",)}
+LOOSE_NEEDS = {"email": ("at",), "phone": ("-", "."), "card": ("3",)}
 
 #: Gazetteers.
 TOP_DOMAINS = ("com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "uk", "eu", "ch", "at", "mx", "us", "ca")
@@ -113,7 +114,7 @@ def candidates(docs: DataFrame, text_col: str) -> DataFrame:
     """`docs` with `v_base` and `v_loose`, arrays of spans; the looser ones with their votes, none on a base span."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     nothing = F.array().cast("array<string>")
-    need = lambda k, table: text.contains(table[k]) if k in table else F.lit(True)
+    need = lambda k, table: reduce(Column.__or__, [text.contains(x) for x in table[k]]) if k in table else F.lit(True)
     out = docs.withColumns({f"v_m_{k}": F.when(need(k, NEEDS), F.regexp_extract_all(text, F.lit(BASE[k]), F.lit(0))).otherwise(nothing) for k in KINDS} | {f"v_l_{k}": F.when(need(k, LOOSE_NEEDS), F.regexp_extract_all(text, F.lit(p), F.lit(0))).otherwise(nothing) for k, p in LOOSE.items()})
     base = F.concat(*[F.filter(located(text, BASE[k], F.col(f"v_m_{k}"), k), _valid(k)) for k in KINDS])
     out = out.withColumn("v_base", base)
