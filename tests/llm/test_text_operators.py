@@ -184,3 +184,10 @@ def test_dotted_phones(spark, number):
         want = [(m.start(), m.end()) for m in re.finditer(pii_votes.LOOSE["phone"], texts[r["doc_id"]])]
         assert want and [(s["start"], s["end"]) for s in r["v_loose"] if s["kind"] == "phone"] == want
     assert pii_votes.masked(table(spark, texts[:1] * 30)).first()["text"] == "phone [PHONE] now"
+
+
+@pytest.mark.parametrize(("run", "random"), [("JBSWY3DPEHPK3PXPJBSWY3DPEHPK3PXP", True), ("q7xkdmvzt2rbwnhy4cgpsfl9", True), ("xkqjzvbwtrmplhgfdsnqzx", True), ("MAX_RETRY_COUNT_LIMIT_VALUE", False), ("java/util/concurrent/ThreadPoolExecutor", False), ("-" * 30, False)])
+def test_random_strings_of_one_case(run, random):
+    with open(secret_scan.VOCABULARY, "rb") as f:
+        encoding = secret_scan._encoding(f.read())
+    assert secret_scan.random_spans(f"see {run} here", encoding, 1.9) == ([(4, 3, 4 + len(run))] if random else [])

@@ -2,7 +2,8 @@
 
 A random string breaks into many short tokens of a byte-pair vocabulary, a word or a name into few long ones. So a
 candidate run of letters and digits whose characters per token stay under a limit is reported, once known digests
-(plain hex of a digest's length), UUIDs and identifiers (words joined by case, dots, slashes or underscores) are out.
+(plain hex of a digest's length), UUIDs, runs without a letter and identifiers (words joined by case, slashes or
+underscores) are out. The vocabulary tells words from random letters: a word has WORD characters per token at least.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ PIECES = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 DIGESTS = (32, 40, 56, 64, 96, 128)
 
 KINDS = ("assign", "access", "hex", "random")
+#: Characters per token of a word in an identifier; of random letters, most tokens hold one or two.
+WORD = 3.0
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 _WORDS = ("passw", "secret", "token", "api")
@@ -46,17 +49,23 @@ def _encoding(ranks: bytes):
     return tiktoken.Encoding("vocabulary", pat_str=PIECES, mergeable_ranks=table, special_tokens={})
 
 
-def excluded(run: str) -> bool:
+def tokens(text: str, encoding) -> int:
+    return max(1, len(encoding.encode_ordinary(text)))
+
+
+def excluded(run: str, encoding) -> bool:
     """Digests, UUIDs and identifiers: what looks random or long and is no secret."""
     hexed = len(run) in DIGESTS and all(c in "0123456789abcdef" for c in run.lower())
     if hexed or _UUID.fullmatch(run):
         return True
     digits = sum(c.isdigit() for c in run)
     letters = sum(c.isalpha() for c in run)
-    if not digits or not letters:
+    if not letters:
         return True
-    words = _PARTS.findall(run)
-    return sum(len(w) for w in words if len(w) >= 4 and w.isalpha()) >= 0.5 * letters and digits < 0.3 * len(run)
+    words = [w for w in _PARTS.findall(run) if len(w) >= 4 and w.isalpha()]
+    if sum(map(len, words)) < 0.5 * letters or digits >= 0.3 * len(run):
+        return False
+    return all(len(w) >= WORD * min(tokens(w, encoding), tokens(w.lower(), encoding)) for w in words)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -72,8 +81,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def random_spans(text: str, encoding, most: float) -> list[tuple[int, int, int]]:
-    runs = [m for m in _RUN.finditer(text) if not excluded(m.group())]
-    return [(m.start(), 3, m.end()) for m in runs if (m.end() - m.start()) / max(1, len(encoding.encode_ordinary(m.group()))) <= most]
+    runs = [m for m in _RUN.finditer(text) if m.end() - m.start() <= most * tokens(m.group(), encoding)]
+    return [(m.start(), 3, m.end()) for m in runs if not excluded(m.group(), encoding)]
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, chars_per_token: float = 1.9) -> DataFrame:
