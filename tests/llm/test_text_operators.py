@@ -191,3 +191,28 @@ def test_random_strings_of_one_case(run, random):
     with open(secret_scan.VOCABULARY, "rb") as f:
         encoding = secret_scan._encoding(f.read())
     assert secret_scan.random_spans(f"see {run} here", encoding, 1.9) == ([(4, 3, 4 + len(run))] if random else [])
+
+
+def leak_of(item, text):
+    h, at, *_ = words.words(pa.array([text]), words.PUNCTUATION)
+    return decontamination.leaks(h, at, decontamination.table(["i"], [item]), 8, 0.8)[0]
+
+
+def test_leaks_by_the_stated_rule():
+    """What a search of all stretches finds, and no less: substitutions apart and together, long items, short ones."""
+    w = [f"w{k}" for k in range(100)]
+    other = lambda n, gone: " ".join("zz" if k in gone else w[k] for k in range(n))
+    long = {8 + 9 * k + d for k in range(9) for d in (0, 1)}
+    for n, gone in ((16, {6, 7, 8}), (14, {6, 7}), (89, long), (6, {3}), (30, {9, 10, 20})):
+        assert len(leak_of(other(n, ()), "before " + other(n, gone) + " after")) >= 1, (n, gone)
+    for n in range(1, 6):
+        item = other(n, ())
+        assert leak_of(item, f"x {item} y") == [{"item": "i", "start": 1, "end": n + 1, "agree": n}]
+        for k in range(n):
+            assert bool(leak_of(item, f"x {other(n, {k})} y")) == (n == 5)
+    r = np.random.default_rng(5)
+    for _ in range(300):
+        same = r.random(r.integers(1, 40)) < 0.75
+        ends = [(i, j) for i in range(len(same)) for j in range(i + 1, len(same) + 1) if 5 * same[i:j].sum() >= 4 * (j - i)]
+        agree, i, j = decontamination.best_stretch(same)
+        assert agree == max((same[i:j].sum() for i, j in ends), default=0) == same[i:j].sum() and 5 * agree >= 4 * (j - i)

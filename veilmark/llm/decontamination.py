@@ -2,8 +2,9 @@
 
 A mask reads some of a few neighbouring words and ignores the rest, so a substituted word spoils only the seeds that
 read it. Seeds of the benchmark are looked up for the seeds of every document; each hit fixes how a document and an
-item would lie on each other, and there the words are compared one by one: a stretch counts as a leak when enough words
-agree and few differ.
+item would lie on each other, and there the words are compared one by one: the longest stretch whose words agree in the
+share asked for counts as a leak when enough of them do. An item too short for the masks has masks of its own, one for
+each choice of words that suffices.
 
 The benchmark is joined as a lookup table inside the tasks. It goes out in blocks of bounded size, one pass over the
 documents' words for each, so a larger benchmark costs more passes and never more memory.
@@ -11,7 +12,10 @@ documents' words for each, so a larger benchmark costs more passes and never mor
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
+from fractions import Fraction
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -47,35 +51,65 @@ class Table:
     seeds: np.ndarray  # sorted
     place: np.ndarray  # the seed's first word, counted over all items
     item: np.ndarray
+    masks: list[str]  # in use
     bits: tuple[np.ndarray, np.ndarray]
 
 
-def table(items: list, texts: list[str]) -> Table:
+def enough(size: int, least: int, share: float) -> int:
+    """How many words of an item must agree."""
+    return max(1, min(least, math.ceil(_fraction(share) * size)))
+
+
+def _fraction(share: float) -> Fraction:
+    return Fraction(share).limit_denominator(10**6)
+
+
+def short_masks(size: int, need: int) -> list[tuple[str, int]]:
+    """(mask, its place in the item) for each choice of `need` of an item's `size` words."""
+    return [("".join("01"[k in c] for k in range(c[0], c[-1] + 1)), c[0]) for c in combinations(range(size), need)]
+
+
+def table(items: list, texts: list[str], least: int = 8, share: float = 0.8) -> Table:
     hashes, at, *_ = words(pa.array(texts, pa.string()), PUNCTUATION)
     owner = np.repeat(np.arange(len(items)), np.diff(at))
-    found, place = [], []
+    sizes = np.diff(at)
+    found, place, used = [], [], list(MASKS)
     for mask in MASKS:
         s = seeds(hashes, mask)
         whole = owner[: len(s)] == owner[len(mask) - 1 : len(mask) - 1 + len(s)] if len(s) else np.empty(0, dtype=bool)
         found.append(s[whole])
         place.append(np.flatnonzero(whole))
+    for size in range(1, min(map(len, MASKS))):
+        begin = at[:-1][sizes == size]
+        if not len(begin):
+            continue
+        for mask, lead in short_masks(size, enough(size, least, share)):
+            found.append(seeds(hashes, mask)[begin + lead])
+            place.append(begin + lead)
+            used.append(mask)
     found, place = np.concatenate(found), np.concatenate(place)
     order = np.argsort(found, kind="stable")
     found, place = found[order], place[order]
     low, high = np.zeros(1 << _BITS, dtype=bool), np.zeros(1 << _BITS, dtype=bool)
     low[found & U((1 << _BITS) - 1)] = True
     high[found >> U(64 - _BITS)] = True
-    return Table(items, hashes, at, found, place, owner[place] if len(place) else place, (low, high))
+    return Table(items, hashes, at, found, place, owner[place] if len(place) else place, list(dict.fromkeys(used)), (low, high))
 
 
-def best_stretch(same: np.ndarray, cost: float = 3.0) -> tuple[int, int, int]:
-    """(words that agree, start, end) of the stretch with the most agreeing words less `cost` for each other word."""
-    gain = np.cumsum(np.where(same, 1.0, -cost))
-    before = np.concatenate([[0.0], gain[:-1]])
-    low = np.minimum.accumulate(before)
-    end = int(np.argmax(gain - low))
-    start = int(np.argmin(before[: end + 1]))
-    return int(same[start : end + 1].sum()), start, end + 1
+def best_stretch(same: np.ndarray, share: float = 0.8) -> tuple[int, int, int]:
+    """(words that agree, start, end) of the longest stretch of which `share` agrees, without words at its ends that don't.
+
+    No other stretch with that share has more agreeing words: each could grow to the length at which its agreeing words
+    are just the share, or over all.
+    """
+    part = _fraction(share)
+    sums = np.concatenate([[0], np.cumsum(np.where(same, part.denominator - part.numerator, -part.numerator))])
+    low = np.minimum.accumulate(sums)
+    starts = np.searchsorted(-low, -sums, "left")  # the first place with a sum that is no greater
+    end = int(np.argmax(np.arange(len(sums)) - starts))
+    start = int(starts[end])
+    agree = np.flatnonzero(same[start:end])
+    return (len(agree), start + int(agree[0]), start + int(agree[-1]) + 1) if len(agree) else (0, 0, 0)
 
 
 def leaks(hashes: np.ndarray, at: np.ndarray, t: Table, least: int, share: float) -> list[list[dict]]:
@@ -85,7 +119,7 @@ def leaks(hashes: np.ndarray, at: np.ndarray, t: Table, least: int, share: float
         return out
     text = np.repeat(np.arange(len(at) - 1), np.diff(at))
     pairs = []
-    for mask in MASKS:
+    for mask in t.masks:
         s = seeds(hashes, mask)
         if not len(s):
             continue
@@ -104,26 +138,26 @@ def leaks(hashes: np.ndarray, at: np.ndarray, t: Table, least: int, share: float
     for doc, item, shift in np.unique(np.concatenate(pairs, axis=1), axis=1).T.tolist():
         a, b = int(t.at[item]), int(t.at[item + 1])
         begin, end = max(a, int(at[doc]) - shift), min(b, int(at[doc + 1]) - shift)
-        agree, i, j = best_stretch(hashes[begin + shift : end + shift] == t.words[begin:end])
-        if agree >= min(least, int(np.ceil(share * (b - a)))) and agree >= share * (j - i):
+        agree, i, j = best_stretch(hashes[begin + shift : end + shift] == t.words[begin:end], share)
+        if agree >= enough(b - a, least, share):
             start = begin + shift + i - int(at[doc])
             out[doc].append({"item": t.items[item], "start": start, "end": start + j - i, "agree": agree})
     return out
 
 
-def blocks(benchmark: DataFrame, id_col: str, text_col: str) -> list[Table]:
+def blocks(benchmark: DataFrame, id_col: str, text_col: str, least: int, share: float) -> list[Table]:
     """Lookup tables over the benchmark's items, each of BLOCK_WORDS words or one longer item; streamed to the driver."""
     out, items, texts, size = [], [], [], 0
     rows = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t")).where("t IS NOT NULL")
     for r in rows.orderBy("i", "t").toLocalIterator():
         n = len(r["t"].split())
         if items and size + n > BLOCK_WORDS:
-            out.append(table(items, texts))
+            out.append(table(items, texts, least, share))
             items, texts, size = [], [], 0
         items.append(r["i"])
         texts.append(r["t"])
         size += n
-    return [*out, *([table(items, texts)] if items else [])]
+    return [*out, *([table(items, texts, least, share)] if items else [])]
 
 
 def with_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: int = 8, share: float = 0.8) -> DataFrame:
@@ -146,7 +180,7 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
         return work
 
     out, names = docs.drop("leaks"), []
-    for k, block in enumerate(blocks(benchmark, item_col, item_text)):
+    for k, block in enumerate(blocks(benchmark, item_col, item_text, least, share)):
         name = f"v_leaks_{k}"
         out = add_columns(out, text_col, f"{name} {form}", lookup(name, spark.sparkContext.broadcast(block)))  # BLOCK_WORDS words
         names.append(name)
