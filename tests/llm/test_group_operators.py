@@ -180,6 +180,22 @@ def test_repeats_against_dictionary(spark, sf):
         assert got[r["doc_id"]] == sorted(gone)
 
 
+def test_repeats_of_short_lines_and_short_texts(spark):
+    """Lines too short for three of them to have 12 words, a text of two sentences in longer ones, a passage in sentences of any length."""
+    r = random.Random(9)
+    some = lambda n: " ".join(f"q{r.randrange(10**6)}" for _ in range(n))
+    lines = "\n".join(some(3) for _ in range(20)) + "\n" + some(8) + "\n" + "\n".join(some(1) for _ in range(4))
+    pair, passage = f"{some(9)}. {some(8)}.", some(60)
+    texts = [f"{lines}\n{some(30)}", f"{some(20)}\n{lines}\n{some(9)}", pair, f"{some(7)}. {some(8)}. {pair} {some(6)}. {some(5)}.", passage, f"{some(5)} {passage} {some(7)}", f"{some(50)} {passage} {some(90)}"]
+    got = {r["doc_id"]: r["kept_text"] for r in substring_dedup.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING"), lengthen=True).collect()}
+    left = lambda k, of: len(set(got[k].split()) & set(of.split()))
+    assert all(got[k] == texts[k] for k in (0, 2, 4))
+    assert left(1, lines) == 0 and len(got[1].split()) == 29
+    assert left(3, pair) == 0 and len(got[3].split()) == 26
+    for k in (5, 6):
+        assert left(k, passage) <= 24 and len(set(got[k].split()) - set(passage.split())) == len(set(texts[k].split()) - set(passage.split()))
+
+
 TALK = "conv_id BIGINT, turn BIGINT, role STRING, text STRING, s STRING"
 
 

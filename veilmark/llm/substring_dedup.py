@@ -1,9 +1,10 @@
 """Substring dedup: runs of consecutive sentences that other documents, or earlier places, have too are removed.
 
-A sentence ends at a full stop, exclamation or question mark before white space, or at a line feed. A longer sentence
-than LONG words is cut at words chosen by their hash, so that a passage is cut alike wherever it stands. Every run of
-`run` sentences with enough words is hashed; hashes meet in one aggregation and one join, a run's first place keeps it,
-and the sentences of all other places go.
+A sentence ends at a full stop, exclamation or question mark before white space, or at a line feed. Words that are MARGIN
+words or more away from both ends of their sentence may end a part of it: of every WINDOW words the one with the smallest
+hash does, so that a passage is cut alike wherever it stands, but for MARGIN + WINDOW words at its ends. Runs of `run`
+sentences or parts, longer where the words are few, are hashed; hashes meet in one aggregation and one join, a run's
+first place keeps it, and the sentences of all other places go.
 """
 
 from __future__ import annotations
@@ -16,8 +17,19 @@ from pyspark.sql import functions as F
 from .common import map_slices
 from .words import U, mix, words
 
-#: Words above which a sentence is cut, and one in how many words then ends a part.
-LONG, CUT = 24, 8
+#: Words at a sentence's ends that end no part, and how many of the others hold one that does.
+MARGIN, WINDOW = 6, 6
+#: Bits of the filter over hashes of short texts.
+_BITS = 23
+_NEVER = np.iinfo(np.uint64).max
+
+
+def window_minima(keys: np.ndarray, window: int) -> np.ndarray:
+    """True where a key is the first smallest of some `window` neighbours; the largest number is never chosen."""
+    out = np.zeros(len(keys), dtype=bool)
+    if len(keys) >= window:
+        out[np.lib.stride_tricks.sliding_window_view(keys, window).argmin(axis=1) + np.arange(len(keys) - window + 1)] = True
+    return out & (keys != _NEVER)
 
 
 def sentences(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -39,16 +51,21 @@ def sentences(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 
     s = starts(end)
     size = np.diff(s)
-    cut = ((hashes >> U(20)) % U(CUT) == 0) & (np.repeat(size, size) > LONG)
-    s = starts(end | cut)
+    place = np.arange(n) - np.repeat(s[:-1], size)
+    apart = (place >= MARGIN - 1) & (np.repeat(size, size) - place > MARGIN)
+    s = starts(end | window_minima(np.where(apart, mix(hashes), _NEVER), WINDOW))
     return hashes, s, np.searchsorted(s, at), data, first
 
 
-def runs(hashes: np.ndarray, s: np.ndarray, of: np.ndarray, run: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, number of the first sentence in it, hash) of each run; a text of fewer sentences is one run."""
+def runs(hashes: np.ndarray, s: np.ndarray, of: np.ndarray, run: int, least: int, lengthen: bool = False) -> tuple[np.ndarray, ...]:
+    """(text, number of the first sentence in it, how many sentences, hash) of each run, of `least` words at least.
+
+    `run` sentences each; with `lengthen` the shortest run of as many or more, from each sentence on and up to each. A text of fewer sentences is one
+    run; so are the shorter runs of all texts, which count only where they are a whole text: their size is negative.
+    """
     total = len(s) - 1
     if total < 1:
-        return (np.empty(0, dtype=np.int64),) * 2 + (np.empty(0, dtype=np.uint64),)
+        return (np.empty(0, dtype=np.int64),) * 3 + (np.empty(0, dtype=np.uint64),)
     # order within a sentence counts: words are weighted by powers of an odd number
     place = np.arange(len(hashes)) - np.repeat(s[:-1], np.diff(s))
     power = np.full(int(np.diff(s).max()) + 1, U(0x9E3779B97F4A7C15))
@@ -56,53 +73,89 @@ def runs(hashes: np.ndarray, s: np.ndarray, of: np.ndarray, run: int, least: int
     each = mix(np.add.reduceat(hashes * np.multiply.accumulate(power)[place], s[:-1]) + np.diff(s).astype(np.uint64))
     count = np.diff(of)
     text = np.repeat(np.arange(len(count)), count)
-    length = np.minimum(run, count[text])
-    begin = np.arange(total)
-    fits = begin + length <= of[text + 1]
-    begin, text, length = begin[fits], text[fits], length[fits]
+    number = np.arange(total)
+    on = np.maximum(np.searchsorted(s, s[:-1] + least), number + run)  # where the run from here on ends
+    if not lengthen:
+        on[on > number + run] = total + 1
+    back = np.minimum(np.searchsorted(s, s[1:] - least, "right") - 1, number + 1 - run)
+    up = lengthen & (back >= of[text]) & (on[np.maximum(back, 0)] != number + 1)
+    fits = on <= of[text + 1]
+    begin, end = [number[fits], back[up]], [on[fits], number[up] + 1]
+    for k in range(1, run):
+        fits = (number + k <= of[text + 1]) & (s[np.minimum(number + k, total)] - s[:-1] >= least)
+        begin.append(number[fits])
+        end.append(number[fits] + k)
+    begin, end = np.concatenate(begin), np.concatenate(end)
+    length, text = end - begin, text[begin]
     h = length.astype(np.uint64)
-    for k in range(run):
-        more = k < length
+    for k in range(int(length.max(initial=0))):
+        more = np.flatnonzero(k < length)
         h[more] = mix((h[more] + each[begin[more] + k]) * U(0xD6E8FEB86659FD93))
-    enough = s[begin + length] - s[begin] >= least
-    return text[enough], (begin - of[text])[enough], h[enough]
+    size = np.where((length >= run) | (length == count[text]), length, -length)
+    return text, begin - of[text], size, h
+
+
+def short_texts(base: DataFrame, run: int, least: int) -> np.ndarray:
+    """A filter of 2^_BITS bits over the hashes of texts with fewer than `run` sentences."""
 
+    def hashed(part: pa.RecordBatch) -> dict:
+        words_, s, of, *_ = sentences(part.column(1))
+        _, _, size, h = runs(words_, s, of, run, least)
+        return {"bit": pa.array(np.unique(h[(size > 0) & (size < run)] & U((1 << _BITS) - 1)).astype(np.int64))}
+
+    found = map_slices(base, "text", "bit bigint", hashed)
+    place, bit = F.shiftright("bit", 3), F.call_function("shiftleft", F.lit(1), (F.col("bit") % 8).cast("int"))
+    rows = found.groupBy(place.cast("int").alias("place")).agg(F.bit_or(bit).alias("bits")).toArrow()  # 2^_BITS / 8 rows at most
+    out = np.zeros(1 << _BITS - 3, dtype=np.uint8)
+    out[rows.column("place").to_numpy()] = rows.column("bits").to_numpy()
+    return out
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 3, least: int = 12) -> DataFrame:
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 3, least: int = 12, lengthen: bool = False) -> DataFrame:
     """One row per row of `docs`: the id, `sentences` (how many), `removed` (their numbers) and `kept_text`.
 
-    A run is `run` consecutive sentences, or all of a text that has fewer, of `least` words together; ASCII case doesn't
-    count. The first place of a run is the one of the smallest id, then sentence; rows that repeat an id and its text
-    count as one document. A removed sentence takes the white space after it along. A null text stays null and an empty
+    A run is `run` consecutive sentences of `least` words together (where they have fewer, with `lengthen` as many more
+    sentences as it takes, and without it none), or all of a text that has fewer sentences and enough words, wherever
+    the same sentences stand; ASCII case doesn't count. The first place of a run is the one of the smallest id, then
+    sentence; rows that repeat an id and its text count as one document. A removed sentence takes the white space after
+    it along. A null text stays null and an empty
     one empty, a null id is compared with nothing, an empty table gives no rows, and further columns are not read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
+    known = base.where("id IS NOT NULL")
+    short = docs.sparkSession.sparkContext.broadcast(short_texts(known, run, least))  # 2^_BITS bits
+
     def hashed(part: pa.RecordBatch) -> dict:
         words_, s, of, *_ = sentences(part.column(1))
-        text, number, h = runs(words_, s, of, run, least)
-        return {"id": part.column(0).take(pa.array(text)), "number": pa.array(number, pa.int32()), "hash": pa.array(h.view(np.int64))}
-
-    spans = map_slices(base.where("id IS NOT NULL"), "text", f"id {kind}, number int, hash bigint", hashed)
-    first = spans.groupBy("hash").agg(F.min(F.struct("id", "number")).alias("first"), F.max(F.struct("id", "number")).alias("last"))
-    first = first.where("first != last").select(F.col("hash").alias("f_hash"), "first")
+        text, number, size, h = runs(words_, s, of, run, least, lengthen)
+        low = (h & U((1 << _BITS) - 1)).astype(np.int64)
+        keep = (size > 0) | ((short.value[low >> 3] >> (low & 7).astype(np.uint8)) & 1 > 0)
+        return {"id": part.column(0).take(pa.array(text[keep])), "number": pa.array(number[keep], pa.int32()), "size": pa.array(size[keep], pa.int32()), "hash": pa.array(h[keep].view(np.int64))}
+
+    spans = map_slices(known, "text", f"id {kind}, number int, size int, hash bigint", hashed)
+    first = spans.groupBy("hash").agg(F.min(F.struct("id", "number")).alias("first"), F.max(F.struct("id", "number")).alias("last"), F.max("size").alias("counts"))
+    first = first.where("first != last AND counts > 0").select(F.col("hash").alias("f_hash"), "first")
     later = spans.join(first, F.col("hash") == F.col("f_hash")).where(F.struct("id", "number") != F.col("first"))
-    gone = later.groupBy(F.col("id").alias("g_id")).agg(F.collect_set("number").alias("starts"))
+    gone = later.groupBy(F.col("id").alias("g_id")).agg(F.collect_set(F.struct("number", F.abs("size").alias("size"))).alias("starts"))
     joined = base.join(gone, F.col("id") == F.col("g_id"), "left").select("id", "text", "starts")
 
     def cleaned(part: pa.RecordBatch) -> dict:
         _, s, of, data, first = sentences(part.column(1))
         texts, removed, count = part.column(1).to_pylist(), [], np.diff(of)
-        starts = part.column(2).to_pylist()
-        for i, numbers in enumerate(starts):
-            if not numbers:
+        lists = part.column(2)
+        at, numbers, sizes = np.asarray(lists.offsets), np.asarray(lists.values.field("number")), np.asarray(lists.values.field("size"))
+        for i in range(len(texts)):
+            if not lists[i].is_valid or at[i] == at[i + 1]:
                 removed.append([])
                 continue
             n = int(count[i])
-            marked = np.zeros(n, dtype=bool)
-            for k in range(min(run, n)):
-                marked[np.minimum(np.array(numbers) + k, n - 1)] = True
+            begin, size = numbers[at[i] : at[i + 1]], sizes[at[i] : at[i + 1]]
+            edges = np.zeros(n + 1, dtype=np.int64)
+            np.add.at(edges, begin, 1)
+            np.add.at(edges, np.minimum(begin + size, n), -1)
+            marked = np.cumsum(edges[:-1]) > 0
             bounds = np.append(first[s[of[i] : of[i + 1]]], 0)
             raw, begin = texts[i].encode(), int(bounds[0])
             lead = len(raw) - len(raw.lstrip(b" \t\n\v\f\r"))
