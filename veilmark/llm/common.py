@@ -15,13 +15,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that a Python helper turns into arrays at once; one longer text makes a larger slice.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 500_000
+#: Bytes of an Arrow batch between Spark and a Python worker, which holds several copies of it; a longer row is a batch.
+BATCH_BYTES = "4m"
+#: Bits of a filter over hashes.
+FILTER_BITS = 26
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that setting and the context's folder are unset."""
+    """The folder of spark.checkpoint.dir; where that is unset, a temporary one on a single machine, an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="veilmark-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -66,6 +72,30 @@ def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
                 spark.conf.set(k, v)
 
 
+def in_small_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """mapInArrow with batches bounded in bytes. Plans read the bound when they run, so it stays set for the session."""
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df.mapInArrow(work, schema)
+
+
+def hash_filter(hashes: DataFrame) -> np.ndarray:
+    """2^FILTER_BITS bits over the only column, a bigint of hash values: a value that is in it always passes, any other
+    rarely as long as they are fewer than the bits. Its size never grows; fuller filters only let more rows pass."""
+    low = F.pmod(F.col(hashes.columns[0]), F.lit(1 << FILTER_BITS))
+    words = hashes.select(F.shiftright(low, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), (low % 64).cast("int")).alias("bit"))
+    rows = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # 2^FILTER_BITS / 64 rows at most
+    out = np.zeros(1 << FILTER_BITS - 6, dtype=np.uint64)
+    out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of the 64-bit hashes may be in the filter."""
+    low = hashes.view(np.uint64) & np.uint64((1 << FILTER_BITS) - 1)
+    return (bits[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1) > 0
+
+
 def held_out(doc_id: Column | str) -> Column:
     """True for the fold that no model learns from."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -116,7 +146,7 @@ def texts_of(column: pa.Array) -> list[str]:
 
 def add_columns(df: DataFrame, text: str, added: T.StructType | str, work: Callable[[pa.Array], dict], size: int = SLICE_BYTES) -> DataFrame:
     """`df` with further columns that `work` makes of its text column, row by row and in place."""
-    more = added if isinstance(added, T.StructType) else T._parse_datatype_string(added)
+    more = added if isinstance(added, T.StructType) else T.StructType.fromDDL(added)
     if clash := {f.name for f in more} & {*df.columns}:
         df = df.drop(*clash)
     names, own = df.columns, "v_text"
@@ -138,7 +168,7 @@ def set_aside(df: DataFrame, prefixes: tuple[str, ...], needed: tuple[str, ...])
 
 def map_slices(df: DataFrame, text: str, schema: T.StructType | str, work: Callable[[pa.RecordBatch], dict | None], size: int = SLICE_BYTES) -> DataFrame:
     """mapInArrow over slices; `work` returns the columns of the result by name."""
-    kind = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
+    kind = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
     from pyspark.sql.pandas.types import to_arrow_schema
 
     out = to_arrow_schema(kind)
@@ -150,4 +180,4 @@ def map_slices(df: DataFrame, text: str, schema: T.StructType | str, work: Calla
                 if made is not None:
                     yield pa.RecordBatch.from_arrays([x if isinstance(x := made[f.name], pa.Array) and x.type == f.type else pa.array(x, type=f.type) for f in out], schema=out)
 
-    return df.mapInArrow(run, kind)
+    return in_small_batches(df, run, kind)

@@ -46,7 +46,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.remove_repeats(documents(spark, sf_dir), lengthen=True)
+    return substring_dedup.remove_repeats(documents(spark, sf_dir), least=20, lengthen=True)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

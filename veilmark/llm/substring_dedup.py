@@ -1,35 +1,37 @@
 """Substring dedup: runs of consecutive sentences that other documents, or earlier places, have too are removed.
 
-A sentence ends at a full stop, exclamation or question mark before white space, or at a line feed. Words that are MARGIN
-words or more away from both ends of their sentence may end a part of it: of every WINDOW words the one with the smallest
-hash does, so that a passage is cut alike wherever it stands, but for MARGIN + WINDOW words at its ends. Runs of `run`
-sentences or parts, longer where the words are few, are hashed; hashes meet in one aggregation and one join, a run's
-first place keeps it, and the sentences of all other places go.
+A sentence ends at a full stop, exclamation or question mark before white space, or at a line feed. A word that is
+MARGIN words or more away from both ends of its sentence ends a part of it where its hash is the least of the NEAR words
+on either side of it, so that a passage is cut alike wherever it stands, but for a few words at its ends. From each
+sentence or part on, the run of `run` of them, longer where the words are few, is hashed.
+
+One aggregation over all runs finds the hashes that occur more than once; a filter of fixed size over them lets a second
+pass over the texts send only runs that may be repeated into the join. A run's first place keeps it, and the sentences of
+all its other places go. Only texts that lose something meet the list of what they lose.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices
+from .common import hash_filter, in_small_batches, map_slices, passes, written
 from .words import U, mix, words
 
-#: Words at a sentence's ends that end no part, and how many of the others hold one that does.
-MARGIN, WINDOW = 6, 6
-#: Bits of the filter over hashes of short texts.
-_BITS = 23
+#: Words at a sentence's ends that end no part, and on how many words to either side of it one that does is the least.
+MARGIN, NEAR = 6, 4
 _NEVER = np.iinfo(np.uint64).max
 
 
-def window_minima(keys: np.ndarray, window: int) -> np.ndarray:
-    """True where a key is the first smallest of some `window` neighbours; the largest number is never chosen."""
-    out = np.zeros(len(keys), dtype=bool)
-    if len(keys) >= window:
-        out[np.lib.stride_tricks.sliding_window_view(keys, window).argmin(axis=1) + np.arange(len(keys) - window + 1)] = True
-    return out & (keys != _NEVER)
+def least_nearby(keys: np.ndarray, near: int) -> np.ndarray:
+    """True where a key is the least of itself and the `near` keys on either side; the largest number never is."""
+    edge = np.full(near, _NEVER)
+    around = np.lib.stride_tricks.sliding_window_view(np.concatenate([edge, keys, edge]), 2 * near + 1)
+    return (around.min(axis=1) == keys) & (keys != _NEVER)
 
 
 def sentences(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -53,15 +55,16 @@ def sentences(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     size = np.diff(s)
     place = np.arange(n) - np.repeat(s[:-1], size)
     apart = (place >= MARGIN - 1) & (np.repeat(size, size) - place > MARGIN)
-    s = starts(end | window_minima(np.where(apart, mix(hashes), _NEVER), WINDOW))
+    s = starts(end | least_nearby(np.where(apart, mix(hashes), _NEVER), NEAR))
     return hashes, s, np.searchsorted(s, at), data, first
 
 
 def runs(hashes: np.ndarray, s: np.ndarray, of: np.ndarray, run: int, least: int, lengthen: bool = False) -> tuple[np.ndarray, ...]:
     """(text, number of the first sentence in it, how many sentences, hash) of each run, of `least` words at least.
 
-    `run` sentences each; with `lengthen` the shortest run of as many or more, from each sentence on and up to each. A text of fewer sentences is one
-    run; so are the shorter runs of all texts, which count only where they are a whole text: their size is negative.
+    From each sentence on `run` of them, or with `lengthen` the fewest from there on, `run` at least, that have the words.
+    A text of fewer sentences is one run; so are the shorter runs of all texts, which count only where they are a whole
+    text: their size is negative.
     """
     total = len(s) - 1
     if total < 1:
@@ -77,10 +80,8 @@ def runs(hashes: np.ndarray, s: np.ndarray, of: np.ndarray, run: int, least: int
     on = np.maximum(np.searchsorted(s, s[:-1] + least), number + run)  # where the run from here on ends
     if not lengthen:
         on[on > number + run] = total + 1
-    back = np.minimum(np.searchsorted(s, s[1:] - least, "right") - 1, number + 1 - run)
-    up = lengthen & (back >= of[text]) & (on[np.maximum(back, 0)] != number + 1)
     fits = on <= of[text + 1]
-    begin, end = [number[fits], back[up]], [on[fits], number[up] + 1]
+    begin, end = [number[fits]], [on[fits]]
     for k in range(1, run):
         fits = (number + k <= of[text + 1]) & (s[np.minimum(number + k, total)] - s[:-1] >= least)
         begin.append(number[fits])
@@ -95,20 +96,11 @@ def runs(hashes: np.ndarray, s: np.ndarray, of: np.ndarray, run: int, least: int
     return text, begin - of[text], size, h
 
 
-def short_texts(base: DataFrame, run: int, least: int) -> np.ndarray:
-    """A filter of 2^_BITS bits over the hashes of texts with fewer than `run` sentences."""
-
-    def hashed(part: pa.RecordBatch) -> dict:
-        words_, s, of, *_ = sentences(part.column(1))
-        _, _, size, h = runs(words_, s, of, run, least)
-        return {"bit": pa.array(np.unique(h[(size > 0) & (size < run)] & U((1 << _BITS) - 1)).astype(np.int64))}
-
-    found = map_slices(base, "text", "bit bigint", hashed)
-    place, bit = F.shiftright("bit", 3), F.call_function("shiftleft", F.lit(1), (F.col("bit") % 8).cast("int"))
-    rows = found.groupBy(place.cast("int").alias("place")).agg(F.bit_or(bit).alias("bits")).toArrow()  # 2^_BITS / 8 rows at most
-    out = np.zeros(1 << _BITS - 3, dtype=np.uint8)
-    out[rows.column("place").to_numpy()] = rows.column("bits").to_numpy()
-    return out
+def without(raw: bytes, bounds: np.ndarray, gone: np.ndarray) -> bytes:
+    """A text without the sentences of which `gone` is true; `bounds` are their first bytes, counted from the first's."""
+    lead = len(raw) - len(raw.lstrip(b" \t\n\v\f\r"))
+    bounds = np.append(bounds + lead, len(raw))
+    return raw[:lead] + b"".join(raw[bounds[k] : bounds[k + 1]] for k in np.flatnonzero(~gone))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 3, least: int = 12, lengthen: bool = False) -> DataFrame:
@@ -116,54 +108,79 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A run is `run` consecutive sentences of `least` words together (where they have fewer, with `lengthen` as many more
     sentences as it takes, and without it none), or all of a text that has fewer sentences and enough words, wherever
-    the same sentences stand; ASCII case doesn't count. The first place of a run is the one of the smallest id, then
-    sentence; rows that repeat an id and its text count as one document. A removed sentence takes the white space after
-    it along. A null text stays null and an empty
-    one empty, a null id is compared with nothing, an empty table gives no rows, and further columns are not read.
+    the same sentences stand; ASCII case doesn't count. The first place of a run is the one of the smallest id, then of
+    the smallest hash of the text, then sentence; rows that repeat an id and its text count as one document and lose the
+    same, rows that repeat an id with another text are documents of their own. A removed sentence takes the white space
+    after it along. A null text stays null and an empty one empty, a null id is compared with nothing, an empty table
+    gives no rows, and further columns are not read. Texts are read whole, however long.
     """
+    spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-
+    text = F.col(text_col).cast("string")
+    base = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("version"))
     known = base.where("id IS NOT NULL")
-    short = docs.sparkSession.sparkContext.broadcast(short_texts(known, run, least))  # 2^_BITS bits
+
+    def whole_short_texts(part: pa.RecordBatch) -> dict:
+        words_, s, of, *_ = sentences(part.column(0))
+        _, _, size, h = runs(words_, s, of, run, least)
+        return {"hash": pa.array(h[(size > 0) & (size < run)].view(np.int64))}
+
+    short = spark.sparkContext.broadcast(hash_filter(map_slices(known.select("text"), "text", "hash bigint", whole_short_texts)))  # 2^FILTER_BITS bits
+
+    def spans(part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        words_, s, of, *_ = sentences(part.column(part.schema.get_field_index("text")))
+        found = runs(words_, s, of, run, least, lengthen)
+        keep = (found[2] > 0) | passes(short.value, found[3])
+        return tuple(x[keep] for x in found)
 
     def hashed(part: pa.RecordBatch) -> dict:
-        words_, s, of, *_ = sentences(part.column(1))
-        text, number, size, h = runs(words_, s, of, run, least, lengthen)
-        low = (h & U((1 << _BITS) - 1)).astype(np.int64)
-        keep = (size > 0) | ((short.value[low >> 3] >> (low & 7).astype(np.uint8)) & 1 > 0)
-        return {"id": part.column(0).take(pa.array(text[keep])), "number": pa.array(number[keep], pa.int32()), "size": pa.array(size[keep], pa.int32()), "hash": pa.array(h[keep].view(np.int64))}
-
-    spans = map_slices(known, "text", f"id {kind}, number int, size int, hash bigint", hashed)
-    first = spans.groupBy("hash").agg(F.min(F.struct("id", "number")).alias("first"), F.max(F.struct("id", "number")).alias("last"), F.max("size").alias("counts"))
-    first = first.where("first != last AND counts > 0").select(F.col("hash").alias("f_hash"), "first")
-    later = spans.join(first, F.col("hash") == F.col("f_hash")).where(F.struct("id", "number") != F.col("first"))
-    gone = later.groupBy(F.col("id").alias("g_id")).agg(F.collect_set(F.struct("number", F.abs("size").alias("size"))).alias("starts"))
-    joined = base.join(gone, F.col("id") == F.col("g_id"), "left").select("id", "text", "starts")
+        _, _, size, h = spans(part)
+        return {"hash": pa.array(h.view(np.int64)), "size": pa.array(size, pa.int32())}
+
+    counts = map_slices(known.select("text"), "text", "hash bigint, size int", hashed).groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("most"))
+    repeated = written(counts.where("n > 1 AND most > 0").select("hash"), "repeated")
+    often = spark.sparkContext.broadcast(hash_filter(repeated))  # 2^FILTER_BITS bits
+
+    def placed(part: pa.RecordBatch) -> dict:
+        of, number, size, h = spans(part)
+        keep = passes(often.value, h)
+        rows = pa.array(of[keep])
+        return {"id": part.column(0).take(rows), "version": part.column(2).take(rows), "number": pa.array(number[keep], pa.int32()), "size": pa.array(size[keep], pa.int32()), "hash": pa.array(h[keep].view(np.int64))}
+
+    maybe = map_slices(known, "text", f"id {kind}, version bigint, number int, size int, hash bigint", placed)
+    places = written(maybe.join(repeated, "hash"), "places")
+    place = F.struct("id", "version", "number")
+    first = places.groupBy(F.col("hash").alias("f_hash")).agg(F.min(place).alias("first"))
+    later = places.join(first, F.col("hash") == F.col("f_hash")).where(place != F.col("first"))
+    gone = later.groupBy("id", "version").agg(F.collect_set(F.struct("number", F.abs("size").alias("size"))).alias("starts"))
+    gone = written(gone.select(F.col("id").alias("g_id"), F.col("version").alias("g_version"), "starts"), "gone")
+    losing = spark.sparkContext.broadcast(hash_filter(gone.select("g_version")))  # 2^FILTER_BITS bits
+
+    def losers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(passes(losing.value, batch.column(2).to_numpy())))
+
+    out = f"id {kind}, sentences bigint, removed array<bigint>, kept_text string"
+
+    def whole(part: pa.RecordBatch) -> dict:
+        part = part.filter(pa.array(~passes(losing.value, part.column(2).to_numpy())))
+        _, _, of, *_ = sentences(part.column(1))
+        return {"id": part.column(0), "sentences": pa.array(np.diff(of), pa.int64()), "removed": pa.array([[]] * part.num_rows, pa.list_(pa.int64())), "kept_text": part.column(1).cast(pa.string())}
 
     def cleaned(part: pa.RecordBatch) -> dict:
-        _, s, of, data, first = sentences(part.column(1))
+        _, s, of, _, first = sentences(part.column(1))
         texts, removed, count = part.column(1).to_pylist(), [], np.diff(of)
-        lists = part.column(2)
-        at, numbers, sizes = np.asarray(lists.offsets), np.asarray(lists.values.field("number")), np.asarray(lists.values.field("size"))
-        for i in range(len(texts)):
-            if not lists[i].is_valid or at[i] == at[i + 1]:
-                removed.append([])
-                continue
-            n = int(count[i])
-            begin, size = numbers[at[i] : at[i + 1]], sizes[at[i] : at[i + 1]]
-            edges = np.zeros(n + 1, dtype=np.int64)
-            np.add.at(edges, begin, 1)
-            np.add.at(edges, np.minimum(begin + size, n), -1)
+        for i, starts in enumerate(part.column(3).to_pylist()):
+            edges = np.zeros(int(count[i]) + 1, dtype=np.int64)
+            for x in starts or []:
+                edges[x["number"]] += 1
+                edges[x["number"] + x["size"]] -= 1
             marked = np.cumsum(edges[:-1]) > 0
-            bounds = np.append(first[s[of[i] : of[i + 1]]], 0)
-            raw, begin = texts[i].encode(), int(bounds[0])
-            lead = len(raw) - len(raw.lstrip(b" \t\n\v\f\r"))
-            bounds = bounds - begin + lead
-            bounds[-1] = len(raw)
-            parts = [raw[:lead]] + [raw[bounds[k] : bounds[k + 1]] for k in np.flatnonzero(~marked)]
-            texts[i] = b"".join(parts).decode()
             removed.append(np.flatnonzero(marked).tolist())
+            if marked.any():
+                bounds = first[s[of[i] : of[i + 1]]]
+                texts[i] = without(texts[i].encode(), bounds - bounds[0], marked).decode()
         return {"id": part.column(0), "sentences": pa.array(count, pa.int64()), "removed": pa.array(removed, pa.list_(pa.int64())), "kept_text": pa.array(texts, pa.string())}
 
-    return map_slices(joined, "text", f"id {kind}, sentences bigint, removed array<bigint>, kept_text string", cleaned).withColumnRenamed("id", id_col)
+    found = in_small_batches(base, losers, base.schema).join(gone, (F.col("id") == F.col("g_id")) & (F.col("version") == F.col("g_version")), "left").select("id", "text", "version", "starts")
+    return map_slices(found, "text", out, cleaned).union(map_slices(base, "text", out, whole)).withColumnRenamed("id", id_col)
