@@ -19,7 +19,7 @@ SLICE_BYTES = 500_000
 #: Bytes of an Arrow batch between Spark and a Python worker, which holds several copies of it; a longer row is a batch.
 BATCH_BYTES = "4m"
 #: Bits of a filter over hashes.
-FILTER_BITS = 26
+FILTER_BITS = 24
 
 
 def shared_dir(spark: SparkSession) -> str:

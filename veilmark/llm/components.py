@@ -1,8 +1,10 @@
 """Connected components of a graph of links, by alternating large-star and small-star steps.
 
 Each step hangs neighbours below the smallest id around them; the edges become stars around the smallest id of each
-component. Every step is one combinable minimum and one join, both by vertex, so a vertex with very many neighbours is
-neither collected nor one task's work where joins on large keys are split. Each round is a checkpoint.
+component. Every step is one combinable minimum and one join, both by vertex. The centre of a star may have very many
+neighbours: in the step that reads edges both ways the minima are a checkpoint of their own, so that the join is of two
+plain exchanges and Spark can split the centre's edges over tasks. In the other step a vertex only has the few centres
+around it. Each step is a checkpoint.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from .common import checkpoint
 def _large_star(edges: DataFrame) -> DataFrame:
     """Neighbours larger than a vertex move below the least of its neighbourhood."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.col("u")).alias("m"))
+    least = checkpoint(both.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.col("u")).alias("m")))
     moved = both.where(F.col("b") > F.col("a")).join(least, F.col("a") == F.col("u"))
     return moved.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
@@ -35,9 +37,9 @@ def components(edges: DataFrame) -> DataFrame:
 
     Loops, repeated and null ends don't count; without links there are no rows.
     """
-    now = edges.where("a <> b").select("a", "b").distinct()
+    now = checkpoint(edges.where("a <> b").select("a", "b").distinct())
     while True:
-        now = checkpoint(_small_star(_large_star(now)))
+        now = checkpoint(_small_star(checkpoint(_large_star(now))))
         # done when edges are stars: no vertex has two centres, none is below a centre and a centre too
         ends = now.select(F.col("a").alias("v"), F.lit(1).alias("below"), F.lit(0).alias("centre")).union(now.select("b", F.lit(0), F.lit(1)))
         open_ = ends.groupBy("v").agg(F.sum("below").alias("below"), F.max("centre").alias("centre")).where("below + centre > 1 AND below > 0")

@@ -2,11 +2,16 @@
 
 Texts become sets of word shingles. Equal sets are one class. Classes that may be similar are brought together by a
 pigeonhole: with the shingles' hash range cut into m parts, sets of a similarity of t or more differ in at most d parts,
-so of any fixed order of parts they share one among the first d + 1 of either. Sets that share such a part, directly or through
-others, form a group; sets of different groups can't be similar. Within a group, cut into blocks of bounded size, every
-set is a query against inverted lists: short lists are merged by counting, the few longest are only probed by binary
-search for what the short ones leave, and what reaches the required overlap is linked. Blocks report a spanning forest
-of their links, so a group of copies never becomes all its pairs.
+so of any fixed order of parts they share one among the first d + 1 of either. Parts that two sets have are found by one
+combinable aggregation; a filter of fixed size over them lets only postings that may be shared into the join. Sets that
+share such a part, directly or through others, form a group; sets of different groups can't be similar. Within a group,
+cut into blocks of bounded size, every set is a query against inverted lists: short lists are merged by counting, the few
+longest are only probed by binary search for what the short ones leave, and what reaches the required overlap is linked.
+Blocks report a spanning forest of their links, so a group of copies never becomes all its pairs.
+
+A group of many blocks is first searched within each block and against its first block, which takes as many searches as
+it has blocks. Two blocks whose members are all one component by then have nothing left to join and are not compared;
+only the others meet one another.
 
 All comparisons are of 64-bit hashes of shingles, whole numbers, and exact on them.
 """
@@ -20,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, map_slices, settings, slices, written
+from .common import drop_written, hash_filter, in_small_batches, map_slices, passes, settings, slices, written
 from .components import components
 from .words import U, mix, shingles, words
 
@@ -32,7 +37,7 @@ BLOCK = 200_000
 #: are. By default Spark leaves it out for scans under 10 GB.
 RUNTIME_FILTER = {"spark.sql.optimizer.runtime.bloomFilter.enabled": "true", "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "1m"}
 #: Sets that a task remembers to let copies speak once.
-SEEN = 1_000_000
+SEEN = 100_000
 
 
 def differ(largest: int, hundredths: int) -> int:
@@ -142,26 +147,6 @@ def links(a: list[np.ndarray], b: list[np.ndarray] | None, hundredths: int) -> l
     return kept
 
 
-def _stars(postings: DataFrame) -> DataFrame:
-    """(a, b): each set with the first set that has the same part. One sorted pass; a long list is never held."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, pivot = None, None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            h, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            first = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1])
-            pivots = np.repeat(ids[first], np.diff(np.append(first, len(h))))
-            if h[0] == part:
-                pivots[: first[1] if len(first) > 1 else len(h)] = pivot
-            part, pivot = h[-1], pivots[-1]
-            other = ids != pivots
-            yield pa.RecordBatch.from_arrays([pa.array(ids[other]), pa.array(pivots[other])], names=["a", "b"])
-
-    return postings.repartition("part").sortWithinPartitions("part", "id").mapInArrow(run, "a bigint, b bigint").distinct()
-
-
 def _blocks(sets: DataFrame) -> DataFrame:
     """Sets in the order of group and size, packed into rows of BLOCK shingles or one larger set."""
 
@@ -189,7 +174,7 @@ def _blocks(sets: DataFrame) -> DataFrame:
             yield pack(held)
 
     ordered = sets.select("group", "n", "id", "set").repartitionByRange("group", "n", "id").sortWithinPartitions("group", "n", "id")
-    return ordered.mapInArrow(run, "block string, first bigint, last bigint, first_low bigint, first_high bigint, last_low bigint, last_high bigint, groups binary, ids binary, sizes binary, sets binary")
+    return in_small_batches(ordered, run, "block string, first bigint, last bigint, first_low bigint, first_high bigint, last_low bigint, last_high bigint, groups binary, ids binary, sizes binary, sets binary")
 
 
 def _open(r: dict, p: str) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -219,28 +204,40 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
         one, two = np.array([identity(s) for s in sets], dtype=np.uint64).reshape(-1, 2).T.copy()
         return {"id": part.column(0), "n": pa.array([len(s) for s in sets], pa.int64()), "one": pa.array(one.view(np.int64)), "two": pa.array(two.view(np.int64))}
 
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # copies in a task speak once
-        for batch in batches:
-            for part in slices(batch, "text"):
-                hashes, at, *_ = words(part.column(1))
-                found, keys = [], []
-                for s in shingles(hashes, at, n):
-                    one, two = identity(s)
-                    if len(s) and one not in seen:
-                        seen.add(one)
-                        found.append(signatures(s, hundredths))
-                        keys.append(one)
-                if len(seen) > SEEN:
-                    seen.clear()
-                if found:
-                    count = [len(x) for x in found]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(np.array(keys, dtype=np.uint64), count).view(np.int64))], names=["part", "id"])
+    def parts(shared):
+        """(part, id) of each set; with a filter only the parts that pass it."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: set[int] = set()  # copies in a task speak once
+            for batch in batches:
+                for piece in slices(batch, "text"):
+                    hashes, at, *_ = words(piece.column(1))
+                    found, keys = [], []
+                    for s in shingles(hashes, at, n):
+                        one, two = identity(s)
+                        if len(s) and one not in seen:
+                            seen.add(one)
+                            part = signatures(s, hundredths)
+                            found.append(part if shared is None else part[passes(shared.value, part)])
+                            keys.append(one)
+                    if len(seen) > SEEN:
+                        seen.clear()
+                    if found:
+                        count = [len(x) for x in found]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(np.array(keys, dtype=np.uint64), count).view(np.int64))], names=["part", "id"])
+
+        return in_small_batches(base.where("id IS NOT NULL"), run, "part bigint, id bigint")
 
     profiles = written(map_slices(base, "text", "id bigint, n bigint, one bigint, two bigint", profile), "profiles")
     classes = profiles.where("n > 0 AND id IS NOT NULL").groupBy("one", "two", "n").agg(F.min("id").alias("rep"))
     classes = classes.select(F.col("one").alias("c_one"), F.col("two").alias("c_two"), F.col("n").alias("c_n"), "rep")
-    groups = components(_stars(base.where("id IS NOT NULL").mapInArrow(parts, "part bigint, id bigint")))
+    # every set with the first set that has the same part
+    shared = parts(None).groupBy("part").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last")
+    shared = written(shared.select("part", "pivot"), "shared")
+    some = docs.sparkSession.sparkContext.broadcast(hash_filter(shared.select("part")))  # 2^FILTER_BITS bits
+    stars = parts(some).join(shared, "part").where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
+    groups = components(stars)
+    drop_written(shared)
     members = groups.select(F.col("id").alias("g_one"), F.col("component").alias("group")).join(classes, F.col("g_one") == F.col("c_one"))
     groups = written(members.select(F.col("rep").alias("g_id"), F.col("c_n").alias("g_n"), "group"), "groups")
 
@@ -270,18 +267,41 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
                 i, j = np.flatnonzero(of_a == r["group"]), np.flatnonzero(of_b == r["group"])
                 yield _edges(np.concatenate([ids_a[i], ids_b[j]]), links([a[k] for k in i], [b[k] for k in j], hundredths))
 
-    inner = blocks.select("groups", "ids", "sizes", "sets").mapInArrow(within, "a bigint, b bigint")
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of the groups that go on in other blocks, where each member is."""
+        for batch in batches:
+            for r in batch.to_pylist():
+                of, ids = np.frombuffer(r["groups"], "<i8"), np.frombuffer(r["ids"], "<i8")
+                at = np.flatnonzero((of == r["first"]) | (of == r["last"]))
+                yield pa.RecordBatch.from_arrays([pa.array([r["block"]] * len(at), pa.string()), pa.array(of[at]), pa.array(ids[at])], names=["m_block", "m_group", "m_id"])
+
+    inner = in_small_batches(blocks.select("groups", "ids", "sizes", "sets"), within, "a bigint, b bigint")
     # a group that goes on in another block is the first or the last of both
-    ends = blocks.select("block", F.explode(F.array_distinct(F.array(F.struct(F.col("first").alias("group"), F.col("first_low").alias("low"), F.col("first_high").alias("high")), F.struct(F.col("last").alias("group"), F.col("last_low").alias("low"), F.col("last_high").alias("high"))))).alias("e")).select("block", "e.*")
-    side = lambda p: ends.select(*[F.col(c).alias(f"{p}_{c}") for c in ("block", "group", "low", "high")])
+    ends = blocks.select("block", F.explode(F.array_distinct(F.array(*[F.struct(F.col(x).alias("group"), F.col(f"{x}_low").alias("low"), F.col(f"{x}_high").alias("high")) for x in ("first", "last")]))).alias("e")).select("block", "e.*")
+    spread = ends.groupBy(F.col("group").alias("s_group")).agg(F.min(F.struct("low", "block")).alias("lead"), F.count(F.lit(1)).alias("blocks")).where("blocks > 1")
+    spread = written(ends.join(spread, F.col("group") == F.col("s_group")).select("block", "group", "low", "high", F.col("lead.block").alias("lead")), "spread")
+    side = lambda rows, p: rows.select(*[F.col(c).alias(f"{p}_{c}") for c in rows.columns])
     fits = (F.col("x_high") * 100 >= F.col("y_low") * hundredths) & (F.col("y_high") * 100 >= F.col("x_low") * hundredths)
-    pairs = side("x").join(side("y"), (F.col("x_group") == F.col("y_group")) & (F.col("x_block") < F.col("y_block"))).where(fits).select("x_block", "y_block", F.col("x_group").alias("group"))
-    full = lambda p: blocks.select(F.col("block").alias(f"{p}_block"), *[F.col(c).alias(f"{p}_{c}") for c in ("groups", "ids", "sizes", "sets")])
-    outer = pairs.join(full("a"), F.col("x_block") == F.col("a_block")).join(full("b"), F.col("y_block") == F.col("b_block")).mapInArrow(across, "a bigint, b bigint")
-    found = written(inner.union(outer), "links")
+    full = lambda p: side(blocks.select("block", "groups", "ids", "sizes", "sets"), p)
+
+    def searched(pairs: DataFrame) -> DataFrame:
+        met = pairs.select("x_block", "y_block", F.col("x_group").alias("group")).join(full("a"), F.col("x_block") == F.col("a_block")).join(full("b"), F.col("y_block") == F.col("b_block"))
+        return in_small_batches(met, across, "a bigint, b bigint")
+
+    if spread.isEmpty():
+        linked = components(inner)
+    else:
+        first = side(spread.where("block = lead"), "x").join(side(spread.where("block <> lead"), "y"), (F.col("x_group") == F.col("y_group")) & fits)
+        linked = components(inner.union(searched(first)))
+        inside = in_small_batches(blocks.select("block", "first", "last", "groups", "ids"), members, "m_block string, m_group bigint, m_id bigint")
+        inside = inside.join(linked, F.col("m_id") == F.col("id"), "left").withColumn("now", F.coalesce("component", "m_id"))
+        state = inside.groupBy(F.col("m_block").alias("block"), F.col("m_group").alias("group")).agg(F.min("now").alias("least"), F.max("now").alias("most"))
+        rest = written(spread.where("block <> lead").join(state, ["block", "group"]), "rest")
+        settled = (F.col("x_least") == F.col("x_most")) & (F.col("y_least") == F.col("y_most")) & (F.col("x_least") == F.col("y_least"))
+        open_ = written(side(rest, "x").join(side(rest, "y"), (F.col("x_group") == F.col("y_group")) & (F.col("x_block") < F.col("y_block")) & fits & ~settled).select("x_block", "y_block", "x_group"), "open")
+        if not open_.isEmpty():
+            linked = components(linked.select(F.col("id").alias("a"), F.col("component").alias("b")).union(searched(open_)))
     drop_written(blocks)
-    linked = components(found)
-    drop_written(found)
     linked = linked.select(F.col("id").alias("l_id"), "component")
     found = classes.select("c_one", "c_two", "c_n", "rep").join(linked, F.col("rep") == F.col("l_id"), "left").select("c_one", "c_two", "c_n", F.coalesce("component", "rep").alias("component"))
     out = profiles.select("id", "n", "one", "two").join(found, (F.col("one") == F.col("c_one")) & (F.col("two") == F.col("c_two")) & (F.col("n") == F.col("c_n")) & F.col("id").isNotNull(), "left")

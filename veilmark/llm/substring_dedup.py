@@ -150,7 +150,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     maybe = map_slices(known, "text", f"id {kind}, version bigint, number int, size int, hash bigint", placed)
     places = written(maybe.join(repeated, "hash"), "places")
     place = F.struct("id", "version", "number")
-    first = places.groupBy(F.col("hash").alias("f_hash")).agg(F.min(place).alias("first"))
+    # written, so that the join is of two exchanges and a hash with very many places can be split
+    first = written(places.groupBy(F.col("hash").alias("f_hash")).agg(F.min(place).alias("first")), "first")
     later = places.join(first, F.col("hash") == F.col("f_hash")).where(place != F.col("first"))
     gone = later.groupBy("id", "version").agg(F.collect_set(F.struct("number", F.abs("size").alias("size"))).alias("starts"))
     gone = written(gone.select(F.col("id").alias("g_id"), F.col("version").alias("g_version"), "starts"), "gone")
