@@ -1,6 +1,8 @@
 """Decontamination, secrets, personal data, language, quality: brute force, planted cases, edge cases."""
 
 import hashlib
+import itertools
+import random
 import re
 
 import numpy as np
@@ -98,18 +100,50 @@ def test_leaks(spark, sf):
 
 
 def test_leaks_of_exact_passages(spark, sf):
-    """Every document with a whole item in it is found; blocks of the benchmark change nothing."""
+    """Every document with a whole item in it is found."""
     docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
     items = [r["text"] for r in bench.collect()]
     whole = {r["doc_id"] for r in docs.collect() if any(x in r["text"] for x in items)}
     found = {r["doc_id"] for r in decontamination.find_leaks(docs, bench).where("contaminated").collect()}
     assert whole and whole <= found
-    was = decontamination.BLOCK_WORDS
-    decontamination.BLOCK_WORDS = 200
-    try:
-        assert {r["doc_id"] for r in decontamination.find_leaks(docs, bench).where("contaminated").collect()} == found
-    finally:
-        decontamination.BLOCK_WORDS = was
+
+
+def leaks_by_hand(items, text, least=8, share=(4, 5)):
+    """All alignments and all stretches, word by word."""
+    cut = lambda t: [w.lower() for w in re.findall(r"[^\W_]+", t or "", re.A)]
+    own, out = cut(text), set()
+    for name, t in items:
+        item = cut(t)
+        need = max(1, min(least, -(-share[0] * len(item) // share[1])))
+        for shift in range(-len(item) + 1, len(own)):
+            same = [0 <= shift + k < len(own) and own[shift + k] == w for k, w in enumerate(item)]
+            for i in range(len(item)):
+                for j in range(i + need, len(item) + 1):
+                    inside = 0 <= shift + i and shift + j <= len(own)
+                    if inside and sum(same[i:j]) >= need and share[1] * sum(same[i:j]) >= share[0] * (j - i):
+                        out.add(name)
+    return out
+
+
+def test_leaks_with_substitutions_by_brute_force(spark):
+    """Items of any length, with every number of substituted words: found where the stated rule holds, and nowhere else."""
+    r = random.Random(12)
+    word = lambda: f"w{r.randrange(60)}"
+    items = [(f"i{n}", " ".join(f"{word()}x{n}" for _ in range(n))) for n in (1, 3, 5, 6, 7, 8, 9, 10, 12, 13, 16, 20, 25, 40)]
+    texts = []
+    for _ in range(12):
+        for _, t in items:
+            w = t.split()
+            for k in r.sample(range(len(w)), r.randrange(0, 1 + (len(w) + 3) // 4)):
+                w[k] = word()
+            texts.append(" ".join([*(word() for _ in range(r.randrange(9))), *w, *(word() for _ in range(r.randrange(9)))]))
+    bench = spark.createDataFrame([*items, items[3], ("none", None), ("empty", "")], "item_id STRING, text STRING")
+    docs = spark.createDataFrame([(i, t, "leaks", "v") for i, t in enumerate([*texts, texts[5], None, ""])], "doc_id BIGINT, text STRING, leaks STRING, v_one STRING")
+    got = {x["doc_id"]: [y["item"] for y in x["leaks"]] for x in decontamination.with_leaks(docs, bench).collect()}
+    for i, t in enumerate([*texts, texts[5], None, ""]):
+        assert set(got[i]) == leaks_by_hand(items, t), (i, t)
+    assert sum(map(bool, got.values())) > 60 and decontamination.with_leaks(docs.limit(0), bench).count() == 0
+    assert decontamination.with_leaks(docs, bench).columns == ["doc_id", "text", "v_one", "leaks"]
 
 
 def test_language(spark, sf):
@@ -194,8 +228,15 @@ def test_random_strings_of_one_case(run, random):
 
 
 def leak_of(item, text):
-    h, at, *_ = words.words(pa.array([text]), words.PUNCTUATION)
-    return decontamination.leaks(h, at, decontamination.table(["i"], [item]), 8, 0.8)[0]
+    """Leaks at every place that a seed gives."""
+    own, what = (words.words(pa.array([t]), words.PUNCTUATION)[0] for t in (text, item))
+    found, place = decontamination.item_seeds(what, 8, 0.8)
+    shifts = set()
+    for mask in {*decontamination.MASKS, *[m for m, _ in decontamination.masks_of(len(what), 8, 0.8)]}:
+        for at, seed in enumerate(decontamination.seeds(own, mask).tolist()):
+            shifts |= {at - int(p) for p in place[found == np.uint64(seed)]}
+    leaks = [decontamination.leak_at(own, what, s, 8, 0.8) for s in sorted(shifts)]
+    return [{"item": "i", "start": x[0], "end": x[1], "agree": x[2]} for x in leaks if x]
 
 
 def test_leaks_by_the_stated_rule():
@@ -216,3 +257,11 @@ def test_leaks_by_the_stated_rule():
         ends = [(i, j) for i in range(len(same)) for j in range(i + 1, len(same) + 1) if 5 * same[i:j].sum() >= 4 * (j - i)]
         agree, i, j = decontamination.best_stretch(same)
         assert agree == max((same[i:j].sum() for i, j in ends), default=0) == same[i:j].sum() and 5 * agree >= 4 * (j - i)
+
+
+@pytest.mark.parametrize(("n", "k"), [(9, 1), (10, 2), (11, 2), (12, 2), (13, 2), (14, 2), (15, 3), (16, 3), (17, 3), (20, 4), (25, 5), (40, 8)])
+def test_masks_hit_whatever_words_are_substituted(n, k):
+    every = list(itertools.combinations(range(n), k))
+    for gone in every if len(every) < 1500 else random.Random(n).sample(every, 1500) if len(every) < 10**6 else [random.Random(i).sample(range(n), k) for i in range(1500)]:
+        same = "".join("01"[i not in gone] for i in range(n))
+        assert any(all(b == "0" or same[a + i] == "1" for i, b in enumerate(m)) for m in decontamination.MASKS for a in range(n - len(m) + 1)), same

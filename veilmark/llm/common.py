@@ -96,6 +96,26 @@ def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1) > 0
 
 
+def with_few(df: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
+    """`df` left-joined with a table that has rows for few of its keys, the first of them a hash; `few` has a row a key.
+
+    Only rows whose key may be in `few` go into the join, by a filter of fixed size; the others stay where they are.
+    """
+    bits = df.sparkSession.sparkContext.broadcast(hash_filter(few.select(keys[0])))  # 2^FILTER_BITS bits
+    at = df.columns.index(keys[0])
+
+    def rows(inside: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                maybe = passes(bits.value, batch.column(at).to_numpy())
+                yield batch.filter(pa.array(maybe if inside else ~maybe))
+
+        return in_small_batches(df, run, df.schema)
+
+    added = [f for f in few.schema if f.name not in keys]
+    return rows(True).join(few, keys, "left").select(*df.columns, *[f.name for f in added]).unionByName(rows(False).withColumns({f.name: F.lit(None).cast(f.dataType) for f in added}))
+
+
 def held_out(doc_id: Column | str) -> Column:
     """True for the fold that no model learns from."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id

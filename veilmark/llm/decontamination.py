@@ -1,19 +1,20 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 A mask reads some of a few neighbouring words and ignores the rest, so a substituted word spoils only the seeds that
-read it. Seeds of the benchmark are looked up for the seeds of every document; each hit fixes how a document and an
-item would lie on each other, and there the words are compared one by one: the longest stretch whose words agree in the
-share asked for counts as a leak when enough of them do. An item too short for the masks has masks of its own, one for
-each choice of words that suffices.
-
-The benchmark is joined as a lookup table inside the tasks. It goes out in blocks of bounded size, one pass over the
-documents' words for each, so a larger benchmark costs more passes and never more memory.
+read it. Seeds of the benchmark's items and seeds of the documents are joined by their hash; each hit fixes how a
+document and an item would lie on each other, and there the words are compared one by one: the longest stretch whose
+words agree in the share asked for counts as a leak when enough of them do. An item too short for the masks has masks of
+its own, one for each choice of words that suffices.
+
+Seeds, items and leaks are tables: nothing of the benchmark passes through the driver but which short lengths occur. A
+filter of fixed size over the benchmark's seeds keeps all other seeds of the documents out of the join. Equal texts are
+searched once, and only texts that hold a seed meet the items' words.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from collections.abc import Iterator
 from fractions import Fraction
 from itertools import combinations
 
@@ -22,14 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns
+from .common import hash_filter, in_small_batches, map_slices, passes, set_aside, with_few, written
 from .words import PUNCTUATION, U, mix, words
 
-#: 1: the word counts, 0: any word. Five words each.
-MASKS = ("111011", "1101011", "10110101", "110010011")
-#: Words of the benchmark that one lookup table holds, and the bits of the filter before it.
-BLOCK_WORDS = 500_000
-_BITS = 22
+#: 1: the word counts, 0: any word. Five words each; together they hit every stretch of nine words or more in which a
+#: fifth of the words are substituted, wherever these are, as the tests try out.
+MASKS = ("11111", "111011", "11001011")
+#: Items of fewer words have masks of their own.
+SHORT = 8
 
 
 def seeds(hashes: np.ndarray, mask: str) -> np.ndarray:
@@ -43,18 +44,6 @@ def seeds(hashes: np.ndarray, mask: str) -> np.ndarray:
     return mix(out)
 
 
-@dataclass
-class Table:
-    items: list  # ids
-    words: np.ndarray  # of all items, one after the other
-    at: np.ndarray  # first word of each item, and the end
-    seeds: np.ndarray  # sorted
-    place: np.ndarray  # the seed's first word, counted over all items
-    item: np.ndarray
-    masks: list[str]  # in use
-    bits: tuple[np.ndarray, np.ndarray]
-
-
 def enough(size: int, least: int, share: float) -> int:
     """How many words of an item must agree."""
     return max(1, min(least, math.ceil(_fraction(share) * size)))
@@ -69,31 +58,22 @@ def short_masks(size: int, need: int) -> list[tuple[str, int]]:
     return [("".join("01"[k in c] for k in range(c[0], c[-1] + 1)), c[0]) for c in combinations(range(size), need)]
 
 
-def table(items: list, texts: list[str], least: int = 8, share: float = 0.8) -> Table:
-    hashes, at, *_ = words(pa.array(texts, pa.string()), PUNCTUATION)
-    owner = np.repeat(np.arange(len(items)), np.diff(at))
-    sizes = np.diff(at)
-    found, place, used = [], [], list(MASKS)
-    for mask in MASKS:
+def masks_of(size: int, least: int, share: float) -> list[tuple[str, int | None]]:
+    """(mask, its place in an item of that many words; None: every place) of an item's seeds."""
+    if size < SHORT:
+        return list(short_masks(size, enough(size, least, share))) if size else []
+    return [(m, None) for m in MASKS]
+
+
+def item_seeds(hashes: np.ndarray, least: int, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """(seed, its first word's place) of an item."""
+    found, place = [np.empty(0, dtype=np.uint64)], [np.empty(0, dtype=np.int64)]
+    for mask, at in masks_of(len(hashes), least, share):
         s = seeds(hashes, mask)
-        whole = owner[: len(s)] == owner[len(mask) - 1 : len(mask) - 1 + len(s)] if len(s) else np.empty(0, dtype=bool)
-        found.append(s[whole])
-        place.append(np.flatnonzero(whole))
-    for size in range(1, min(map(len, MASKS))):
-        begin = at[:-1][sizes == size]
-        if not len(begin):
-            continue
-        for mask, lead in short_masks(size, enough(size, least, share)):
-            found.append(seeds(hashes, mask)[begin + lead])
-            place.append(begin + lead)
-            used.append(mask)
-    found, place = np.concatenate(found), np.concatenate(place)
-    order = np.argsort(found, kind="stable")
-    found, place = found[order], place[order]
-    low, high = np.zeros(1 << _BITS, dtype=bool), np.zeros(1 << _BITS, dtype=bool)
-    low[found & U((1 << _BITS) - 1)] = True
-    high[found >> U(64 - _BITS)] = True
-    return Table(items, hashes, at, found, place, owner[place] if len(place) else place, list(dict.fromkeys(used)), (low, high))
+        here = np.arange(len(s)) if at is None else np.array([at])
+        found.append(s[here])
+        place.append(here)
+    return np.concatenate(found), np.concatenate(place)
 
 
 def best_stretch(same: np.ndarray, share: float = 0.8) -> tuple[int, int, int]:
@@ -112,52 +92,73 @@ def best_stretch(same: np.ndarray, share: float = 0.8) -> tuple[int, int, int]:
     return (len(agree), start + int(agree[0]), start + int(agree[-1]) + 1) if len(agree) else (0, 0, 0)
 
 
-def leaks(hashes: np.ndarray, at: np.ndarray, t: Table, least: int, share: float) -> list[list[dict]]:
-    """For each text the items that it holds, with the words' places in the text."""
-    out: list[list[dict]] = [[] for _ in range(len(at) - 1)]
-    if not len(t.seeds) or not len(hashes):
-        return out
-    text = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    pairs = []
-    for mask in t.masks:
-        s = seeds(hashes, mask)
-        if not len(s):
-            continue
-        maybe = np.flatnonzero(t.bits[0][s & U((1 << _BITS) - 1)])
-        maybe = maybe[t.bits[1][s[maybe] >> U(64 - _BITS)]]
-        maybe = maybe[text[maybe] == text[maybe + len(mask) - 1]]
-        first, last = np.searchsorted(t.seeds, s[maybe], "left"), np.searchsorted(t.seeds, s[maybe], "right")
-        n = last - first
-        maybe, first, n = maybe[n > 0], first[n > 0], n[n > 0]
-        if len(n):
-            which = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            place = np.repeat(maybe, n)
-            pairs.append(np.stack([text[place], t.item[which], place - t.place[which]]))
-    if not pairs:
-        return out
-    for doc, item, shift in np.unique(np.concatenate(pairs, axis=1), axis=1).T.tolist():
-        a, b = int(t.at[item]), int(t.at[item + 1])
-        begin, end = max(a, int(at[doc]) - shift), min(b, int(at[doc + 1]) - shift)
-        agree, i, j = best_stretch(hashes[begin + shift : end + shift] == t.words[begin:end], share)
-        if agree >= enough(b - a, least, share):
-            start = begin + shift + i - int(at[doc])
-            out[doc].append({"item": t.items[item], "start": start, "end": start + j - i, "agree": agree})
-    return out
-
-
-def blocks(benchmark: DataFrame, id_col: str, text_col: str, least: int, share: float) -> list[Table]:
-    """Lookup tables over the benchmark's items, each of BLOCK_WORDS words or one longer item; streamed to the driver."""
-    out, items, texts, size = [], [], [], 0
-    rows = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t")).where("t IS NOT NULL")
-    for r in rows.orderBy("i", "t").toLocalIterator():
-        n = len(r["t"].split())
-        if items and size + n > BLOCK_WORDS:
-            out.append(table(items, texts, least, share))
-            items, texts, size = [], [], 0
-        items.append(r["i"])
-        texts.append(r["t"])
-        size += n
-    return [*out, *([table(items, texts, least, share)] if items else [])]
+def leak_at(text: np.ndarray, item: np.ndarray, shift: int, least: int, share: float) -> tuple[int, int, int] | None:
+    """(start, end, words that agree) of the leak where the item's first word lies on the text's word `shift`."""
+    begin, end = max(0, -shift), min(len(item), len(text) - shift)
+    agree, i, j = best_stretch(text[begin + shift : end + shift] == item[begin:end], share)
+    return (begin + shift + i, begin + shift + j, agree) if agree >= enough(len(item), least, share) else None
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text: str, least: int, share: float) -> DataFrame:
+    """A row (v_one, v_two, leaks) for each text of `docs` (v_one, v_two, v_text) that holds leaks."""
+    spark = docs.sparkSession
+    raw = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).cast("string").alias("text")).where("text IS NOT NULL")
+    raw = raw.withColumn("key", F.xxhash64("item", "text")).dropDuplicates(["item", "text"])
+
+    def items_(part: pa.RecordBatch) -> dict:
+        hashes, at, *_ = words(part.column(1), PUNCTUATION)
+        own = [hashes[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+        return {"item": part.column(0), "key": part.column(2), "n": pa.array(np.diff(at), pa.int64()), "item_words": pa.array(own, pa.binary())}
+
+    def seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                seed, place = item_seeds(np.frombuffer(own, "<u8"), least, share)
+                yield pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), pa.array(np.full(len(seed), key)), pa.array(place, pa.int32())], names=["seed", "key", "place"])
+
+    items = written(map_slices(raw, "text", "item string, key bigint, n bigint, item_words binary", items_).where("n > 0"), "items")
+    seeds_ = written(in_small_batches(items.select("key", "item_words"), seeded, "seed bigint, key bigint, place int"), "seeds")
+    sizes = [r["n"] for r in items.where(F.col("n") < SHORT).select("n").distinct().collect()]  # SHORT rows at most
+    masks = list(dict.fromkeys([*MASKS, *[m for n in sorted(sizes) for m, _ in masks_of(n, least, share)]]))
+    wanted = spark.sparkContext.broadcast(hash_filter(seeds_.select("seed")))  # 2^FILTER_BITS bits
+
+    def hits(part: pa.RecordBatch) -> dict:
+        hashes, at, *_ = words(part.column(2), PUNCTUATION)
+        text = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        found, where = [np.empty(0, dtype=np.uint64)], [np.empty(0, dtype=np.int64)]
+        for mask in masks:
+            s = seeds(hashes, mask)
+            here = np.flatnonzero(passes(wanted.value, s))
+            here = here[text[here] == text[here + len(mask) - 1]]
+            found.append(s[here])
+            where.append(here)
+        seed, here = np.concatenate(found), np.concatenate(where)
+        of = text[here]
+        rows = pa.array(of)
+        return {"v_one": part.column(0).take(rows), "v_two": part.column(1).take(rows), "seed": pa.array(seed.view(np.int64)), "at": pa.array(here - at[of], pa.int32())}
+
+    found = map_slices(docs, "v_text", "v_one bigint, v_two bigint, seed bigint, at int", hits)
+    # a text's places in an item: as many as both have words, however often a seed occurs in them
+    lying = found.join(seeds_, "seed").groupBy("v_one", "v_two", "key").agg(F.collect_set(F.col("at") - F.col("place")).alias("shifts"))
+    lying = written(lying, "lying")
+    texts = with_few(docs, lying.select("v_one", "v_two").distinct().withColumn("some", F.lit(True)), ["v_one", "v_two"]).where("some").dropDuplicates(["v_one", "v_two"])
+    pairs = lying.join(items.select("key", "item", "item_words"), "key").join(texts, ["v_one", "v_two"]).select("v_one", "v_two", "v_text", "item", "item_words", "shifts")
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, own = None, None
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                if (r["v_one"], r["v_two"]) != last:
+                    last, own = (r["v_one"], r["v_two"]), words(pa.array([r["v_text"]], pa.string()), PUNCTUATION)[0]
+                item = np.frombuffer(r["item_words"], "<u8")
+                for shift in r["shifts"]:
+                    if leak := leak_at(own, item, shift, least, share):
+                        rows.append((*last, r["item"], *leak))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=["v_one", "v_two", "item", "start", "end", "agree"])
+
+    compared_ = in_small_batches(pairs, compared, "v_one bigint, v_two bigint, item string, start bigint, end bigint, agree bigint")
+    return written(compared_.groupBy("v_one", "v_two").agg(F.sort_array(F.collect_set(F.struct("item", "start", "end", "agree"))).alias("leaks")), "leaks")
 
 
 def with_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: int = 8, share: float = 0.8) -> DataFrame:
@@ -165,26 +166,15 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
 
     A stretch is a leak where at least `least` words agree, or `share` of a shorter item, and they are at least `share`
     of the stretch. Words are runs of letters and digits, ASCII letters in either case. Null and empty texts and items
-    hold nothing, a repeated item counts as items of their own, repeated rows stay repeated, an empty table on either
-    side gives no leaks, and a column `leaks` is replaced.
+    hold nothing, an item repeated with its id and text counts once, repeated rows stay repeated, an empty table on
+    either side gives no leaks, texts are read whole however long, and a column `leaks` is replaced.
     """
-    spark = docs.sparkSession
-    form = "array<struct<item:string,start:bigint,end:bigint,agree:bigint>>"
-    span = pa.list_(pa.struct([("item", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("agree", pa.int64())]))
-
-    def lookup(name, shared):
-        def work(column: pa.Array) -> dict:
-            hashes, at, *_ = words(column, PUNCTUATION)
-            return {name: pa.array(leaks(hashes, at, shared.value, least, share), type=span)}
-
-        return work
-
-    out, names = docs.drop("leaks"), []
-    for k, block in enumerate(blocks(benchmark, item_col, item_text, least, share)):
-        name = f"v_leaks_{k}"
-        out = add_columns(out, text_col, f"{name} {form}", lookup(name, spark.sparkContext.broadcast(block)))  # BLOCK_WORDS words
-        names.append(name)
-    return out.withColumn("leaks", F.concat(*names) if names else F.array().cast(form)).drop(*names)
+    docs, back = set_aside(docs.drop("leaks"), ("v_",), (text_col,))
+    text = F.col(text_col).cast("string")
+    keyed = docs.withColumns({"v_one": F.xxhash64(text), "v_two": F.xxhash64(F.lit(1), text)})
+    found = leaks(keyed.select("v_one", "v_two", text.alias("v_text")), benchmark, item_col, item_text, least, share)
+    out = with_few(keyed, found, ["v_one", "v_two"])
+    return out.withColumn("leaks", F.coalesce("leaks", F.array().cast(found.schema["leaks"].dataType))).drop("v_one", "v_two").withColumnsRenamed(back)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
