@@ -121,17 +121,26 @@ def test_embeddings(spark):
     want = roots([i for i, *_ in rows], pairs)
     links = {i: sum(i in p for p in pairs) for i in want}
     df = spark.createDataFrame(rows, "vec_id BIGINT, embedding ARRAY<FLOAT>, label INT, id STRING")
-    was = embedding_dedup.TILE
-    for tile in (was, 8):
-        embedding_dedup.TILE = tile
+    was = embedding_dedup.TILE, embedding_dedup.CELL
+    for tile, cell in (was, (8, 16), (8, 2)):  # one product, many of them, many cells
+        embedding_dedup.TILE, embedding_dedup.CELL = tile, cell
         try:
             got = {x["vec_id"]: (x["n_links"], x["component_id"], x["kept"]) for x in embedding_dedup.find_links(df).collect()}
         finally:
-            embedding_dedup.TILE = was
+            embedding_dedup.TILE, embedding_dedup.CELL = was
         assert got == {i: (links[i], want[i], want[i] == i) for i in want}
     assert embedding_dedup.find_links(df.limit(0)).count() == 0
 
 
+def test_embeddings_in_double_precision(spark):
+    """Vectors of doubles that are equal as floats stay apart where their cosine is just below the threshold."""
+    t = 0.98
+    rows = [(0, [1.0, 0.0]), (1, [t + 1e-12, (1 - (t + 1e-12) ** 2) ** 0.5]), (2, [t - 1e-12, -((1 - (t - 1e-12) ** 2) ** 0.5)])]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id BIGINT, embedding ARRAY<DOUBLE>, label INT")
+    got = {x["vec_id"]: (x["n_links"], x["component_id"]) for x in embedding_dedup.find_links(df).collect()}
+    assert got == {0: (1, 0), 1: (1, 0), 2: (0, 2)}
+
+
 def test_quantisation_bound():
     r = np.random.default_rng(4)
     x = embedding_dedup._unit(r.normal(size=(200, 24)) * np.exp(r.normal(size=(200, 1)) * 3))
