@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, chosen, map_slices, slices, texts_of
+from .common import add_columns, chosen, in_small_batches, map_slices, slices, texts_of
 
 UNKNOWN = "und"
 COLUMNS = 1 << 15
@@ -108,10 +108,10 @@ def document_frequencies(df: DataFrame, text: str) -> tuple[np.ndarray, int]:
         nz = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(nz), pa.array(total[nz])], names=["column", "n"])
 
-    sums = df.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "column bigint, n bigint").groupBy("column").agg(F.sum("n").alias("n"))
+    sums = in_small_batches(df.select(F.col(text).cast("string").alias("text")), run, "column bigint, n bigint").groupBy("column").agg(F.sum("n").alias("n"))
     out = np.zeros(COLUMNS + 1, dtype=np.int64)
-    for column, n in sums.collect():  # COLUMNS + 1 rows at most
-        out[column] = n
+    got = sums.toArrow()  # COLUMNS + 1 rows at most
+    out[got.column("column").to_numpy()] = got.column("n").to_numpy()
     return out[:COLUMNS], int(out[COLUMNS])
 
 
@@ -181,7 +181,10 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
         return Model([], np.zeros((COLUMNS + 1, 0)), idf, 1.0)
     weights = follow_the_leader(data.take(np.flatnonzero(seen)), labels[seen], len(languages))
     rest = [x @ weights[c] for c, x in data.take(np.flatnonzero(~seen))]
-    return Model(languages, weights, idf, temperature(np.array(rest).reshape(len(rest), len(languages)), labels[~seen]))
+    heat = temperature(np.array(rest).reshape(len(rest), len(languages)), labels[~seen])
+    del got, data
+    pa.default_memory_pool().release_unused()  # the sample's bytes go back to the system
+    return Model(languages, weights, idf, heat)
 
 
 def predict_rows(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
