@@ -60,3 +60,32 @@ def test_html_row_cap(spark):
     page = "".join(f"<p>{i}</p>" for i in range(450))
     rows = html.nodes(spark.createDataFrame([(1, page)], "page_id BIGINT, html STRING")).collect()
     assert len(rows) == 400 and all(r["truncated"] for r in rows)
+
+
+def paths(spark, page):
+    return {r["path"]: r for r in html.nodes(spark.createDataFrame([(1, page)], "page_id BIGINT, html STRING")).collect()}
+
+
+def test_html_without_end_tags(spark):
+    """What HTML lets authors leave out: the head's end, list items', cells' and paragraphs'."""
+    assert {r["text"] for r in paths(spark, "<html><head><title>x</title><body><p>hello").values()} == {"hello"}
+    assert [p for p in paths(spark, "<ul><li>a<li>b<ul><li>c</ul><li>d</ul>")] == ["ul > li:nth-of-type(1)", "ul > li:nth-of-type(2)", "ul > li:nth-of-type(2) > ul > li", "ul > li:nth-of-type(3)"]
+    cells = paths(spark, "<table><tr><th>Phone<td>5<tr><td>x<td>y</table><p>one<div>two</div><p>three")
+    assert [(p.rsplit(" > ", 2)[-2:], r["text"], r["context_label"]) for p, r in cells.items()][:2] == [(["tr:nth-of-type(1)", "th"], "Phone", None), (["tr:nth-of-type(1)", "td"], "5", "Phone")]
+    assert cells["table > tr:nth-of-type(2) > td:nth-of-type(2)"]["text"] == "y" and cells["p:nth-of-type(2)"]["text"] == "three" and cells["div"]["text"] == "two"
+    assert {r["text"] for r in paths(spark, "<head><meta charset=x>Hi<b>there</b>").values()} >= {"there"}
+    assert paths(spark, "<div/>in<p>x</p></div>")["div > p"]["text"] == "x"
+
+
+def test_html_names(spark):
+    page = """<span id=one>Card</span><span id=two>number <i>here</i></span><input id=a aria-labelledby="one two none" aria-label="no">
+      <label>Your <b>name</b> <input id=b placeholder=no></label><label for=c>First</label><label for=c>Second</label><select id=c title=no></select>
+      <input id=d placeholder=Hint><input type=submit value=Go><button id=e>Send <i>now</i></button><p id=dup>1</p><p id=dup>2</p>"""
+    got = paths(spark, page)
+    assert {p: got[p]["label"] for p in ("input#a", "input#b", "select#c", "input#d", "button#e")} == {"input#a": "Card number here", "input#b": "Your name", "select#c": "First Second", "input#d": "Hint", "button#e": "Send now"}
+    assert "p#dup" not in got and sum(r["label"] == "Go" for r in got.values()) == 1
+
+
+def test_html_nodes_need_no_exchange(spark, sf, capsys):
+    html.nodes(spark.read.parquet(f"{sf}/pages.parquet")).explain()
+    assert "Exchange" not in (plan := capsys.readouterr().out) and "Window" not in plan

@@ -1,16 +1,18 @@
 """Raw HTML to page nodes: a row for each element that says something, in document order.
 
 Parsing is the one step that built-in functions can't express; it is a small generator over the standard parser, run
-inside Arrow batches. Roles, names and paths of the nodes are Columns.
+inside Arrow batches. What hangs on the rest of a page (labels, siblings, ids that stand once, the cap) is settled there
+as well, so a page never leaves its task; roles, names and paths of the nodes are Columns.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null, clip, is_stable_id
@@ -22,12 +24,39 @@ INTERACTIVE = ("a", "button", "input", "select", "textarea", "option", "summary"
 #: Roles by tag and by input type.
 ROLES = {"button": "button", "select": "combobox", "textarea": "textbox", "img": "img", "video": "video", "form": "form", "nav": "navigation", "main": "main", "header": "banner", "footer": "contentinfo", "aside": "complementary", "table": "table", "ul": "list", "ol": "list", "li": "listitem", "h1": "heading", "h2": "heading", "h3": "heading", "h4": "heading", "h5": "heading", "h6": "heading", "option": "option", "summary": "button", "dialog": "dialog"}
 INPUT_ROLES = {"button": "button", "submit": "button", "reset": "button", "image": "button", "checkbox": "checkbox", "radio": "radio", "range": "slider", "number": "spinbutton", "search": "searchbox", "file": "button", "hidden": "none"}
+#: A start tag ends open elements of these tags, as far out as the nearest element of the second kind.
+ENDED_BY = {
+    "li": (("li",), ("ul", "ol", "menu")),
+    "dt": (("dt", "dd"), ("dl",)),
+    "dd": (("dt", "dd"), ("dl",)),
+    "option": (("option",), ("select", "datalist", "optgroup")),
+    "optgroup": (("option", "optgroup"), ("select",)),
+    "td": (("td", "th"), ("tr", "table")),
+    "th": (("td", "th"), ("tr", "table")),
+    "tr": (("tr", "td", "th"), ("table",)),
+    "tbody": (("thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"), ("table",)),
+    "thead": (("thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"), ("table",)),
+    "tfoot": (("thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"), ("table",)),
+}
+#: Start tags that end an open paragraph, what keeps them from reaching it, and what a head may hold.
+ENDS_PARAGRAPH = ("address", "article", "aside", "blockquote", "details", "dialog", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "summary", "table", "ul", "li", "dt", "dd")
+PARAGRAPH_SCOPE = ("button", "caption", "html", "marquee", "object", "table", "td", "th")
+OF_HEAD = ("base", "basefont", "bgsound", "link", "meta", "noscript", "script", "style", "template", "title")
+MEDIA = ("img", "video", "canvas", "picture", "svg")
+LABELLING = ("dt", "th", "label", "strong", "b")
+ACTING_ROLES = ("button", "link", "textbox", "checkbox", "radio", "combobox", "menuitem", "tab", "switch", "option", "searchbox", "slider")
+#: Elements that their own text names.
+NAMED = ("button", "a", "label", "option", "h1", "h2", "h3", "h4", "h5", "h6")
 MOST_NODES, MOST_TEXT, MOST_LABEL = 400, 600, 200
-SCHEMA = "page_id bigint, node_seq int, parent int, tag string, own_text string, attrs map<string,string>, ancestors array<struct<seq:int,tag:string,id:string,nth:int,of:int>>"
+SCHEMA = (
+    "page_id bigint, node_seq int, parent int, tag string, own_text string, full_text string, attrs map<string,string>, "
+    "ancestors array<struct<tag:string,id:string,once:boolean,nth:int,of:int>>, sibling_text string, labelled_by string, labels string, interactive boolean, truncated boolean"
+)
 
 
 class _Walker(HTMLParser):
-    """Elements in document order with their own text and attributes; skipped subtrees leave no trace."""
+    """Elements in document order with their text and attributes; skipped subtrees leave no trace, and elements whose end
+    tags are left out end where a browser ends them."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -35,74 +64,133 @@ class _Walker(HTMLParser):
         self.open: list[int] = []
         self.skipping: list[str] = []
 
+    def _tag(self, k: int) -> str:
+        return self.nodes[self.open[k]]["tag"]
+
+    def _end(self, tags: tuple[str, ...], scope: tuple[str, ...]) -> None:
+        """Ends the outermost open element of these tags inside the scope, and all in it."""
+        found = None
+        for k in range(len(self.open) - 1, -1, -1):
+            if self._tag(k) in scope:
+                break
+            if self._tag(k) in tags:
+                found = k
+        if found is not None:
+            del self.open[found:]
+
+    def _leave_head(self) -> None:
+        if self.skipping == ["head"]:
+            self.skipping.clear()
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag not in OF_HEAD and tag != "head":
+            self._leave_head()
+        if not self.skipping and tag in ENDS_PARAGRAPH:
+            self._end(("p",), PARAGRAPH_SCOPE)
         if self.skipping or tag in SKIPPED:
             if tag not in VOID:
                 self.skipping.append(tag)
             return
-        self.nodes.append({"seq": len(self.nodes), "parent": self.open[-1] if self.open else None, "tag": tag, "text": [], "attrs": {k: v or "" for k, v in attrs}})
+        if tag in ENDED_BY:
+            self._end(*ENDED_BY[tag])
+        self.nodes.append({"seq": len(self.nodes), "parent": self.open[-1] if self.open else None, "tag": tag, "text": [], "all": [], "attrs": {k: v or "" for k, v in reversed(attrs)}})
         if tag not in VOID:
             self.open.append(len(self.nodes) - 1)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        """A slash before the end says nothing in HTML but on elements that have no end tag, and inside SVG."""
         before = len(self.open)
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and not self.skipping and len(self.open) > before:
+        drawn = any(self._tag(k) == "svg" for k in range(before))
+        if drawn and tag not in VOID and not self.skipping and len(self.open) > before:
             self.open.pop()
-        elif tag not in VOID and self.skipping and self.skipping[-1] == tag:
-            self.skipping.pop()
 
     def handle_endtag(self, tag: str) -> None:
         if self.skipping:
             if tag in self.skipping:
                 while self.skipping and self.skipping.pop() != tag:
                     pass
-            return
+                return
+            if tag != "html" and tag != "body":
+                return
+            self._leave_head()
         for k in range(len(self.open) - 1, -1, -1):
-            if self.nodes[self.open[k]]["tag"] == tag:
+            if self._tag(k) == tag:
                 del self.open[k:]
                 return
 
     def handle_data(self, data: str) -> None:
+        if data.strip():
+            self._leave_head()
         if not self.skipping and self.open:
             self.nodes[self.open[-1]]["text"].append(data)
+            for k in self.open:
+                self.nodes[k]["all"].append(data)
+
+
+def _acts(n: dict) -> bool:
+    a = n["attrs"]
+    return n["tag"] in INTERACTIVE or "tabindex" in a or "contenteditable" in a or "onclick" in a or a.get("role", "").startswith(ACTING_ROLES)
 
 
 def elements(html: str) -> list[dict]:
+    """The elements of a page, each with what hangs on others: its place among siblings of its tag, the text of labels
+    and of the sibling before it, and whether its id stands once."""
     walker = _Walker()
     walker.feed(html)
     walker.close()
-    nodes, families = walker.nodes, {}
+    nodes, families, last, ids, targets = walker.nodes, {}, {}, {}, {}
     for n in nodes:
         family = families.setdefault((n["parent"], n["tag"]), [])
         family.append(n["seq"])
         n["nth"] = len(family)
+        n["before"], last[n["parent"]] = last.get(n["parent"]), n["seq"]
+        if n["attrs"].get("id"):
+            ids.setdefault(n["attrs"]["id"], []).append(n["seq"])
+        if n["tag"] == "label" and n["attrs"].get("for"):
+            targets.setdefault(n["attrs"]["for"], []).append(n["seq"])
+    said = lambda seqs: " ".join("".join(nodes[k]["all"]) for k in seqs)
     for n in nodes:
         n["of"] = len(families[(n["parent"], n["tag"])])
+        ident = n["attrs"].get("id")
+        n["once"] = bool(ident) and len(ids[ident]) == 1
+        n["acts"] = _acts(n)
+        n["sibling"] = "".join(nodes[n["before"]]["all"]) if n["before"] is not None and nodes[n["before"]]["tag"] in LABELLING else None
+        n["by"] = said(ids[x][0] for x in n["attrs"].get("aria-labelledby", "").split() if x in ids) or None
+        n["labels"] = None
+        if n["tag"] in ("input", "select", "textarea"):
+            around, up = [], n["parent"]
+            while up is not None and not around:  # the nearest label around it
+                around, up = [up] if nodes[up]["tag"] == "label" and not nodes[up]["attrs"].get("for") else [], nodes[up]["parent"]
+            n["labels"] = said(sorted({*around, *(targets[ident] if ident in targets and ids[ident][0] == n["seq"] else ())})) or None
     return nodes
 
 
-def parse(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """A row per element: its number in the document, its parent's, tag, own text, attributes and its path of ancestors,
-    itself included. Null HTML has no elements."""
+def parse(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", most: int | None = None) -> DataFrame:
+    """A row per element: its number in the document, its parent's, tag, own and whole text, attributes, its path of
+    ancestors, itself included, and what labels it. With `most`, only the first so many of a page that can be acted on,
+    show media or have own text; `truncated` tells that so many were there. Null HTML has no elements."""
+    blank = re.compile("[\\s\u00a0\ufeff]*")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for page, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 nodes = elements(html or "")
+                told = [n for n in nodes if most is None or n["acts"] or n["tag"] in MEDIA or not blank.fullmatch("".join(n["text"]))]
                 rows = []
-                for n in nodes:
+                for n in told[:most]:
                     up, path = n["seq"], []
                     while up is not None:
                         x = nodes[up]
-                        path.append({"seq": x["seq"], "tag": x["tag"], "id": x["attrs"].get("id"), "nth": x["nth"], "of": x["of"]})
+                        path.append({"tag": x["tag"], "id": x["attrs"].get("id"), "once": x["once"], "nth": x["nth"], "of": x["of"]})
                         up = x["parent"]
-                    rows.append({"page_id": page, "node_seq": n["seq"], "parent": n["parent"], "tag": n["tag"], "own_text": "".join(n["text"]), "attrs": list(n["attrs"].items()), "ancestors": path})
+                    rows.append({"page_id": page, "node_seq": n["seq"], "parent": n["parent"], "tag": n["tag"], "own_text": "".join(n["text"]), "full_text": "".join(n["all"]) if n["tag"] in NAMED else None, "attrs": list(n["attrs"].items()), "ancestors": path, "sibling_text": n["sibling"], "labelled_by": n["by"], "labels": n["labels"], "interactive": n["acts"], "truncated": most is not None and len(told) >= most})
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=out)
 
-    step = pa.struct([("seq", pa.int32()), ("tag", pa.string()), ("id", pa.string()), ("nth", pa.int32()), ("of", pa.int32())])
-    out = pa.schema([("page_id", pa.int64()), ("node_seq", pa.int32()), ("parent", pa.int32()), ("tag", pa.string()), ("own_text", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("ancestors", pa.list_(step))])
+    step = pa.struct([("tag", pa.string()), ("id", pa.string()), ("once", pa.bool_()), ("nth", pa.int32()), ("of", pa.int32())])
+    text = [(n, pa.string()) for n in ("tag", "own_text", "full_text")]
+    out = pa.schema([("page_id", pa.int64()), ("node_seq", pa.int32()), ("parent", pa.int32()), *text, ("attrs", pa.map_(pa.string(), pa.string())), ("ancestors", pa.list_(step)), *[(n, pa.string()) for n in ("sibling_text", "labelled_by", "labels")], ("interactive", pa.bool_()), ("truncated", pa.bool_())])
     return pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(html_col).alias("html")).mapInArrow(run, SCHEMA)
 
 
@@ -119,16 +207,10 @@ def role() -> Column:
     return F.coalesce(explicit, F.when(F.col("tag") == "input", by_type).when(F.col("tag") == "a", F.when(F.map_contains_key("attrs", F.lit("href")), "link")).otherwise(F.try_element_at(tags, F.col("tag"))))
 
 
-def interactive() -> Column:
-    """By tag, by attributes, or by a role that people act on."""
-    has = lambda n: F.map_contains_key("attrs", F.lit(n))
-    return F.col("tag").isin(*INTERACTIVE) | has("tabindex") | has("contenteditable") | has("onclick") | F.coalesce(attr("role").rlike("^(?:button|link|textbox|checkbox|radio|combobox|menuitem|tab|switch|option|searchbox|slider)"), F.lit(False))
-
-
-def css_path(unique: Column, most: int = 8) -> Column:
-    """Segments from the element up to the first ancestor with a unique stable id, at most `most`, joined top down.
-    `unique`: the ids that are stable and stand once in their page."""
-    anchored = lambda x: F.coalesce(F.array_contains(unique, x["id"]), F.lit(False))
+def css_path(most: int = 8) -> Column:
+    """Segments from the element up to the first ancestor with a stable id that stands once in its page, at most `most`,
+    joined top down."""
+    anchored = lambda x: F.coalesce(x["once"] & is_stable_id(x["id"]), F.lit(False))
     segment = lambda x: F.when(anchored(x), F.concat(x["tag"], F.lit("#"), x["id"])).when(x["of"] > 1, F.concat(x["tag"], F.lit(":nth-of-type("), x["nth"].cast("string"), F.lit(")"))).otherwise(x["tag"])
     chain = F.filter("ancestors", lambda x: x["tag"] != "html")
     first = F.array_position(F.transform(chain, anchored), F.lit(True)).cast("int")
@@ -139,23 +221,18 @@ def css_path(unique: Column, most: int = 8) -> Column:
 def nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """Elements that can be acted on, show media or have own text, at most MOST_NODES a page, with role, name, value,
     path and `truncated`. Without a layout there are no boxes. Passwords are never read, not as a name either."""
-    rows = parse(pages, id_col, html_col)
-    page = Window.partitionBy("page_id")
-    # ids that stand once: gathered per page, as many as a page has
-    rows = rows.withColumn("id", attr("id")).withColumn("id_count", F.count(F.lit(1)).over(Window.partitionBy("page_id", "id")))
-    rows = rows.withColumn("unique_ids", F.collect_set(F.when(is_stable_id("id") & (F.col("id_count") == 1), F.col("id"))).over(page))
-    text = clip("own_text", MOST_TEXT)
-    before = F.lag(F.struct("tag", "own_text")).over(Window.partitionBy("page_id", "parent").orderBy("node_seq"))
-    rows = rows.withColumn("sibling", before)
-    for_label = F.collect_list(F.when(F.col("tag") == "label", F.struct(attr("for").alias("target"), text.alias("text")))).over(page)
-    rows = rows.withColumn("labels", for_label)
-    media = F.when(F.col("tag").isin("img", "video", "canvas", "picture", "svg"), F.col("tag"))
-    said = rows.where(interactive() | media.isNotNull() | text.isNotNull())
+    rows = parse(pages, id_col, html_col, MOST_NODES)
     password = (F.col("tag") == "input") & F.coalesce(F.lower(attr("type")) == "password", F.lit(False))
-    own_label = F.try_element_at(F.filter("labels", lambda x: x["target"] == F.col("id")), F.lit(1))["text"]
-    named = F.when(F.col("tag").isin("button", "a", "label", "option", "h1", "h2", "h3", "h4", "h5", "h6"), text)
-    label = F.coalesce(attr("aria-label"), own_label, attr("placeholder"), attr("alt"), attr("title"), F.when((F.col("tag") == "input") & ~password, attr("value")), named)
-    context = F.when(F.col("sibling.tag").isin("dt", "th", "label", "strong", "b"), clip("sibling.own_text", MOST_LABEL))
-    out = said.withColumn("rank", F.row_number().over(Window.partitionBy("page_id").orderBy("node_seq"))).withColumn("truncated", F.count(F.lit(1)).over(page) >= MOST_NODES).where(F.col("rank") <= MOST_NODES)
-    value = F.when(~password & F.col("tag").isin("input", "textarea", "select"), attr("value"))
-    return out.select("page_id", "node_seq", css_path(F.col("unique_ids")).alias("path"), "tag", role().alias("role"), clip(label, MOST_LABEL).alias("label"), text.alias("text"), context.alias("context_label"), value.alias("value"), F.when(password & attr("value").isNotNull(), "password").alias("value_omitted"), attr("type").alias("input_type"), interactive().alias("interactive"), media.alias("media"), "truncated")
+    field = F.col("tag").isin("input", "select", "textarea")
+    name = lambda c: clip(c, MOST_LABEL)
+    label = F.coalesce(name("labelled_by"), name(attr("aria-label")), F.when(field, F.coalesce(name("labels"), name(attr("placeholder")))), name(attr("alt")), name(attr("title")), F.when((F.col("tag") == "input") & ~password, name(attr("value"))), name("full_text"))
+    value = F.when(~password & field, clip(attr("value"), MOST_TEXT))
+    attrs = F.struct(*[attr(a).alias(a.replace("-", "_")) for a in ("id", "name", "autocomplete", "placeholder", "aria-label", "alt", "title", "inputmode", "maxlength")])
+    media = F.when(F.col("tag").isin(*MEDIA), F.col("tag"))
+    return rows.select("page_id", "node_seq", css_path().alias("path"), "tag", role().alias("role"), label.alias("label"), clip("own_text", MOST_TEXT).alias("text"), name("sibling_text").alias("context_label"), value.alias("value"), F.when(password & attr("value").isNotNull(), "password").alias("value_omitted"), attr("type").alias("input_type"), attrs.alias("attrs"), "interactive", media.alias("media"), "truncated")
+
+
+def snapshots(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """The nodes in the form that detection and redaction take: a page is its snapshot and its session, without boxes."""
+    ident = F.col("page_id").cast("string")
+    return nodes(pages, id_col, html_col).withColumns({"snapshot_id": ident, "session_id": ident, "bbox": F.lit(None).cast("array<double>")}).drop("page_id", "truncated")
