@@ -3,7 +3,10 @@
 import pytest
 from pyspark.errors import PySparkException
 
-from veilmark.operators import redact
+from pyspark.sql import functions as F
+
+from veilmark.functions import geometry
+from veilmark.operators import detect, redact
 from veilmark.plans import fixtures, queries
 from veilmark.sources import html
 
@@ -14,18 +17,18 @@ def clean(spark, sf):
 
 
 def test_values(clean):
-    assert clean["input#customer-id"][1] == "MB4470193"
-    assert clean["input#password"][1] == "[REDACTED:PASSWORD]"
-    assert clean["input#reg-email"][1] == "a***@***.org"
-    assert clean["input#reg-phone"][1] == "[PHONE_1]"
-    assert clean["dd#card-number"][1] == "[REDACTED:CARD_NUMBER]"
+    assert clean["input#login-id"][1] == "KT-88213"
+    assert clean["input#secret"][1] == "[REDACTED:PASSWORD]"
+    assert clean["input#mail"][1] == "n***@***.net"
+    assert clean["input#mobile"][1] == "[PHONE_1]"
+    assert clean["dd#debit"][1] == "[REDACTED:CARD_NUMBER]"
     assert clean["dt:nth-of-type(2)"][1] == "Account number"
     assert clean["p#note"][1] == "Write to h***@***.com or call [PHONE_2] about [REDACTED:PAN]."
 
 
 def test_manifest(spark, sf):
     got = {(r["id"], r["dom_path"], r["masking"], r["detector"]) for r in queries.redaction_manifest(spark, sf).collect()}
-    for want in (("PASSWORD_1", "input#password", "blackbox", "dom:input-type-password"), ("EMAIL_1", "input#reg-email", "partial", "dom:email"), ("PHONE_1", "input#reg-phone", "token", "dom:phone"), ("PAN_1", "input#pan", "blackbox", "dom:pan"), ("PERSON_NAME_1", "dd#holder", "token", "dom:person-name"), ("BANK_ACCOUNT_1", "dd#account-number", "blackbox", "dom:bank-account"), ("IFSC_1", "dd#ifsc", "blackbox", "dom:ifsc"), ("CARD_NUMBER_1", "dd#card-number", "blackbox", "dom:cc-number")):
+    for want in (("PASSWORD_1", "input#secret", "blackbox", "dom:input-type-password"), ("EMAIL_1", "input#mail", "partial", "dom:email"), ("PHONE_1", "input#mobile", "token", "dom:phone"), ("PAN_1", "input#tax-id", "blackbox", "dom:pan"), ("PERSON_NAME_1", "dd#owner", "token", "dom:person-name"), ("BANK_ACCOUNT_1", "dd#acct", "blackbox", "dom:bank-account"), ("IFSC_1", "dd#branch-code", "blackbox", "dom:ifsc"), ("CARD_NUMBER_1", "dd#debit", "blackbox", "dom:cc-number")):
         assert want in got
 
 
@@ -40,7 +43,7 @@ def test_gate_refuses(spark):
 
 
 def test_plan(spark, sf):
-    assert [(r["action"], r["selector"]) for r in queries.plan_rules(spark, sf).orderBy("position").collect()] == [("type", "input#customer-id"), ("type", "input#password"), ("click", "button#go")]
+    assert [(r["action"], r["selector"]) for r in queries.plan_rules(spark, sf).orderBy("position").collect()] == [("type", "input#login-id"), ("type", "input#secret"), ("click", "button#enter")]
 
 
 def test_html(spark):
@@ -89,3 +92,31 @@ def test_html_names(spark):
 def test_html_nodes_need_no_exchange(spark, sf, capsys):
     html.nodes(spark.read.parquet(f"{sf}/pages.parquet")).explain()
     assert "Exchange" not in (plan := capsys.readouterr().out) and "Window" not in plan
+
+
+@pytest.mark.parametrize("threshold", [0.0, 0.5, 0.96, 0.99, 1.0])
+def test_any_threshold(spark, threshold):
+    """However high the threshold, detection runs, unread passwords are declared, and the gate sees what is left."""
+    nodes = fixtures.nodes(spark)
+    second = nodes.where("path = 'input#secret'").withColumns({"path": F.lit("input#again"), "node_seq": F.lit(20)})
+    nodes = nodes.unionByName(second)
+    named = redact.tokens_for(detect.detect_nodes(nodes, threshold))
+    listed = redact.manifest(nodes, named).where("type = 'password'").select("id", "dom_path").collect()
+    assert sorted(map(tuple, listed)) == [("PASSWORD_1", "input#secret"), ("PASSWORD_2", "input#again")]
+    clean = redact.sanitise(nodes, named)
+    assert {r["value"] for r in clean.where("path LIKE 'input#secret' OR path = 'input#again'").collect()} == {"[REDACTED:PASSWORD]"}
+    assert (redact.violations(clean).count() > 0) == (threshold > 0.9)
+
+
+def test_faces_and_audits(spark, sf):
+    nodes, named = queries._named(spark)
+    rows = redact.manifest(nodes, named)
+    faces = spark.createDataFrame([("bank", 0, [1.0, 2.0, 3.0, 4.0], 0.9)], "snapshot_id STRING, face INT, bbox ARRAY<DOUBLE>, score DOUBLE")
+    both = redact.with_faces(rows, faces)
+    assert both.count() == rows.count() + 1 and both.where("id = 'FACE_1' AND masking = 'blur'").count() == 1
+    assert redact.regions(both).count() == rows.where("bbox IS NOT NULL").count() + 1
+    clean = redact.sanitise(nodes, named)
+    assert redact.clobbered(clean).count() == 0
+    assert redact.clobbered(clean.withColumn("value", F.lit("[PHONE_1]"))).select("path").distinct().count() == 2
+    shown = spark.createDataFrame([("hidden", None, 1.0), (None, "none", 1.0), (None, None, 0.0), (None, None, None), ("visible", "block", 0.5)], "v STRING, d STRING, o DOUBLE")
+    assert [r[0] for r in shown.select(geometry.shown(F.col("v"), F.col("d"), F.col("o"))).collect()] == [False, False, False, True, True]

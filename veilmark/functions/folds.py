@@ -13,9 +13,10 @@ from .geometry import containment, iou
 SPANS = "array<struct<start:int,end:int,value:string>>"
 
 
-def match_spans(text: Column, pattern: str) -> Column:
-    """All matches with their code-point offsets, ends exclusive: the pieces between matches tell where they stand."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+def match_spans(text: Column, pattern: str, found: Column | None = None) -> Column:
+    """All matches with their code-point offsets, ends exclusive: the pieces between matches tell where they stand.
+    `found`: the matches, where a column already has them, so that they are sought once."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)) if found is None else found
     pairs = F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(found)), found, lambda gap, m: F.struct(F.length(gap).alias("gap"), m.alias("value")))
     begin = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
 

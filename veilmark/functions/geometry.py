@@ -34,6 +34,19 @@ def on_screen(b: Column, width: Column, height: Column) -> Column:
     return (b[2] > b[0]) & (b[3] > b[1]) & (b[2] > 0) & (b[3] > 0) & (b[0] < width) & (b[1] < height)
 
 
+def shown(visibility: Column, display: Column, opacity: Column) -> Column:
+    """By style: neither hidden nor taken out nor wholly transparent; a style that isn't given hides nothing."""
+    return (F.coalesce(visibility, F.lit("")) != "hidden") & (F.coalesce(display, F.lit("")) != "none") & (F.coalesce(opacity, F.lit(1.0)) > 0)
+
+
+def decoded(scores: Column, boxes: Column, least: Column, scale: tuple[float, float], offset: tuple[float, float]) -> Column:
+    """A face model's flat output (two scores and four edges a box, in shares of the crop) as (i, score, bbox) structs."""
+    n = F.floor(F.size(scores) / 2).cast("int")
+    edge = lambda i, k: half_up(F.lit(float(offset[k % 2])) + F.get(boxes, i * 4 + k) * float(scale[k % 2]))
+    every = F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.struct(i.alias("i"), F.get(scores, i * 2 + 1).alias("score"), F.array(*[edge(i, k) for k in range(4)]).alias("bbox")))
+    return F.transform(F.filter(every, lambda f: f["score"] >= least), lambda f: F.struct(f["i"].alias("i"), half_up(f["score"], 3).alias("score"), f["bbox"].alias("bbox")))
+
+
 def rescaled(b: Column, scale: Column, width: Column, height: Column) -> Column:
     """CSS to device pixels, rounded and held inside the image."""
     at = lambda x, most: F.least(F.greatest(half_up(x * scale), F.lit(0.0)), most.cast("double"))

@@ -87,7 +87,7 @@ def is_restricted_url(x: Column | str) -> Column:
 
 def host_label(url: Column | str) -> Column:
     """A page's host without www., or the text itself where it is no URL."""
-    return F.coalesce(F.regexp_replace(F.expr("try_parse_url(%s, 'HOST')" % (url if isinstance(url, str) else url._jc.toString())), "^www\\.", ""), col(url))
+    return F.coalesce(F.regexp_replace(F.try_parse_url(col(url), F.lit("HOST")), "^www\\.", ""), col(url))
 
 
 def elapsed_label(seconds: Column | str) -> Column:

@@ -12,6 +12,7 @@ from ..functions.text import blank_to_null
 from .rules import DOM_RULES, PATTERNS, DomRule, PatternRule
 
 SPAN = "struct<start:int,end:int,value:string,type:string,tier:int,detector:string,confidence:double,seq:int>"
+CLAIM = "struct<type:string,tier:int,detector:string,confidence:double>"
 FIELDS = ("value", "text", "label")
 #: Tags that label others, whose text isn't data, and tags whose data is their value.
 STRUCTURAL = ("label", "dt", "th", "legend", "caption")
@@ -33,19 +34,25 @@ def claim(context: Column, rules: Sequence[DomRule] = DOM_RULES, threshold: floa
     live = sorted((r for r in rules if r.confidence >= threshold), key=lambda r: (r.tier, -r.confidence))
     complete, kind = F.lower(F.coalesce("attrs.autocomplete", F.lit(""))), F.col("input_type")
     tests = [F.when(r.test(context, complete, kind), F.struct(F.lit(r.type).alias("type"), F.lit(r.tier).alias("tier"), F.lit(r.detector).alias("detector"), F.lit(r.confidence).alias("confidence"))) for r in live]
-    return F.when(~((data_field() == "text") & F.coalesce(F.col("tag").isin(*STRUCTURAL), F.lit(False))), F.coalesce(*tests)) if tests else F.lit(None)
+    return F.when(~((data_field() == "text") & F.coalesce(F.col("tag").isin(*STRUCTURAL), F.lit(False))), F.coalesce(*tests)) if tests else F.lit(None).cast(CLAIM)
 
 
-def found_spans(text: Column, context: Column, rules: Sequence[PatternRule] = PATTERNS, threshold: float = 0.5) -> Column:
-    """Valid spans of all rules, overlaps resolved. Cheap gates come before each matcher."""
-    parts = []
-    for seq, r in enumerate(r for r in rules if r.confidence >= threshold):
-        spans = _labelled(match_spans(text, r.regex), r, seq)
-        gates = [text.contains(r.needs)] * bool(r.needs) + [context.rlike(r.context)] * bool(r.context)
-        for gate in gates:
-            spans = F.when(gate, spans)
-        parts.append(F.coalesce(spans, F.array().cast(f"array<{SPAN}>")))
-    return resolve_overlaps(F.concat(*parts), f"array<{SPAN}>")
+def live_rules(rules: Sequence[PatternRule], threshold: float) -> list[PatternRule]:
+    return [r for r in rules if r.confidence >= threshold]
+
+
+def found_matches(text: Column, context: Column, r: PatternRule) -> Column:
+    """What a rule's matcher finds in a text; cheap gates come before it."""
+    found = F.regexp_extract_all(text, F.lit(r.regex), F.lit(0))
+    for gate in [text.contains(r.needs)] * bool(r.needs) + [context.rlike(r.context)] * bool(r.context):
+        found = F.when(gate, found)
+    return F.coalesce(found, F.array().cast("array<string>"))
+
+
+def found_spans(text: Column, matches: Sequence[Column], rules: Sequence[PatternRule]) -> Column:
+    """Valid spans of all rules, overlaps resolved, from columns that hold each rule's matches. Without a rule there are none."""
+    parts = [_labelled(match_spans(text, r.regex, m), r, seq) for seq, (r, m) in enumerate(zip(rules, matches, strict=True))]
+    return resolve_overlaps(F.concat(*parts), f"array<{SPAN}>") if parts else F.array().cast(f"array<{SPAN}>")
 
 
 def _labelled(spans: Column, r: PatternRule, seq: int) -> Column:
@@ -55,7 +62,12 @@ def _labelled(spans: Column, r: PatternRule, seq: int) -> Column:
 
 def detect_text(df: DataFrame, text: str, context: str | None = None, rules: Sequence[PatternRule] = PATTERNS, threshold: float = 0.5) -> DataFrame:
     """`df` with `spans`: what patterns find in a text column. Narrow: no row meets another."""
-    return df.withColumn("spans", found_spans(F.coalesce(F.col(text), F.lit("")), F.coalesce(F.col(context), F.lit("")) if context else F.lit(""), rules, threshold))
+    said, around = F.coalesce(F.col(text), F.lit("")), F.coalesce(F.col(context), F.lit("")) if context else F.lit("")
+    live = live_rules(rules, threshold)
+    names = [f"matches_{k}" for k in range(len(live))]
+    # matches are a step of their own, so that each matcher runs once
+    found = df.withColumns({n: found_matches(said, around, r) for n, r in zip(names, live, strict=True)})
+    return found.withColumn("spans", found_spans(said, [F.col(n) for n in names], live)).drop(*names)
 
 
 def detect_nodes(nodes: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -66,7 +78,8 @@ def detect_nodes(nodes: DataFrame, threshold: float = 0.5) -> DataFrame:
     fields = []
     for f in FIELDS:
         open_ = blank_to_null(f).isNotNull() & ~(F.col("whole").isNotNull() & (F.col("data_field") == f))
-        fields += [F.lit(f), F.when(open_, found_spans(F.coalesce(F.col(f), F.lit("")), F.col("context"), threshold=threshold)).otherwise(none)]
+        said, live = F.coalesce(F.col(f), F.lit("")), live_rules(PATTERNS, threshold)
+        fields += [F.lit(f), F.when(open_, found_spans(said, [found_matches(said, F.col("context"), r) for r in live], live)).otherwise(none)]
     return out.withColumn("spans", F.create_map(*fields))
 
 

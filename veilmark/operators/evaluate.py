@@ -39,8 +39,8 @@ def confusion(outcomes: DataFrame) -> DataFrame:
 def redaction_precision(manifest: DataFrame, truth: DataFrame, least: float = 0.5) -> DataFrame:
     """Of the masked boxes, how many lie on a labelled item (best IoU >= least): by tier, and overall with tier null."""
     boxes = truth.select("screen_id", F.col("bbox").alias("t_bbox"))
-    entries = manifest.where("bbox IS NOT NULL").withColumn("entry", F.monotonically_increasing_id())
-    best = entries.join(boxes, "screen_id", "left").groupBy("entry", "tier").agg(F.max(iou(F.col("t_bbox"), F.col("bbox"))).alias("best"))
+    entries = manifest.where("bbox IS NOT NULL")
+    best = entries.join(boxes, "screen_id", "left").groupBy("screen_id", "seq", "tier").agg(F.max(iou(F.col("t_bbox"), F.col("bbox"))).alias("best"))
     rows = best.withColumn("on", (F.coalesce("best", F.lit(0.0)) >= least).cast("bigint"))
     out = rows.groupingSets([[], [F.col("tier")]], "tier").agg(F.sum("on").alias("on_target"), F.count(F.lit(1)).alias("masked"))
     return out.withColumn("precision", F.try_divide(F.col("on_target").cast("double"), F.col("masked")))
@@ -56,6 +56,21 @@ def percentiles(df: DataFrame, stages: list[str], by: list[str] = ()) -> DataFra
     return one.select(*by, F.explode(rows).alias("r")).select(*by, "r.*")
 
 
+def stage_sums(found: DataFrame, by: list[str] = ()) -> DataFrame:
+    """The sum of the stages' medians, which isn't the median of the sums: what the rows of percentiles() add up to."""
+    return found.where("stage != 'total'").groupBy(*by).agg(F.sum("p50").alias("p50_sum"), F.count(F.lit(1)).alias("stages"))
+
+
+def measured(labels: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Hand-set labels (snapshot_id, item, selector, needle) with the box of the node that the selector names and where in
+    its value or text the needle stands; without a node, or without the needle in it, `problem` says so."""
+    at = nodes.select("snapshot_id", F.col("path").alias("selector"), "bbox", F.coalesce("value", "text").alias("content"), F.lit(True).alias("there"))
+    rows = labels.join(at, ["snapshot_id", "selector"], "left")
+    start = F.when(F.col("needle").isNotNull(), F.nullif(F.instr("content", F.col("needle")), F.lit(0)) - 1)
+    problem = F.when(F.col("there").isNull(), "no such node").when(F.col("needle").isNotNull() & start.isNull(), "text not found").when(F.col("bbox").isNull(), "no box")
+    return rows.select("snapshot_id", "item", "selector", F.array_join(F.transform("bbox", lambda x: x.cast("int").cast("string")), ",").alias("box"), start.cast("int").alias("start"), problem.alias("problem"))
+
+
 def gate(value: Column, target: Column, most: bool = False) -> Column:
     """PASS where the target is met, BELOW (or OVER, for a budget) where not or undefined."""
     met = (value <= target) if most else (value >= target)

@@ -31,6 +31,19 @@ def findings(records: DataFrame, id_cols: list[str], fields: list[str]) -> DataF
     return stacked.where("text IS NOT NULL AND text != ''").select(*id_cols, "field", F.explode(raw_patterns(F.col("text"))).alias("pattern"))
 
 
+def findings_of_requests(nodes: DataFrame, tasks: DataFrame, session: str = "session_id") -> DataFrame:
+    """A row per finding of a request: in its nodes (session, path, label, value), and in what it asks for (session,
+    task_instruction), which counts as a field `text` of `task_instruction`."""
+    inside = findings(nodes, [session, "path"], ["label", "value"])
+    asked = findings(tasks.select(session, F.lit("task_instruction").alias("path"), F.col("task_instruction").alias("text")), [session, "path"], ["text"])
+    return inside.unionByName(asked)
+
+
+def reports(found: DataFrame, session: str = "session_id") -> DataFrame:
+    """How many findings a request has, and which patterns; a request without findings has no row."""
+    return found.groupBy(session).agg(F.count(F.lit(1)).alias("findings"), F.array_sort(F.collect_set("pattern")).alias("patterns"))
+
+
 def describe(path: Column, field: Column, pattern: Column) -> Column:
     return F.format_string("%s.%s matches %s", path, field, pattern)
 

@@ -67,7 +67,7 @@ def rule_planner(requests: DataFrame, session: str = "session_id") -> DataFrame:
 
 
 def user_message(requests: DataFrame) -> Column:
-    """The planner's message: sections joined by a blank line, nulls left out, empty sections omitted."""
+    """The planner's message: sections joined by a blank line, nulls left out, empty sections omitted. Its JSON is compact."""
     brief = F.transform("redaction_manifest", lambda m: F.struct(m["id"].alias("id"), m["type"].alias("type"), m["tier"].alias("tier"), m["dom_path"].alias("dom_path"), m["masking"].alias("masking")))
     return F.concat_ws(
         "\n\n",
@@ -89,6 +89,23 @@ def resolve_references(actions: DataFrame, vault: DataFrame) -> DataFrame:
     return joined.withColumn("text", F.when(F.col("value_ref").isNull(), F.col("value")).when(F.col("v_value").isNull(), missing.cast("string")).otherwise(F.col("v_value"))).drop("v_slot", "v_value")
 
 
+def valid_slot(name: Column) -> Column:
+    """A name under which a value may be saved."""
+    return F.coalesce(name.rlike(SLOT), F.lit(False))
+
+
+def saved_values(changes: DataFrame, keys: list[str], slot: str, value: str, order: list[str]) -> DataFrame:
+    """What is saved after all changes: each slot's newest value. A null value deletes its slot; changes of slots whose
+    name isn't allowed don't count."""
+    newest = changes.where(valid_slot(F.col(slot))).groupBy(*keys, slot).agg(F.max_by(F.struct(value), F.struct(*order)).alias("c"))
+    return newest.select(*keys, slot, f"c.{value}").where(F.col(value).isNotNull())
+
+
+def with_outcomes(actions: DataFrame, outcomes: DataFrame, keys: list[str], ok: str = "ok") -> DataFrame:
+    """Planned actions with what became of each: ok, failed, or not reached where there is no outcome."""
+    return actions.join(outcomes.select(*keys, F.col(ok).alias("o_ok")), keys, "left").withColumn("outcome", F.when(F.col("o_ok"), "ok").when(~F.col("o_ok"), "failed").otherwise("not reached")).drop("o_ok")
+
+
 def run_prefix(events: DataFrame, by: str, order: list[str], failed: Column) -> DataFrame:
     """Per group, events up to and with the first that failed."""
     before = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
@@ -101,6 +118,18 @@ def prior_actions(events: DataFrame, by: str, order: list[str], value: str, most
     return events.withColumn("prior", F.collect_list(value).over(w))
 
 
+def find_one(selectors: DataFrame, nodes: DataFrame, selector: str, path: str) -> DataFrame:
+    """Selectors with `lookup`: ok where one node has that path, else what to tell."""
+    n = nodes.groupBy(F.col(path).alias("f_path")).agg(F.count(F.lit(1)).alias("f_n"))
+    joined = selectors.join(n, F.col(selector) == F.col("f_path"), "left")
+    many = F.format_string("%d elements match %s: refusing to guess", F.col("f_n"), F.col(selector))
+    return joined.withColumn("lookup", F.when(F.col("f_n") == 1, "ok").when(F.col("f_n") > 1, many).otherwise(F.concat(F.lit("No element matches "), F.col(selector)))).drop("f_path", "f_n")
+
+
+#: Planners by name, the choice that a deployment makes.
+PLANNERS: dict[str, Planner] = {"rules": rule_planner}
+
+
 def one_match(nodes: DataFrame, by: list[str]) -> DataFrame:
     """Nodes with `lookup`: ok where the selector finds exactly one."""
     n = F.count(F.lit(1)).over(Window.partitionBy(*by))

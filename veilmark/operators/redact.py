@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.folds import apply_spans, match_spans
-from ..functions.text import blank_to_null, masking_for, replacement_for, token_key
+from ..functions.text import blank_to_null, has_marker, masking_for, replacement_for, token_key
 from .rules import PATTERNS, matches
 
 
@@ -64,12 +64,14 @@ def sanitise(nodes: DataFrame, named: DataFrame) -> DataFrame:
     return rows.select(*keys, "path", "role", clean("label").alias("label"), value.alias("value"))
 
 
-def manifest(nodes: DataFrame, named: DataFrame) -> DataFrame:
+def manifest(nodes: DataFrame, named: DataFrame, session: str = "session_id") -> DataFrame:
     """What was redacted: one row per detection, and one for each password that was never read."""
     listed = named.select("snapshot_id", "node_seq", "field_order", "place", F.col("token").alias("id"), "type", "tier", "bbox", F.col("path").alias("dom_path"), masking_for("type", "tier").alias("masking"), "detector", "confidence")
     seen = named.where(F.col("type") == "password").select("snapshot_id", "node_seq").distinct()
     unread = nodes.where((F.col("value_omitted") == "password") & blank_to_null("value").isNull()).join(seen, ["snapshot_id", "node_seq"], "left_anti")
-    declared = unread.select("snapshot_id", "node_seq", F.lit(0).alias("field_order"), F.lit(-1).alias("place"), F.lit("PASSWORD_1").alias("id"), F.lit("password").alias("type"), F.lit(1).alias("tier"), "bbox", F.col("path").alias("dom_path"), F.lit("blackbox").alias("masking"), F.lit("capture:value-omitted").alias("detector"), F.lit(1.0).alias("confidence"))
+    # numbered by path, as passwords that were claimed are; a threshold that claims one claims all
+    unread = number_tokens(unread.withColumns({"kind": F.lit("password"), "key": token_key(F.lit("password"), F.lit(None).cast("string"), "path")}), session, "kind", "key", ["snapshot_id", "node_seq"])
+    declared = unread.select("snapshot_id", "node_seq", F.lit(0).alias("field_order"), F.lit(-1).alias("place"), F.col("token").alias("id"), F.lit("password").alias("type"), F.lit(1).alias("tier"), "bbox", F.col("path").alias("dom_path"), F.lit("blackbox").alias("masking"), F.lit("capture:value-omitted").alias("detector"), F.lit(1.0).alias("confidence"))
     return listed.unionByName(declared)
 
 
@@ -78,6 +80,34 @@ def faces(found: DataFrame) -> DataFrame:
     return found.select("snapshot_id", "face", F.concat(F.lit("FACE_"), (F.col("face") + 1).cast("string")).alias("id"), F.lit("face").alias("type"), F.lit(1).alias("tier"), "bbox", F.lit("").alias("dom_path"), F.lit("blur").alias("masking"), F.lit("onnx:ultraface-rfb320").alias("detector"), F.col("score").alias("confidence"))
 
 
+def with_faces(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """A manifest with the faces of its captures, after all that stands in the page."""
+    return rows.unionByName(faces(found).drop("face"), allowMissingColumns=True)
+
+
+def regions(rows: DataFrame) -> DataFrame:
+    """What is painted over: the manifest's entries that have a place on the screen."""
+    return rows.where("bbox IS NOT NULL").select("snapshot_id", "bbox", "masking")
+
+
+def malformed(rows: DataFrame) -> DataFrame:
+    """Manifest entries that lack an id, type, masking or detector, or whose tier is neither 1 nor 2."""
+    lacks = F.lit(False)
+    for c in ("id", "type", "masking", "detector"):
+        lacks = lacks | blank_to_null(c).isNull()
+    return rows.where(lacks | ~F.coalesce(F.col("tier").isin(1, 2), F.lit(False)))
+
+
+def undeclared(rows: DataFrame, expected: DataFrame) -> DataFrame:
+    """Of the types that a capture should declare (snapshot_id, type) those that its manifest lacks."""
+    return expected.join(rows.select("snapshot_id", "type").distinct(), ["snapshot_id", "type"], "left_anti")
+
+
+def clobbered(clean: DataFrame) -> DataFrame:
+    """Labels, terms and headings whose own text became a marker: they name data and are none."""
+    return clean.where(F.col("path").rlike(r"(?:^|> )(?:label|dt|th)(?:[:#.][^ >]*)?\z") & F.coalesce(has_marker("value"), F.lit(False)))
+
+
 def violations(clean: DataFrame) -> DataFrame:
     """What a sanitised payload must not hold: context-free patterns in labels or values, whatever the threshold was."""
     free = [r for r in PATTERNS if r.context is None]

@@ -14,44 +14,44 @@ def _node(seq: int, path: str, tag: str, role: str | None = None, label: str | N
 
 BANK = (
     _node(0, "h1", "h1", "heading", "Sign in", "Sign in"),
-    _node(1, "input#customer-id", "input", "textbox", "Customer ID", value="MB4470193", complete="username", box=[191.0, 213.0, 741.0, 252.0]),
-    _node(2, "input#password", "input", "textbox", "Password", omitted="password", kind="password", complete="current-password", box=[191.0, 293.0, 741.0, 332.0]),
-    _node(3, "input#reg-email", "input", "textbox", "Registered email", value="ada.lovelace@example.org", kind="email", complete="email", box=[191.0, 373.0, 458.0, 412.0]),
-    _node(4, "input#reg-phone", "input", "textbox", "Registered phone", value="+91 98765 43210", kind="tel", complete="tel", box=[474.0, 373.0, 741.0, 412.0]),
-    _node(5, "input#pan", "input", "textbox", "PAN", value="ABCDE1234F", box=[191.0, 452.0, 741.0, 491.0]),
-    _node(6, "button#go", "button", "button", "Sign in", "Sign in"),
+    _node(1, "input#login-id", "input", "textbox", "Customer ID", value="KT-88213", complete="username", box=[120.0, 213.0, 610.0, 252.0]),
+    _node(2, "input#secret", "input", "textbox", "Password", omitted="password", kind="password", complete="current-password", box=[120.0, 293.0, 610.0, 332.0]),
+    _node(3, "input#mail", "input", "textbox", "E-mail on file", value="noor.haddad@example.net", kind="email", complete="email", box=[120.0, 373.0, 360.0, 412.0]),
+    _node(4, "input#mobile", "input", "textbox", "Mobile on file", value="+91 87654 32109", kind="tel", complete="tel", box=[380.0, 373.0, 610.0, 412.0]),
+    _node(5, "input#tax-id", "input", "textbox", "PAN", value="QWRTP6789K", box=[120.0, 452.0, 610.0, 491.0]),
+    _node(6, "button#enter", "button", "button", "Sign in", "Sign in"),
     _node(7, "dt:nth-of-type(1)", "dt", None, None, "Account holder"),
-    _node(8, "dd#holder", "dd", None, None, "Ada Lovelace", "Account holder", box=[817.0, 160.0, 1095.0, 180.0]),
+    _node(8, "dd#owner", "dd", None, None, "Noor Haddad", "Account holder", box=[700.0, 160.0, 980.0, 180.0]),
     _node(9, "dt:nth-of-type(2)", "dt", None, None, "Account number"),
-    _node(10, "dd#account-number", "dd", None, None, "50100247716839", "Account number", box=[817.0, 211.0, 1095.0, 231.0]),
-    _node(11, "dd#ifsc", "dd", None, None, "MERD0001234", "IFSC", box=[817.0, 262.0, 1095.0, 282.0]),
-    _node(12, "dd#card-number", "dd", None, None, "4539 1488 0343 6467", "Debit card", box=[817.0, 313.0, 1095.0, 333.0]),
-    _node(13, "p#note", "p", None, None, "Write to help@example.com or call 9876543210 about ABCDE1234F."),
+    _node(10, "dd#acct", "dd", None, None, "30711590082264", "Account number", box=[700.0, 211.0, 980.0, 231.0]),
+    _node(11, "dd#branch-code", "dd", None, None, "KOTN0004417", "IFSC", box=[700.0, 262.0, 980.0, 282.0]),
+    _node(12, "dd#debit", "dd", None, None, "4012 8888 8888 1881", "Debit card", box=[700.0, 313.0, 980.0, 333.0]),
+    _node(13, "p#note", "p", None, None, "Write to help@example.com or call 8123456789 about QWRTP6789K."),
 )
 
 LEAKS = (
-    ("bank", "mustNotAppear", "email", "ada.lovelace@example.org"),
-    ("bank", "mustNotAppear", "card", "4539 1488 0343 6467"),
-    ("bank", "mustNotAppear", "phone", "98765 43210"),
-    ("bank", "mustNotAppear", "account", "50100247716839"),
+    ("bank", "mustNotAppear", "email", "noor.haddad@example.net"),
+    ("bank", "mustNotAppear", "card", "4012 8888 8888 1881"),
+    ("bank", "mustNotAppear", "phone", "87654 32109"),
+    ("bank", "mustNotAppear", "account", "30711590082264"),
     ("bank", "mustAppear", "label", "Account number"),
-    ("bank", "redactedField", "password", "input#password"),
-    ("bank", "knownGap", "customer id", "MB4470193"),
+    ("bank", "redactedField", "password", "input#secret"),
+    ("bank", "knownGap", "customer id", "KT-88213"),
 )
 
 PLANS = (
-    ("s1", 0, "click", "button#go", None, None),
-    ("s1", 1, "type", "input#password", "hunter2", None),
-    ("s1", 2, "type", "input#password", None, "user_saved:password"),
+    ("s1", 0, "click", "button#enter", None, None),
+    ("s1", 1, "type", "input#secret", "hunter2", None),
+    ("s1", 2, "type", "input#secret", None, "user_saved:password"),
     ("s1", 3, "click", "input#ssn", None, None),
     ("s1", 4, "click", None, None, None),
-    ("s1", 5, "type", "input#customer-id", "[EMAIL_1]", None),
-    ("s1", 6, "type", "input#customer-id", None, "http://evil.example/x"),
-    ("s1", 7, "type", "input#customer-id", "a", "user_saved:x"),
-    ("s1", 8, "type", "input#customer-id", None, None),
+    ("s1", 5, "type", "input#login-id", "[EMAIL_1]", None),
+    ("s1", 6, "type", "input#login-id", None, "http://evil.example/x"),
+    ("s1", 7, "type", "input#login-id", "a", "user_saved:x"),
+    ("s1", 8, "type", "input#login-id", None, None),
     ("s1", 9, "navigate", None, None, None),
     ("s1", 10, "scroll", None, None, None),
-    ("s1", 11, "type", "input#customer-id", "plain", None),
+    ("s1", 11, "type", "input#login-id", "plain", None),
 )
 
 TRUTH = (
@@ -73,6 +73,15 @@ PREDICTED = (
 FACES = (("i1", 0, 0.95, [0.0, 0.0, 40.0, 40.0]), ("i1", 1, 0.90, [5.0, 5.0, 44.0, 44.0]), ("i1", 2, 0.70, [100.0, 0.0, 140.0, 40.0]), ("i1", 3, 0.70, [60.0, 0.0, 104.0, 40.0]), ("i2", 0, 0.65, [0.0, 0.0, 10.0, 10.0]))
 
 
+#: Manifest entries of which some aren't whole, and the types that their captures should declare.
+ENTRIES = (("m1", "EMAIL_1", "email", 2, "partial", "regex:email"), ("m1", "", "pan", 1, "blackbox", "regex:pan"), ("m1", "PAN_2", "pan", 3, "blackbox", "regex:pan"), ("m2", "SSN_1", "ssn", 1, "blackbox", None), ("m2", "OTP_1", "otp", 1, "blackbox", "regex:otp"))
+EXPECTED = (("m1", "email"), ("m1", "phone"), ("m2", "otp"), ("m2", "face"), ("m3", "email"))
+#: Labels set by hand on the page, with the text that they mean where it isn't the whole field.
+HAND_LABELS = (("bank", 0, "input#mail", None), ("bank", 1, "p#note", "help@example.com"), ("bank", 2, "input#gone", None), ("bank", 3, "dd#debit", "1881"), ("bank", 4, "dd#debit", "9999"))
+#: A face model's output for three boxes, in shares of a crop.
+FACE_OUTPUT = (("f1", [0.1, 0.9, 0.6, 0.4, 0.2, 0.8125], [0.0, 0.0, 0.25, 0.5, 0.5, 0.5, 0.75, 0.75, 0.125, 0.25, 1.0, 1.0]), ("f2", [], []))
+
+
 def nodes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([*BANK], NODE)
 

@@ -77,6 +77,8 @@ _PAIRS = f"""p AS (SELECT screen_id, seq, tier AS p_tier, bbox AS b FROM {_value
 t AS (SELECT screen_id, item_idx, bbox AS a FROM {_values(fixtures.TRUTH, "screen_id, item_idx, type, tier, bbox")}),
 o AS (SELECT p.screen_id, seq, p_tier, item_idx, {_BOX} AS i, {_AREA.format('a')} AS ta, {_AREA.format('b')} AS pa FROM p JOIN t USING (screen_id))"""
 _CARD_HTML = """'&lt;&quot;' || replace(replace(replace(replace(props, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')"""
+#: The tier-1 fields of the page.
+_TIER_1 = "'input#secret', 'input#tax-id', 'dd#acct', 'dd#branch-code', 'dd#debit'"
 _PLAN_PATHS = ", ".join(f"'{n[3]}'" for n in fixtures.BANK)
 
 SQL = {
@@ -95,7 +97,7 @@ SELECT conv_id, turn, unnest(regexp_extract_all(text, '{DOB}')) AS value FROM t
     "pii_doc_profile": f"""SELECT d.lang, d.source, count(*) AS docs, count(*) FILTER (regexp_matches(d.text, '{EMAIL}')) AS with_email, sum(quality)::BIGINT AS good, sum(toxic)::BIGINT AS toxic
 FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY GROUPING SETS ((), (d.lang), (d.source))""",
     "redact_email_partial": rf"SELECT doc_id, regexp_replace(text, '\b([A-Za-z0-9._%+-])[A-Za-z0-9._%+-]*@[A-Za-z0-9.-]+(\.[A-Za-z]{{2,}})\b', '\1***@***\2', 'g') AS text FROM documents WHERE regexp_matches(text, '{EMAIL}')",
-    "session_tokens": """WITH k AS (SELECT conv_id, turn, role AS kind, CASE WHEN coalesce(substr(text, 1, 4), '') != '' THEN role || ':' || regexp_replace(lower(substr(text, 1, 4)), '[^a-z0-9@.]', '', 'g') ELSE role || '@path' END AS key FROM conversations),
+    "session_tokens": """WITH k AS (SELECT conv_id, turn, role AS kind, CASE WHEN coalesce(text, '') != '' THEN role || ':' || regexp_replace(lower(text), '[^a-z0-9@.]', '', 'g') ELSE role || '@path' END AS key FROM conversations),
 f AS (SELECT *, min(turn) OVER (PARTITION BY conv_id, kind, key) AS first FROM k)
 SELECT conv_id, turn, kind, upper(kind) || '_' || dense_rank() OVER (PARTITION BY conv_id, kind ORDER BY first) AS token FROM f""",
     "ingress_findings": " UNION ALL ".join(f"SELECT doc_id, '{f}' AS field, '{n}' AS pattern, doc_id || '.{f} matches {n}' AS said FROM documents WHERE {_hit(c, p, k)}" for f, c in (("label", "source"), ("value", "text")) for n, p, k in _INGRESS),
@@ -113,13 +115,13 @@ r AS (SELECT *, CASE
   WHEN regexp_matches(coalesce(value, ''), '\[(?:REDACTED:[A-Z_]+|[A-Z_]+_[0-9]+)\]') THEN 'value echoes a redaction marker'
   WHEN value_ref IS NOT NULL AND NOT regexp_full_match(value_ref, 'user_saved:[A-Za-z0-9_.\-]{{1,64}}') THEN 'value_ref ''' || value_ref || ''' is not a user_saved reference'
   WHEN action = 'type' AND (value IS NULL) = (value_ref IS NULL) THEN 'needs exactly one of value / value_ref'
-  WHEN action = 'type' AND value IS NOT NULL AND selector IN ('input#password', 'input#pan', 'dd#account-number', 'dd#ifsc', 'dd#card-number') THEN selector || ' is a tier 1 field and must use value_ref, not a literal' END AS rule FROM p)
+  WHEN action = 'type' AND value IS NOT NULL AND selector IN ({_TIER_1}) THEN selector || ' is a tier 1 field and must use value_ref, not a literal' END AS rule FROM p)
 SELECT n::INT AS position, action, 'action[' || n || '] ' || action || ': ' || rule AS rejection FROM r""",
     "executor_prefix": """WITH f AS (SELECT *, coalesce(sum((event_type = 'error')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS failed FROM events)
 SELECT event_id, user_id, event_type FROM f WHERE failed = 0""",
     "debounce_last": """WITH g AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 b AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS burst FROM g)
-SELECT user_id, arg_max(event_id, ts) AS event_id, count(*) AS n FROM b GROUP BY user_id, burst""",
+SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, count(*) AS n FROM b GROUP BY user_id, burst""",
     "activity_ring": "SELECT user_id, event_id, rank FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rank FROM events) WHERE rank <= 60",
     "prior_actions": "SELECT event_id, coalesce(string_agg(event_type, ',') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), '') AS prior FROM events",
     "last_capture": "SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
@@ -140,7 +142,9 @@ SELECT event_type, x.stage AS stage, round(quantile_cont(x.v::DOUBLE, 0.5), 6) A
     "stream_tokens": """WITH f AS (SELECT *, min(event_id) OVER (PARTITION BY user_id, event_type, props) AS first FROM events)
 SELECT user_id::VARCHAR AS session, event_id AS seq, event_type AS type, upper(event_type) || '_' || dense_rank() OVER (PARTITION BY user_id, event_type ORDER BY first) AS token FROM f""",
     "stream_histories": "SELECT user_id::VARCHAR AS session, event_id AS seq, coalesce(string_agg(event_type, ',') OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), '') AS prior FROM events",
-    "page_hosts": r"SELECT page_id, regexp_replace(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1), '^www\.', '') AS host, false AS restricted FROM pages",
+    "page_hosts": r"""SELECT page_id, regexp_replace(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1), '^www\.', '') AS host,
+  coalesce(url, '') = '' OR regexp_matches(url, '^(?:chrome|edge|brave|about|devtools|chrome-extension|view-source|moz-extension):') OR starts_with(url, 'https://chrome.google.com/webstore') OR starts_with(url, 'https://chromewebstore.google.com') AS restricted,
+  (page_id % 3 = 1 AND url IS NOT NULL) OR page_id % 3 = 2 OR (page_id % 3 = 0 AND coalesce(url, '') = '') OR url IS NULL AS seen_restricted FROM pages""",
     "html_elements": """WITH c AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<(script|style|head)[ >].*?</(script|style|head)>', '', 'g'), '(?s)<!--.*?-->', '', 'g') AS h FROM pages)
 SELECT page_id, tag, n FROM (SELECT page_id, unnest([{'tag': 'a', 'n': len(regexp_extract_all(h, '<a[ >]'))}, {'tag': 'article', 'n': len(regexp_extract_all(h, '<article[ >]'))}, {'tag': 'h1', 'n': len(regexp_extract_all(h, '<h1[ >]'))}], recursive := true) FROM c) WHERE n > 0""",
     "stable_ids": "SELECT c_custkey, c_name, regexp_full_match(x, '[A-Za-z_][A-Za-z0-9_-]{0,47}') AND NOT regexp_full_match(x, '(?i)[0-9a-f]{8,}') AND len(regexp_extract_all(x, '[0-9]')) * 2 <= length(x) AS stable, repeat('•', least(length(c_name), 12)::INT) AS preview FROM (SELECT *, replace(c_name, '#', '_') AS x FROM customer)",
@@ -148,3 +152,41 @@ SELECT page_id, tag, n FROM (SELECT page_id, unnest([{'tag': 'a', 'n': len(regex
     "user_chips": "SELECT user_id, count(*) FILTER (event_type = 'error') AS failed, bool_or(event_type = 'purchase') AS bought, count(DISTINCT event_type) AS kinds, count(*) FILTER (event_type = 'error') || CASE WHEN count(*) FILTER (event_type = 'error') = 1 THEN ' failure' ELSE ' failures' END AS chip FROM events GROUP BY user_id",
 }
 SQL["stream_windows"] = SQL["event_windows"]
+
+_PLAN_RULES = f"""p AS (SELECT * FROM {_values([(n[2], n[3], n[5], n[6]) for n in fixtures.BANK], 'node_seq, path, role, label')}),
+u AS (SELECT 0 AS k, 'type' AS action, path AS selector, 'user_saved:username' AS value_ref FROM p WHERE role IN ('textbox', 'searchbox') AND path NOT IN ({_TIER_1}) AND regexp_matches(coalesce(label, ''), '(?i)user|customer|login|account *id|email') ORDER BY node_seq LIMIT 1),
+s AS (SELECT 1, 'type', 'input#secret', 'user_saved:password'),
+b AS (SELECT 2, 'click', path, NULL::VARCHAR FROM p WHERE role = 'button' AND regexp_matches(coalesce(label, ''), '(?i)sign *in|log *in|submit|continue|next') ORDER BY node_seq LIMIT 1),
+a AS (SELECT * FROM u UNION ALL SELECT * FROM s UNION ALL SELECT * FROM b)"""
+_B = "(bbox[{0}] {1} (bbox[{2}] - bbox[{3}]) * 0.25) * 2"
+_REGION = f"""f AS (SELECT image_id, i, bbox FROM {_values(fixtures.FACES, 'image_id, i, score, bbox')}),
+r AS (SELECT image_id, i, greatest(floor({_B.format(1, '-', 3, 1)}), 0)::BIGINT AS x, greatest(floor({_B.format(2, '-', 4, 2)}), 0)::BIGINT AS y,
+  least(ceil({_B.format(3, '+', 3, 1)}), 240)::BIGINT AS x2, least(ceil({_B.format(4, '+', 4, 2)}), 80)::BIGINT AS y2 FROM f)"""
+_hit_rows = lambda session, path, field, x, table: " UNION ALL ".join(f"SELECT {session} AS session_id, '{n}' AS pattern FROM {table} WHERE {x} != '' AND {_hit(x, p, k)}" for n, p, k in _INGRESS)
+_EDGE_SQL = "[floor(l_quantity::DOUBLE * 10 + 0.5), floor(l_discount::DOUBLE * 1000 + 0.5), floor(l_extendedprice::DOUBLE / 100 + 0.5), floor(l_tax::DOUBLE * 3000 + 0.5)]"
+SQL |= {
+    "plan_rules": f"WITH {_PLAN_RULES} SELECT 's1' AS session_id, k::INT AS position, action, selector, value_ref, true AS requires_client_secret FROM a",
+    "plan_resolved": f"WITH {_PLAN_RULES} SELECT k::INT AS position, action, selector, CASE value_ref WHEN 'user_saved:username' THEN 'ada' WHEN 'user_saved:password' THEN 'pw' END AS text FROM a",
+    "blur_regions": f"WITH {_REGION} SELECT image_id, i::INT AS i, x, y, x2 - x AS w, y2 - y AS h, greatest(10.0, floor(least(x2 - x, y2 - y) * 0.45 + 0.5))::DOUBLE AS radius FROM r WHERE x2 > x AND y2 > y",
+    "ingress_requests": f"""WITH f AS ({_hit_rows('source', 'doc_id', 'label', 'lang', 'documents')} UNION ALL {_hit_rows('source', 'doc_id', 'value', 'text', 'documents')}
+  UNION ALL {_hit_rows('source', '', 'text', 'text', '(SELECT source, min(text) AS text FROM documents GROUP BY source)')})
+SELECT session_id, count(*) AS findings, array_to_string(list_sort(list_distinct(list(pattern))), ',') AS patterns FROM f GROUP BY session_id""",
+    "find_one": r"""WITH h AS (SELECT regexp_replace(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1), '^www\.', '') AS host FROM pages), n AS (SELECT host, count(*) AS n FROM h GROUP BY host)
+SELECT host, CASE WHEN n = 1 THEN 'ok' ELSE n || ' elements match ' || host || ': refusing to guess' END AS lookup FROM n UNION ALL SELECT 'nowhere.example', 'No element matches nowhere.example'""",
+    "plan_outcomes": """WITH f AS (SELECT *, coalesce(sum((event_type = 'error')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS failed FROM events)
+SELECT user_id, event_id, CASE WHEN failed > 0 THEN 'not reached' WHEN event_type = 'error' THEN 'failed' ELSE 'ok' END AS outcome FROM f""",
+    "saved_values": """SELECT user_id, event_type AS slot, props AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1 AND value >= 10""",
+    "manifest_malformed": f"SELECT * FROM {_values(fixtures.ENTRIES, 'snapshot_id, id, type, tier, masking, detector')} WHERE coalesce(id, '') = '' OR coalesce(type, '') = '' OR coalesce(masking, '') = '' OR coalesce(detector, '') = '' OR tier NOT IN (1, 2)",
+    "manifest_undeclared": f"SELECT snapshot_id, type FROM {_values(fixtures.EXPECTED, 'snapshot_id, type')} WHERE (snapshot_id, type) NOT IN (SELECT (snapshot_id, type) FROM {_values(fixtures.ENTRIES, 'snapshot_id, id, type, tier, masking, detector')})",
+    "latency_stage_sum": "SELECT event_type, round(quantile_cont(value::DOUBLE, 0.5) + quantile_cont((value * 2)::DOUBLE, 0.5), 4) AS p50_sum, 2::BIGINT AS stages FROM events GROUP BY event_type",
+    "box_geometry": f"""WITH b AS (SELECT l_orderkey, l_linenumber, {_EDGE_SQL} AS b FROM lineitem)
+SELECT l_orderkey, l_linenumber, b[3] > b[1] AND b[4] > b[2] AND b[3] > 0 AND b[4] > 0 AND b[1] < 300 AND b[2] < 80 AS on_screen, b[3] - b[1] >= 32 AND b[4] - b[2] >= 32 AS wide,
+  array_to_string(list_transform([least(greatest(floor(b[1] * 1.5 + 0.5), 0), 450), least(greatest(floor(b[2] * 1.5 + 0.5), 0), 120), least(greatest(floor(b[3] * 1.5 + 0.5), 0), 450), least(greatest(floor(b[4] * 1.5 + 0.5), 0), 120)], lambda x: x::INT::VARCHAR), ',') AS device FROM b""",
+    "face_decode": f"""WITH o AS (SELECT * FROM {_values(fixtures.FACE_OUTPUT, 'image_id, s, b')}), e AS (SELECT *, unnest(range(0, len(s) // 2)) AS i FROM o)
+SELECT image_id, i::INT AS i, floor(s[2 * i + 2] * 1000 + 0.5) / 1000 AS score, concat_ws(',', floor(10 + b[4 * i + 1] * 90 + 0.5)::INT, floor(20 + b[4 * i + 2] * 45 + 0.5)::INT, floor(10 + b[4 * i + 3] * 90 + 0.5)::INT, floor(20 + b[4 * i + 4] * 45 + 0.5)::INT) AS box FROM e WHERE s[2 * i + 2] >= 0.6""",
+    "measured_labels": f"""WITH l AS (SELECT * FROM {_values(fixtures.HAND_LABELS, 'snapshot_id, item, selector, needle')}), n AS (SELECT * FROM {_values([(n[0], n[3], n[13], n[9] or n[7]) for n in fixtures.BANK], 'snapshot_id, selector, bbox, content')}),
+j AS (SELECT l.*, n.content, n.bbox, n.selector IS NOT NULL AS there FROM l LEFT JOIN n USING (snapshot_id, selector))
+SELECT snapshot_id, item::INT AS item, selector, array_to_string(list_transform(bbox, lambda x: x::INT::VARCHAR), ',') AS box, nullif(strpos(content, needle), 0)::INT - 1 AS start,
+  CASE WHEN NOT there THEN 'no such node' WHEN needle IS NOT NULL AND strpos(content, needle) = 0 THEN 'text not found' WHEN bbox IS NULL THEN 'no box' END AS problem FROM j""",
+    "pii_context_values": " UNION ALL ".join(f"SELECT doc_id, '{k}' AS type, value FROM ({_found('documents', 'doc_id', 'text', p)})" for k, p in (("bank_account", r"\b[0-9]{9,18}\b"), ("passport", r"\b[A-PR-WY][0-9]{7}\b"), ("otp", r"\b[0-9]{4,8}\b"))),
+}

@@ -99,7 +99,7 @@ def pii_doc_profile(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def session_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    rows = conversations(spark, sf).select("conv_id", "turn", F.col("role").alias("kind"), text.token_key("role", F.substring("text", 1, 4), F.lit("path")).alias("key"))
+    rows = conversations(spark, sf).select("conv_id", "turn", F.col("role").alias("kind"), text.token_key("role", "text", F.lit("path")).alias("key"))
     return redact.number_tokens(rows, "conv_id", "kind", "key", ["turn"]).select("conv_id", "turn", "kind", "token")
 
 
@@ -278,7 +278,10 @@ def _stream(spark: SparkSession, sf: str) -> DataFrame:
 def _shared(spark: SparkSession, name: str) -> str:
     import tempfile
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="veilmark-stream-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    base = base or tempfile.mkdtemp(prefix="veilmark-stream-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -312,7 +315,7 @@ def html_elements(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def page_hosts(spark: SparkSession, sf: str) -> DataFrame:
-    return pages(spark, sf).select("page_id", text.host_label("url").alias("host"), text.is_restricted_url("url").alias("restricted"))
+    return pages(spark, sf).select("page_id", text.host_label("url").alias("host"), text.is_restricted_url("url").alias("restricted"), text.is_restricted_url(F.when(F.col("page_id") % 3 == 0, F.col("url")).when(F.col("page_id") % 3 == 1, F.concat(F.lit("about:"), "url"))).alias("seen_restricted"))
 
 
 def stable_ids(spark: SparkSession, sf: str) -> DataFrame:
@@ -329,9 +332,88 @@ def user_chips(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("user_id", "failed", "bought", "kinds", F.concat(F.col("failed").cast("string"), F.when(F.col("failed") == 1, " failure").otherwise(" failures")).alias("chip"))
 
 
+def ingress_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """Each source as a request whose nodes are its documents and whose task is its first text."""
+    nodes = documents(spark, sf).select(F.col("source").alias("session_id"), F.col("doc_id").cast("string").alias("path"), F.col("lang").alias("label"), F.col("text").alias("value"))
+    tasks = documents(spark, sf).groupBy(F.col("source").alias("session_id")).agg(F.min("text").alias("task_instruction"))
+    return ingress.reports(ingress.findings_of_requests(nodes, tasks)).select("session_id", "findings", F.array_join("patterns", ",").alias("patterns"))
+
+
+def find_one(spark: SparkSession, sf: str) -> DataFrame:
+    hosts = pages(spark, sf).select(text.host_label("url").alias("host"))
+    wanted = hosts.distinct().union(spark.createDataFrame([("nowhere.example",)], "host STRING"))
+    return planning.find_one(wanted, hosts.withColumnRenamed("host", "path"), "host", "path")
+
+
+def plan_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    """Every event as a planned action, of which those up to a user's first error were carried out."""
+    done = executor_prefix(spark, sf).withColumn("ok", F.col("event_type") != "error")
+    return planning.with_outcomes(events(spark, sf).select("user_id", "event_id"), done, ["user_id", "event_id"])
+
+
+def saved_values(spark: SparkSession, sf: str) -> DataFrame:
+    changes = events(spark, sf).select("user_id", F.col("event_type").alias("slot"), F.when(F.col("value") >= 10, F.col("props")).alias("value"), "ts", "event_id")
+    return planning.saved_values(changes, ["user_id"], "slot", "value", ["ts", "event_id"])
+
+
+def _entries(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([*fixtures.ENTRIES], "snapshot_id STRING, id STRING, type STRING, tier INT, masking STRING, detector STRING")
+
+
+def manifest_malformed(spark: SparkSession, sf: str) -> DataFrame:
+    return redact.malformed(_entries(spark))
+
+
+def manifest_undeclared(spark: SparkSession, sf: str) -> DataFrame:
+    return redact.undeclared(_entries(spark), spark.createDataFrame([*fixtures.EXPECTED], "snapshot_id STRING, type STRING"))
+
+
+def latency_stage_sum(spark: SparkSession, sf: str) -> DataFrame:
+    rows = events(spark, sf).select("event_type", F.col("value").alias("capture"), (F.col("value") * 2).alias("network"))
+    return evaluate.stage_sums(evaluate.percentiles(rows, ["capture", "network"], ["event_type"]), ["event_type"]).select("event_type", F.round("p50_sum", 4).alias("p50_sum"), "stages")
+
+
+def box_geometry(spark: SparkSession, sf: str) -> DataFrame:
+    """Boxes made of the numbers of order lines: rounded, tested against a screen, and carried to device pixels."""
+    number = lambda c, by: F.col(c).cast("double") * by if by >= 1 else F.col(c).cast("double") / round(1 / by)
+    box = geometry.rounded(F.array(number("l_quantity", 10), number("l_discount", 1000), number("l_extendedprice", 0.01), number("l_tax", 3000)))
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber", box.alias("b"))
+    device = geometry.rescaled(F.col("b"), F.lit(1.5), F.lit(450), F.lit(120))
+    return rows.select("l_orderkey", "l_linenumber", geometry.on_screen(F.col("b"), F.lit(300), F.lit(80)).alias("on_screen"), geometry.wide_enough(F.col("b")).alias("wide"), F.array_join(F.transform(device, lambda x: x.cast("int").cast("string")), ",").alias("device"))
+
+
+def face_decode(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.createDataFrame([*fixtures.FACE_OUTPUT], "image_id STRING, s ARRAY<DOUBLE>, b ARRAY<DOUBLE>")
+    found = rows.select("image_id", F.explode(geometry.decoded(F.col("s"), F.col("b"), F.lit(0.6), (90.0, 45.0), (10.0, 20.0))).alias("f"))
+    return found.select("image_id", "f.i", "f.score", F.array_join(F.transform("f.bbox", lambda x: x.cast("int").cast("string")), ",").alias("box"))
+
+
+def measured_labels(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.measured(spark.createDataFrame([*fixtures.HAND_LABELS], "snapshot_id STRING, item INT, selector STRING, needle STRING"), fixtures.nodes(spark))
+
+
+CONTEXTS = {"bank_account": "Account number", "passport": "Passport", "otp": "Verification code"}
+
+
+def pii_context_values(spark: SparkSession, sf: str) -> DataFrame:
+    """What the patterns that need a context find in the documents where the context is given."""
+    parts = []
+    for kind, said in CONTEXTS.items():
+        rule = [r for r in rules.PATTERNS if r.type == kind]
+        found = detect.detect_text(documents(spark, sf).select("doc_id", "text").withColumn("said", F.lit(said)), "text", "said", rule)
+        parts.append(found.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.type", "s.value"))
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+def page_detections(spark: SparkSession, sf: str) -> DataFrame:
+    found = detect.detections(detect.detect_nodes(html.snapshots(pages(spark, sf))))
+    return found.select(F.col("snapshot_id").cast("bigint").alias("page_id"), "path", "field", "type", "tier", "detector", F.col("span.start").alias("start"), F.col("span.end").alias("end"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     pii_email_spans, pii_email_counts_by_lang, pii_card_valid, pii_phone_valid, pii_dates, pii_dob_context, pii_identity_values, pii_all_resolved, pii_doc_profile, redact_documents, redact_email_partial, session_tokens,
     ingress_findings, ingress_scrub, ingress_policy, strict_schema, node_detections, sanitised_nodes, redaction_manifest, gate_violations, leak_audit, plan_constrain, plan_rules, plan_message, plan_resolved,
     executor_prefix, debounce_last, activity_ring, prior_actions, last_capture, selector_lookup, iou_matrix, greedy_match, eval_confusion, eval_prf, eval_unscorable, redaction_precision, nms_faces, blur_regions,
-    latency_percentiles, latency_budget, event_windows, event_windows_sliding, stream_tokens, stream_histories, stream_windows, html_nodes, html_elements, page_hosts, stable_ids, rounding, user_chips,
+    latency_percentiles, latency_budget, event_windows, event_windows_sliding, stream_tokens, stream_histories, stream_windows, html_nodes, html_elements, page_hosts, page_detections, pii_context_values, ingress_requests, find_one, plan_outcomes,
+    saved_values, manifest_malformed, manifest_undeclared, latency_stage_sum, box_geometry, face_decode, measured_labels, stable_ids, rounding, user_chips,
 )}

@@ -1,6 +1,6 @@
 """Session state over streams: tokens, histories, the latest plan, debounced events, and event-time windows.
 
-Token state holds salted hashes of keys, never the values, since stream state is written to checkpoints. Windows and
+Token state holds hashes of keys with their session, never the values, since stream state is written to checkpoints. Windows and
 watermarks are this library's own; the rest follows the batch forms in `operators`.
 """
 
@@ -72,9 +72,9 @@ def histories(items: DataFrame, most: int = 60) -> DataFrame:
 
 
 def debounced(events: DataFrame, by: str, at: str, last: Column, gap: str, late: str | None = None) -> DataFrame:
-    """The last event of each burst: events of a key closer than `gap`. Works on streams (with a watermark) and tables."""
+    """The last event of each burst: events of a key closer than `gap`; of equal times the greater. Works on streams (with a watermark) and tables."""
     rows = events.withWatermark(at, late) if late else events
-    return rows.groupBy(by, F.session_window(at, gap).alias("burst")).agg(F.max_by(last, at).alias("last"), F.count(F.lit(1)).alias("events")).select(by, F.col("burst.start").alias("start"), "last", "events")
+    return rows.groupBy(by, F.session_window(at, gap).alias("burst")).agg(F.max_by(last, F.struct(F.col(at), last)).alias("last"), F.count(F.lit(1)).alias("events")).select(by, F.col("burst.start").alias("start"), "last", "events")
 
 
 def windowed_counts(events: DataFrame, at: str, by: str, value: str, size: str, slide: str | None = None, late: str | None = None) -> DataFrame:
