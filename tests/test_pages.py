@@ -108,6 +108,25 @@ def test_any_threshold(spark, threshold):
     assert (redact.violations(clean).count() > 0) == (threshold > 0.9)
 
 
+def test_whole_pages(spark, sf, tmp_path):
+    """Over the table of pages: no node is lost, and the gate has nothing left to refuse."""
+    queries.page_sanitised(spark, sf).withColumnRenamed("page_id", "snapshot_id").write.parquet(f"{tmp_path}/clean")
+    clean = spark.read.parquet(f"{tmp_path}/clean")
+    assert clean.count() == html.nodes(spark.read.parquet(f"{sf}/pages.parquet")).count()
+    assert redact.violations(clean).count() == 0
+
+
+def test_page_with_a_form(spark, tmp_path):
+    """A page as a table: what it holds is declared, replaced and planned for."""
+    form = "<body><label for=u>User name</label><input id=u value='b'><input id=p type=password value=x><p id=m>Mail a.b@example.org</p><button id=go>Sign in</button>"
+    spark.createDataFrame([(7, "https://x.example", form), (8, "https://y.example", "<p>nothing</p>"), (9, None, None)], "page_id BIGINT, url STRING, html STRING").write.parquet(f"{tmp_path}/pages.parquet")
+    at = str(tmp_path)
+    assert {(r["page_id"], r["type"], r["dom_path"]) for r in queries.page_manifest(spark, at).collect()} >= {(7, "password", "input#p"), (7, "email", "p#m")}
+    assert {r["value"] for r in queries.page_sanitised(spark, at).collect()} >= {"[REDACTED:PASSWORD]", "nothing", "Mail a***@***.org"}
+    assert [(r["page_id"], r["field"], r["detector"]) for r in queries.page_violations(spark, at).collect()] == [(7, "value", "regex:email")]
+    assert [(r["page_id"], r["action"], r["selector"], r["rejection"]) for r in queries.page_plans(spark, at).orderBy("position").collect()] == [(7, "type", "input#u", None), (7, "type", "input#p", None), (7, "click", "button#go", None)]
+
+
 def test_faces_and_audits(spark, sf):
     nodes, named = queries._named(spark)
     rows = redact.manifest(nodes, named)

@@ -77,6 +77,7 @@ _PAIRS = f"""p AS (SELECT screen_id, seq, tier AS p_tier, bbox AS b FROM {_value
 t AS (SELECT screen_id, item_idx, bbox AS a FROM {_values(fixtures.TRUTH, "screen_id, item_idx, type, tier, bbox")}),
 o AS (SELECT p.screen_id, seq, p_tier, item_idx, {_BOX} AS i, {_AREA.format('a')} AS ta, {_AREA.format('b')} AS pa FROM p JOIN t USING (screen_id))"""
 _CARD_HTML = """'&lt;&quot;' || replace(replace(replace(replace(props, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')"""
+_IDENTITY_TEXTS = f"(SELECT doc_id::BIGINT AS id, text FROM documents UNION ALL SELECT -1 - id, text FROM {_values(enumerate(IDENTITIES), 'id, text')})"
 #: The tier-1 fields of the page.
 _TIER_1 = "'input#secret', 'input#tax-id', 'dd#acct', 'dd#branch-code', 'dd#debit'"
 _PLAN_PATHS = ", ".join(f"'{n[3]}'" for n in fixtures.BANK)
@@ -93,7 +94,7 @@ SELECT doc_id, start::INT AS start, (start + length(value))::INT AS "end", value
     "pii_dates": _found("documents", "doc_id", "text", DOB),
     "pii_dob_context": rf"""WITH t AS (SELECT conv_id, turn, concat_ws(' ', role, CASE WHEN turn = 1 THEN 'born 1990-01-31 or 5/6/77' END, text) AS text FROM conversations)
 SELECT conv_id, turn, unnest(regexp_extract_all(text, '{DOB}')) AS value FROM t WHERE regexp_matches(text, '(?i)birth|\bdob\b|born')""",
-    "pii_identity_values": " UNION ALL ".join(f"SELECT id, value, '{k}' AS type FROM ({_found(_values(enumerate(IDENTITIES), 'id, text'), 'id', 'text', p, c)})" for k, p, c in (("pan", PAN, "true"), ("ifsc", IFSC, "true"), ("ssn", SSN, _ssn("value")), ("aadhaar", AADHAAR, _aadhaar("value")))),
+    "pii_identity_values": " UNION ALL ".join(f"SELECT id, value, '{k}' AS type FROM ({_found(_IDENTITY_TEXTS, 'id', 'text', p, c)})" for k, p, c in (("pan", PAN, "true"), ("ifsc", IFSC, "true"), ("ssn", SSN, _ssn("value")), ("aadhaar", AADHAAR, _aadhaar("value")))),
     "pii_doc_profile": f"""SELECT d.lang, d.source, count(*) AS docs, count(*) FILTER (regexp_matches(d.text, '{EMAIL}')) AS with_email, sum(quality)::BIGINT AS good, sum(toxic)::BIGINT AS toxic
 FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY GROUPING SETS ((), (d.lang), (d.source))""",
     "redact_email_partial": rf"SELECT doc_id, regexp_replace(text, '\b([A-Za-z0-9._%+-])[A-Za-z0-9._%+-]*@[A-Za-z0-9.-]+(\.[A-Za-z]{{2,}})\b', '\1***@***\2', 'g') AS text FROM documents WHERE regexp_matches(text, '{EMAIL}')",
@@ -103,7 +104,8 @@ SELECT conv_id, turn, kind, upper(kind) || '_' || dense_rank() OVER (PARTITION B
     "ingress_findings": " UNION ALL ".join(f"SELECT doc_id, '{f}' AS field, '{n}' AS pattern, doc_id || '.{f} matches {n}' AS said FROM documents WHERE {_hit(c, p, k)}" for f, c in (("label", "source"), ("value", "text")) for n, p, k in _INGRESS),
     "ingress_scrub": f"SELECT doc_id, CASE WHEN {_leaks('source')} THEN '[REDACTED:INGRESS]' ELSE source END AS label, CASE WHEN {_leaks('text')} THEN '[REDACTED:INGRESS]' ELSE text END AS value FROM documents",
     "ingress_policy": f"SELECT CASE WHEN {_leaks('source')} OR {_leaks('text')} THEN 'rejected' ELSE 'clean' END AS verdict, count(*) AS records FROM documents GROUP BY 1",
-    "strict_schema": f"""WITH b AS (SELECT id, CASE WHEN json_valid(body) AND json_type(body) = 'OBJECT' THEN json_keys(body) END AS k FROM {_values(enumerate(BODIES), 'id, body')})
+    "strict_schema": f"""WITH b AS (SELECT id, CASE WHEN json_valid(body) AND json_type(body) = 'OBJECT' THEN json_keys(body) END AS k FROM {_values([(f'body:{i}', b) for i, b in enumerate(BODIES)], 'id, body')}
+  UNION ALL SELECT conv_id || ':' || turn, list_filter([CASE WHEN turn % 5 != 4 AND conv_id IS NOT NULL THEN 'session_id' END, CASE WHEN text IS NOT NULL THEN 'task_instruction' END, CASE WHEN role = 'assistant' THEN 'role' END], lambda x: x IS NOT NULL) FROM conversations)
 SELECT id, coalesce(array_to_string(list_sort(list_filter(k, lambda x: x NOT IN ('session_id', 'task_instruction', 'screenshot_redacted', 'dom_summary', 'redaction_manifest', 'prior_actions'))), ','), '') AS unknown,
   CASE WHEN list_contains(k, 'session_id') THEN '' ELSE 'session_id' END AS missing,
   k IS NOT NULL AND list_contains(k, 'session_id') AND len(list_filter(k, lambda x: x NOT IN ('session_id', 'task_instruction', 'screenshot_redacted', 'dom_summary', 'redaction_manifest', 'prior_actions'))) = 0 AS accepted FROM b""",

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry, text, validators
@@ -63,7 +63,9 @@ IDENTITIES = ("xABCDE1234F ABCDE1234F, FGHIJ5678K.", "MERD0001234 and merd000123
 
 
 def pii_identity_values(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame([(i, t) for i, t in enumerate(IDENTITIES)], "id INT, text STRING")
+    """Identity numbers in all documents, and in a few texts with numbers that are nearly right, whose ids are negative."""
+    said = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(IDENTITIES)], "id BIGINT, text STRING")
+    rows = documents(spark, sf).select(F.col("doc_id").cast("bigint").alias("id"), "text").union(said)
     parts = [_values(rows, "id", "text", p, c).withColumn("type", F.lit(k)) for k, p, c in (("pan", rules.PAN, None), ("ifsc", rules.IFSC, None), ("ssn", rules.SSN, None), ("aadhaar", rules.AADHAAR, validators.is_aadhaar))]
     out = parts[0]
     for p in parts[1:]:
@@ -123,14 +125,23 @@ BODIES = ('{"session_id": "s", "dom_summary": []}', '{"session_id": "s", "raw_sc
 
 
 def strict_schema(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame([(i, b) for i, b in enumerate(BODIES)], "id INT, body STRING")
+    """Every turn as a request, of which the assistant's have a key too many and each fifth turn lacks its session, and a
+    few bodies that are none."""
+    session = F.when(F.col("turn") % 5 != 4, F.col("conv_id").cast("string"))
+    body = F.to_json(F.struct(session.alias("session_id"), F.col("text").alias("task_instruction"), F.when(F.col("role") == "assistant", F.col("role")).alias("role")))
+    turns = conversations(spark, sf).select(F.concat_ws(":", "conv_id", "turn").alias("id"), body.alias("body"))
+    rows = turns.union(spark.createDataFrame([(f"body:{i}", b) for i, b in enumerate(BODIES)], "id STRING, body STRING"))
     return ingress.strict(rows, "body").select("id", F.array_join("unknown", ",").alias("unknown"), F.array_join("missing", ",").alias("missing"), "accepted")
 
 
-def _named(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    nodes = fixtures.nodes(spark)
-    # a few nodes, read several times by one plan
-    return nodes, redact.tokens_for(detect.detect_nodes(nodes).cache()).cache()
+def _named(spark: SparkSession, nodes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes, those of the fixture by default, and their detections with tokens. What is detected is a table in the shared
+    folder, since the plans that follow read it several times."""
+    nodes = fixtures.nodes(spark) if nodes is None else nodes
+    found, path = detect.detect_nodes(nodes), _shared(spark, "detected")
+    found.write.parquet(path)
+    found = spark.read.schema(found.schema).parquet(path)
+    return found.select(*nodes.columns), redact.tokens_for(found)
 
 
 def node_detections(spark: SparkSession, sf: str) -> DataFrame:
@@ -157,12 +168,45 @@ def leak_audit(spark: SparkSession, sf: str) -> DataFrame:
     return redact.leak_audit(redact.sanitise(nodes, named), fixtures.leak_spec(spark))
 
 
-def _requests(spark: SparkSession) -> DataFrame:
-    nodes, named = _named(spark)
-    summary = redact.sanitise(nodes, named).groupBy(F.lit("s1").alias("session_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("node_seq", "path", "role", "label", "value"))), lambda n: F.struct(n["path"], n["role"], n["label"], n["value"])).alias("dom_summary"))
+def _requests_of(nodes: DataFrame, named: DataFrame, session: Column) -> DataFrame:
+    """A request per session, the fixture's or a page: at most MOST_NODES nodes each, in page order, and the manifest."""
+    summary = redact.sanitise(nodes, named).groupBy(session.alias("session_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("node_seq", "path", "role", "label", "value"))), lambda n: F.struct(n["path"], n["role"], n["label"], n["value"])).alias("dom_summary"))
     rows = redact.manifest(nodes, named)
-    listed = rows.groupBy(F.lit("s1").alias("session_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("node_seq", "id", "type", "tier", "dom_path", "masking"))), lambda m: F.struct(m["id"], m["type"], m["tier"], m["dom_path"], m["masking"])).alias("redaction_manifest"))
-    return summary.join(listed, "session_id").withColumns({"task_instruction": F.lit("Sign in"), "prior_actions": F.array().cast(f"array<{planning.ACTION}>")})
+    listed = rows.groupBy(session.alias("session_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("node_seq", "id", "type", "tier", "dom_path", "masking"))), lambda m: F.struct(m["id"], m["type"], m["tier"], m["dom_path"], m["masking"])).alias("redaction_manifest"))
+    none = F.array().cast(listed.schema["redaction_manifest"].dataType)
+    return summary.join(listed, "session_id", "left").withColumns({"redaction_manifest": F.coalesce("redaction_manifest", none), "task_instruction": F.lit("Sign in"), "prior_actions": F.array().cast(f"array<{planning.ACTION}>")})
+
+
+def _requests(spark: SparkSession) -> DataFrame:
+    return _requests_of(*_named(spark), F.lit("s1"))
+
+
+def _page_named(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return _named(spark, html.snapshots(pages(spark, sf)))
+
+
+def page_sanitised(spark: SparkSession, sf: str) -> DataFrame:
+    nodes, named = _page_named(spark, sf)
+    return redact.sanitise(nodes, named).select(F.col("snapshot_id").cast("bigint").alias("page_id"), "node_seq", "path", "role", "label", "value")
+
+
+def page_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    nodes, named = _page_named(spark, sf)
+    return redact.manifest(nodes, named).select(F.col("snapshot_id").cast("bigint").alias("page_id"), "node_seq", "id", "type", "tier", "dom_path", "masking", "detector")
+
+
+def page_violations(spark: SparkSession, sf: str) -> DataFrame:
+    """What the gate would refuse of the pages as they came."""
+    nodes = html.snapshots(pages(spark, sf))
+    found = redact.violations(nodes.select("snapshot_id", "path", "label", F.coalesce("value", "text").alias("value")))
+    return found.select(F.col("snapshot_id").cast("bigint").alias("page_id"), "path", "field", "detector")
+
+
+def page_plans(spark: SparkSession, sf: str) -> DataFrame:
+    """What the rule planner does on each page, as far as every action may run; a page without a form has no rows."""
+    requests = _requests_of(*_page_named(spark, sf), F.col("snapshot_id"))
+    judged = planning.constrain(planning.rule_planner(requests), requests)
+    return judged.select(F.col("session_id").cast("bigint").alias("page_id"), "position", "action", "selector", "value_ref", "rejection")
 
 
 def plan_constrain(spark: SparkSession, sf: str) -> DataFrame:
@@ -414,6 +458,6 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     pii_email_spans, pii_email_counts_by_lang, pii_card_valid, pii_phone_valid, pii_dates, pii_dob_context, pii_identity_values, pii_all_resolved, pii_doc_profile, redact_documents, redact_email_partial, session_tokens,
     ingress_findings, ingress_scrub, ingress_policy, strict_schema, node_detections, sanitised_nodes, redaction_manifest, gate_violations, leak_audit, plan_constrain, plan_rules, plan_message, plan_resolved,
     executor_prefix, debounce_last, activity_ring, prior_actions, last_capture, selector_lookup, iou_matrix, greedy_match, eval_confusion, eval_prf, eval_unscorable, redaction_precision, nms_faces, blur_regions,
-    latency_percentiles, latency_budget, event_windows, event_windows_sliding, stream_tokens, stream_histories, stream_windows, html_nodes, html_elements, page_hosts, page_detections, pii_context_values, ingress_requests, find_one, plan_outcomes,
+    latency_percentiles, latency_budget, event_windows, event_windows_sliding, stream_tokens, stream_histories, stream_windows, html_nodes, html_elements, page_hosts, page_detections, page_sanitised, page_manifest, page_violations, page_plans, pii_context_values, ingress_requests, find_one, plan_outcomes,
     saved_values, manifest_malformed, manifest_undeclared, latency_stage_sum, box_geometry, face_decode, measured_labels, stable_ids, rounding, user_chips,
 )}
