@@ -127,3 +127,11 @@ def test_structural_tags_are_not_claimed(spark):
 @pytest.mark.parametrize(("id_", "good"), [("main", True), ("a3f9c2e1b", False), (":r7:", False), ("x1234", False), ("", False), ("a" * 49, False), (None, False)])
 def test_stable_ids(spark, id_, good):
     assert one(spark, text.is_stable_id(F.lit(id_).cast("string"))) is good
+
+
+def test_a_false_positive_hides_no_missed_truth(spark):
+    from veilmark.operators import evaluate
+
+    truth = spark.createDataFrame([("a", 0, "email", 2, [0.0, 0.0, 10.0, 10.0])], "screen_id STRING, item_idx INT, type STRING, tier INT, bbox ARRAY<DOUBLE>")
+    said = spark.createDataFrame([("a", 0, "pan", 1, 0.9, [0.0, 0.0, 10.0, 10.0])], "screen_id STRING, seq INT, type STRING, tier INT, confidence DOUBLE, bbox ARRAY<DOUBLE>")
+    assert {(r.outcome, r.type) for r in evaluate.match_screens(said, truth).collect()} == {("fp", "pan"), ("fn", "email")}

@@ -17,7 +17,7 @@ def match_screens(predictions: DataFrame, truth: DataFrame) -> DataFrame:
     rows = t.join(p, "screen_id").withColumn("m", greedy_match(F.col("p"), F.col("t")))
     hit = lambda x: F.element_at(F.filter("m", lambda m: m["seq"] == x["seq"]), 1)["truth"].isNotNull()
     own = F.transform("p", lambda x: F.struct(F.when(hit(x), "tp").otherwise("fp").alias("outcome"), x["tier"].cast("int").alias("tier"), x["type"].alias("type")))
-    missed = F.transform(F.filter("t", lambda x: ~F.exists("m", lambda m: m["truth"] == x["i"])), lambda x: F.struct(F.lit("fn").alias("outcome"), x["tier"].cast("int").alias("tier"), x["type"].alias("type")))
+    missed = F.transform(F.filter("t", lambda x: ~F.exists("m", lambda m: m["truth"].eqNullSafe(x["i"]))), lambda x: F.struct(F.lit("fn").alias("outcome"), x["tier"].cast("int").alias("tier"), x["type"].alias("type")))
     return rows.select("screen_id", F.explode(F.concat(own, missed)).alias("o")).select("screen_id", "o.*")
 
 
