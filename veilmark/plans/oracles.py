@@ -192,3 +192,57 @@ SELECT snapshot_id, item::INT AS item, selector, array_to_string(list_transform(
   CASE WHEN NOT there THEN 'no such node' WHEN needle IS NOT NULL AND strpos(content, needle) = 0 THEN 'text not found' WHEN bbox IS NULL THEN 'no box' END AS problem FROM j""",
     "pii_context_values": " UNION ALL ".join(f"SELECT doc_id, '{k}' AS type, value FROM ({_found('documents', 'doc_id', 'text', p)})" for k, p in (("bank_account", r"\b[0-9]{9,18}\b"), ("passport", r"\b[A-PR-WY][0-9]{7}\b"), ("otp", r"\b[0-9]{4,8}\b"))),
 }
+
+_IOU = "coalesce({0} / nullif({1} + {2} - {0}, 0), 0)"
+#: An ordered fold is a recursion over the rows' ranks: of a screen's predictions, an image's boxes, a text's spans.
+_MATCHED = f"""p AS (SELECT *, row_number() OVER (PARTITION BY screen_id ORDER BY confidence DESC, seq) AS r FROM {_values(fixtures.PREDICTED, "screen_id, seq, type, tier, confidence, b")}),
+t AS (SELECT * FROM {_values(fixtures.TRUTH, "screen_id, item_idx, type, tier, a")}),
+g AS (SELECT p.screen_id, seq, item_idx, {_BOX} AS i, {_AREA.format('a')} AS ta, {_AREA.format('b')} AS pa FROM p JOIN t USING (screen_id, type)),
+h AS (SELECT screen_id, seq, item_idx, CASE WHEN {_IOU.format('i', 'ta', 'pa')} >= 0.5 THEN {_IOU.format('i', 'ta', 'pa')} WHEN coalesce(i / nullif(ta, 0), 0) >= 0.9 THEN 0.5 END AS score FROM g),
+w AS (SELECT screen_id, seq, list(item_idx ORDER BY score DESC, item_idx) AS wanted FROM h WHERE score IS NOT NULL GROUP BY screen_id, seq),
+q AS (SELECT p.screen_id, r, tier, type, coalesce(wanted, []) AS wanted FROM p LEFT JOIN w USING (screen_id, seq) WHERE p.screen_id IN (SELECT screen_id FROM t)),
+m AS (SELECT DISTINCT screen_id, 0::BIGINT AS r, []::INT[] AS claimed, NULL::INT AS got, NULL::INT AS tier, NULL::VARCHAR AS type FROM q
+  UNION ALL SELECT screen_id, r, CASE WHEN open IS NULL THEN claimed ELSE list_append(claimed, open) END, open, tier, type
+  FROM (SELECT q.screen_id, q.r, m.claimed, list_filter(q.wanted, lambda x: NOT list_contains(m.claimed, x))[1]::INT AS open, q.tier, q.type FROM m JOIN q ON q.screen_id = m.screen_id AND q.r = m.r + 1)),
+o AS (SELECT screen_id, CASE WHEN got IS NULL THEN 'fp' ELSE 'tp' END AS outcome, tier, type FROM m WHERE r > 0
+  UNION ALL SELECT t.screen_id, 'fn', t.tier, t.type FROM t JOIN (SELECT screen_id, arg_max(claimed, r) AS claimed FROM m GROUP BY screen_id) z USING (screen_id) WHERE NOT list_contains(claimed, item_idx))"""
+_FACE_BOX = "greatest(least(x.bbox[3], f.bbox[3]) - greatest(x.bbox[1], f.bbox[1]), 0) * greatest(least(x.bbox[4], f.bbox[4]) - greatest(x.bbox[2], f.bbox[2]), 0)"
+#: Type, tier, detector and confidence of the patterns that need no context, with their checks, as listed.
+_TEXT_RULES = (
+    ("email", 2, "regex:email", 0.95, EMAIL, "true"),
+    ("card_number", 1, "regex:card_number+luhn", 0.95, CARD, _card("value")),
+    ("aadhaar", 1, "regex:aadhaar+verhoeff", 0.95, AADHAAR, _aadhaar("value")),
+    ("pan", 1, "regex:pan", 0.90, PAN, "true"),
+    ("ifsc", 1, "regex:ifsc", 0.90, IFSC, "true"),
+    ("ssn", 1, "regex:ssn", 0.90, SSN, _ssn("value")),
+    ("phone", 2, "regex:phone-intl", 0.75, PHONE, _phone("value")),
+)
+_SPAN_TYPE = "STRUCT(a INT, b INT, value VARCHAR, type VARCHAR, tier INT, detector VARCHAR, confidence DOUBLE)"
+_FOUND_SPANS = f"""m AS ({" UNION ALL ".join(f"SELECT doc_id, {k} AS seq, '{t}' AS type, {n} AS tier, '{d}' AS detector, {c} AS confidence, regexp_extract_all(text, '{p}') AS v, string_split_regex(text, '{p}') AS p FROM documents" for k, (t, n, d, c, p, _) in enumerate(_TEXT_RULES))}),
+e AS (SELECT *, unnest(range(1, len(v) + 1)) AS i FROM m),
+s AS (SELECT *, v[i] AS value, coalesce(list_sum(list_transform(p[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(v[1:i-1], lambda x: length(x))), 0) AS a FROM e),
+q AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY a, seq) AS r, struct_pack(a := a, b := a + length(value), value := value, type := type, tier := tier, detector := detector, confidence := confidence)::{_SPAN_TYPE} AS x
+  FROM s WHERE CASE seq {" ".join(f"WHEN {k} THEN {c}" for k, (*_, c) in enumerate(_TEXT_RULES))} END),
+k AS (SELECT DISTINCT doc_id, 0::BIGINT AS r, []::{_SPAN_TYPE}[] AS kept FROM q
+  UNION ALL SELECT doc_id, r, CASE WHEN spot = 0 THEN list_append(kept, x)
+    WHEN x.tier < kept[spot].tier OR (x.tier = kept[spot].tier AND (x.confidence > kept[spot].confidence OR (x.confidence = kept[spot].confidence AND x.b - x.a > kept[spot].b - kept[spot].a))) THEN list_concat(kept[1:spot-1], [x], kept[spot+1:]) ELSE kept END
+  FROM (SELECT q.doc_id, q.r, q.x, kept, coalesce(list_position(list_transform(kept, lambda z: z.a < q.x.b AND q.x.a < z.b), true), 0) AS spot FROM k JOIN q ON q.doc_id = k.doc_id AND q.r = k.r + 1)),
+f AS (SELECT doc_id, unnest(kept) AS x, unnest(range(1, len(kept) + 1)) AS i FROM (SELECT doc_id, arg_max(kept, r) AS kept FROM k GROUP BY doc_id))"""
+SQL |= {
+    "greedy_match": f"WITH RECURSIVE {_MATCHED} SELECT screen_id, outcome, tier, type FROM o",
+    "eval_confusion": f"""WITH RECURSIVE {_MATCHED},
+c AS (SELECT CASE WHEN grouping(tier) = 1 AND grouping(type) = 1 THEN 'overall' WHEN grouping(type) = 1 THEN 'tier' ELSE 'type' END AS level, CASE WHEN grouping(tier) = 1 AND grouping(type) = 1 THEN 'all' WHEN grouping(type) = 1 THEN tier::VARCHAR ELSE type END AS key,
+  count(*) FILTER (outcome = 'tp') AS tp, count(*) FILTER (outcome = 'fp') AS fp, count(*) FILTER (outcome = 'fn') AS fn FROM o GROUP BY GROUPING SETS ((), (tier), (type))), {_SCORED}""",
+    "nms_faces": f"""WITH RECURSIVE f AS (SELECT image_id, i, score, bbox, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, i) AS r FROM {_values(fixtures.FACES, 'image_id, i, score, bbox')} WHERE score >= 0.6),
+k AS (SELECT DISTINCT image_id, 0::BIGINT AS r, []::STRUCT(i INT, score DOUBLE, bbox DOUBLE[])[] AS kept FROM f
+  UNION ALL SELECT f.image_id, f.r, CASE WHEN len(list_filter(kept, lambda x: {_IOU.format(f'({_FACE_BOX})', _AREA.format('x.bbox'), _AREA.format('f.bbox'))} >= 0.3)) = 0 THEN list_append(kept, struct_pack(i := f.i::INT, score := f.score::DOUBLE, bbox := f.bbox)) ELSE kept END
+  FROM k JOIN f ON f.image_id = k.image_id AND f.r = k.r + 1)
+SELECT image_id, x.i AS i, x.score AS score FROM (SELECT image_id, unnest(arg_max(kept, r)) AS x FROM k GROUP BY image_id)""",
+    "pii_all_resolved": f"WITH RECURSIVE {_FOUND_SPANS} SELECT doc_id, x.type AS type, x.tier AS tier, x.detector AS detector, x.a AS start, x.b AS \"end\" FROM f",
+    "redact_documents": rf"""WITH RECURSIVE {_FOUND_SPANS},
+y AS (SELECT *, min(i) OVER (PARTITION BY doc_id, x.type, regexp_replace(lower(x.value), '[^a-z0-9@.]', '', 'g')) AS first FROM f),
+z AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id, x.type ORDER BY first) AS n, coalesce(lag(x.b) OVER (PARTITION BY doc_id ORDER BY x.a), 0) AS before FROM y),
+c AS (SELECT doc_id, count(*)::INT AS n, max(x.b) AS last, string_agg(substr(text, before + 1, x.a - before) || CASE WHEN x.tier = 1 THEN '[REDACTED:' || upper(x.type) || ']'
+    WHEN x.type = 'email' THEN left(x.value, 1) || '***@***' || regexp_extract(x.value, '(\.[^.@]*)$', 1) ELSE '[' || upper(x.type) || '_' || z.n || ']' END, '' ORDER BY x.a) AS head FROM z JOIN documents USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n, CASE WHEN n IS NULL THEN text ELSE head || substr(text, last + 1) END AS text FROM documents LEFT JOIN c USING (doc_id)""",
+}
