@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, embedding_dedup, language_id, mixing, ngram_join, pii_votes, quality, secret_scan, substring_dedup
+from . import chat_format, decontamination, embedding_dedup, language_id, lexical_search, mixing, ngram_join, pii_votes, quality, secret_scan, substring_dedup, turn_repair, vantage_points
 from .common import documents, held_out
 
 
@@ -61,9 +61,23 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model).withColumn("held_out", held_out("doc_id")).select("doc_id", "held_out", "lang_pred", F.col("score"))
 
 
+def op11_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return vantage_points.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20, factor=1.0)
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return turn_repair.digest(talks, turn_repair.damaged(talks))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=10)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_substring_dedup": op1_substring_dedup, "op2_quality": op2_quality, "op10_language_id": op10_language_id, "op3_mixing": op3_mixing, "op4_pii": op4_pii, "op5_decontamination": op5_decontamination, "op6_chat_format": op6_chat_format, "op7_ngram_join": op7_ngram_join, "op8_embedding_dedup": op8_embedding_dedup, "op9_secret_scan": op9_secret_scan}
+    return {"op1_substring_dedup": op1_substring_dedup, "op2_quality": op2_quality, "op10_language_id": op10_language_id, "op3_mixing": op3_mixing, "op4_pii": op4_pii, "op5_decontamination": op5_decontamination, "op6_chat_format": op6_chat_format, "op7_ngram_join": op7_ngram_join, "op8_embedding_dedup": op8_embedding_dedup, "op9_secret_scan": op9_secret_scan, "op11_nearest": op11_nearest, "op12_turn_repair": op12_turn_repair, "op13_lexical_search": op13_lexical_search}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.oracle(), "op6_chat_format": chat_format.ORACLE}
+    return {"op3_mixing": mixing.oracle(), "op6_chat_format": chat_format.ORACLE, "op11_nearest": vantage_points.ORACLE, "op12_turn_repair": turn_repair.ORACLE, "op13_lexical_search": lexical_search.ORACLE}
