@@ -51,7 +51,7 @@ def nearest(rows, asked, k):
     return out
 
 
-@pytest.mark.parametrize("sizes", [{}, {"SHARD": 16, "LEAF": 3, "BLOCK": 4}, {"SHARD": 64, "LEAF": 8, "BLOCK": 8, "CELL_BYTES": 3000}])
+@pytest.mark.parametrize("sizes", [{}, {"SHARD": 16, "LEAF": 3, "BLOCK": 4}, {"SHARD": 32, "LEAF": 8, "GROUP": 2, "BLOCK": 8, "CELL_BYTES": 3000}])
 def test_nearest(spark, monkeypatch, sizes):
     set_to(monkeypatch, vantage_points, **sizes)
     rows = vectors()

@@ -27,8 +27,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .common import drop_written, in_small_batches, written
 from .embedding_dedup import DIRECTIONS, _matrix, _places, usable
 
-#: Vectors in a shard and in a leaf of its tree, queries in a block, and bytes of queries that a cell holds about.
-SHARD, LEAF, BLOCK, CELL_BYTES = 2048, 64, 1024, 64_000_000
+#: Vectors in a shard and in a leaf of its tree, shards in a group at least, queries in a block, and bytes of queries that
+#: a cell holds about.
+SHARD, LEAF, GROUP, BLOCK, CELL_BYTES = 2048, 64, 32, 256, 64_000_000
 
 
 def build(ids: np.ndarray, x: np.ndarray, k: int) -> dict[str, np.ndarray]:
@@ -233,11 +234,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float =
     shards = written(_packed(rows(vectors), SHARD, k, True), "shards")
     blocks = written(_packed(rows(asked), BLOCK, k, False), "query-blocks")
     spark = vectors.sparkSession
-    # a side of queries is as many blocks as a cell may hold; groups of shards make enough cells for all cores
-    sizes = blocks.groupBy("dim").agg(F.count(F.lit(1)).alias("blocks")).withColumn("sides", F.ceil(F.col("blocks") / F.greatest(F.lit(1), F.floor(F.lit(CELL_BYTES) / (F.lit(BLOCK) * (F.col("dim") * 8 + 16 * k + 32))))))
-    counts = shards.groupBy("dim").agg(F.count(F.lit(1)).alias("shards")).join(sizes, "dim")
-    wanted = int(spark.conf.get("spark.sql.shuffle.partitions")) * 4
-    counts = written(counts.select("dim", "sides", F.least("shards", F.greatest(F.lit(1), F.ceil(F.lit(wanted) / F.col("sides")))).alias("groups")), "cells")
+    # A side of queries is as many as a cell may hold, or fewer where that keeps all cores busy. Shards are dealt into groups
+    # only as far as cores would be idle else: each cell reports k rows a query, so these grow with the groups.
+    wanted = float(4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    asked = blocks.groupBy("dim").agg(F.sum("n").alias("asked"), F.count(F.lit(1)).alias("blocks"))
+    asked = asked.withColumn("needed", F.ceil(F.col("asked") * (F.col("dim") * 8 + 16 * k + 32) / F.lit(CELL_BYTES)))
+    counts = shards.groupBy("dim").agg(F.sum("n").alias("there"), F.count(F.lit(1)).alias("shards")).join(asked, "dim")
+    counts = counts.withColumn("groups", F.greatest(F.lit(1), F.least(F.ceil(F.col("there") / (GROUP * SHARD)), F.ceil(wanted / F.col("needed")), F.col("shards"))))
+    counts = counts.withColumn("sides", F.least("blocks", F.greatest("needed", F.least(F.ceil(F.col("asked") / BLOCK), F.ceil(wanted / F.col("groups"))))))
+    counts = written(counts.select("dim", "sides", "groups"), "cells")
     deal = lambda n: F.pmod(F.xxhash64("block"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
     dealt = blocks.join(counts, "dim").select("*", deal("sides").alias("side")).select("*", every("groups").alias("group"), F.lit(0).alias("kind"))
