@@ -9,6 +9,7 @@ from veilmark.functions import geometry
 from veilmark.operators import detect, redact
 from veilmark.plans import fixtures, queries
 from veilmark.sources import html
+from veilmark.sources.tree import TreeBuilder
 
 
 @pytest.fixture(scope="module")
@@ -72,12 +73,12 @@ def paths(spark, page):
 def test_html_without_end_tags(spark):
     """What HTML lets authors leave out: the head's end, list items', cells' and paragraphs'."""
     assert {r["text"] for r in paths(spark, "<html><head><title>x</title><body><p>hello").values()} == {"hello"}
-    assert [p for p in paths(spark, "<ul><li>a<li>b<ul><li>c</ul><li>d</ul>")] == ["ul > li:nth-of-type(1)", "ul > li:nth-of-type(2)", "ul > li:nth-of-type(2) > ul > li", "ul > li:nth-of-type(3)"]
+    assert [p for p in paths(spark, "<ul><li>a<li>b<ul><li>c</ul><li>d</ul>")] == ["body > ul > li:nth-of-type(1)", "body > ul > li:nth-of-type(2)", "body > ul > li:nth-of-type(2) > ul > li", "body > ul > li:nth-of-type(3)"]
     cells = paths(spark, "<table><tr><th>Phone<td>5<tr><td>x<td>y</table><p>one<div>two</div><p>three")
     assert [(p.rsplit(" > ", 2)[-2:], r["text"], r["context_label"]) for p, r in cells.items()][:2] == [(["tr:nth-of-type(1)", "th"], "Phone", None), (["tr:nth-of-type(1)", "td"], "5", "Phone")]
-    assert cells["table > tr:nth-of-type(2) > td:nth-of-type(2)"]["text"] == "y" and cells["p:nth-of-type(2)"]["text"] == "three" and cells["div"]["text"] == "two"
-    assert {r["text"] for r in paths(spark, "<head><meta charset=x>Hi<b>there</b>").values()} >= {"there"}
-    assert paths(spark, "<div/>in<p>x</p></div>")["div > p"]["text"] == "x"
+    assert cells["body > table > tbody > tr:nth-of-type(2) > td:nth-of-type(2)"]["text"] == "y" and cells["body > p:nth-of-type(2)"]["text"] == "three" and cells["body > div"]["text"] == "two"
+    assert {p: r["text"] for p, r in paths(spark, "<head><meta charset=x>Hi<b>there</b>").items()} == {"body": "Hi", "body > b": "there"}
+    assert paths(spark, "<div/>in<p>x</p></div>")["body > div > p"]["text"] == "x"
 
 
 def test_html_names(spark):
@@ -139,3 +140,120 @@ def test_faces_and_audits(spark, sf):
     assert redact.clobbered(clean.withColumn("value", F.lit("[PHONE_1]"))).select("path").distinct().count() == 2
     shown = spark.createDataFrame([("hidden", None, 1.0), (None, "none", 1.0), (None, None, 0.0), (None, None, None), ("visible", "block", 0.5)], "v STRING, d STRING, o DOUBLE")
     assert [r[0] for r in shown.select(geometry.shown(F.col("v"), F.col("d"), F.col("o"))).collect()] == [False, False, False, True, True]
+
+
+def drawn(node):
+    """A tree as one line: tag(children), texts in quotes, blank texts left out."""
+    kids = [f"'{k}'" if isinstance(k, str) else drawn(k) for k in node.kids if not (isinstance(k, str) and k.isspace())]
+    return node.tag + (f"({' '.join(kids)})" if kids else "")
+
+
+ODD_PAGES = {
+    "": "",
+    "plain text": "'plain text'",
+    "leading text <p>x": "'leading text ' p('x')",
+    "<p>one<p>two": "p('one') p('two')",
+    "<p>1<div>2</p>3": "p('1') div('2' p '3')",
+    "<div><p>a</div>b": "div(p('a')) 'b'",
+    "<h1>a<h2>b</h1>c": "h1('a') h2('b') 'c'",
+    "<pre>\n\nx</pre>": "pre('\nx')",
+    "a<br/>b</br>c</p>d": "'a' br 'b' br 'c' p 'd'",
+    "</i>x</table></td>y": "'x' 'y'",
+    "<body><p>x<body class=k>y</body>z</html>w": "p('x' 'y' 'z' 'w')",
+    "<!-- c --> <!DOCTYPE html> <html> <body>t": "'t'",
+    "<ul><li>a<ul><li>b</ul><li>c</ul>": "ul(li('a' ul(li('b'))) li('c'))",
+    "<ol><li><div><li>x</div></ol>": "ol(li(div) li('x'))",
+    "<dl><dt>a<dd>b<dt>c</dl>": "dl(dt('a') dd('b') dt('c'))",
+    "<button>a<button>b": "button('a') button('b')",
+    "<form>1<form>2</form>3": "form('1' '2') '3'",
+    "<select><option>a<option selected>b<optgroup label=x><option>c</select>d": "select(option('a') option('b') optgroup(option('c'))) 'd'",
+    "<select><div>x</div><input>y": "select('x') input 'y'",
+    "<textarea>\n<b>x&lt;</textarea>z": "textarea('<b>x<') 'z'",
+    "<textarea>never ends": "textarea('never ends')",
+    "<iframe><p></iframe>y": "iframe('<p>') 'y'",
+    "<p>a<script>if (a<b) '<p>'</script>b": "p('a' script('if (a<b) '<p>'') 'b')",
+    "<table><tr><td>1</table>2": "table(tbody(tr(td('1')))) '2'",
+    "<table><td>1<tr><td>2": "table(tbody(tr(td('1')) tr(td('2'))))",
+    "<table>stray<tr><td>1<b>x</table>y": "'stray' table(tbody(tr(td('1' b('x'))))) 'y'",
+    "<table><div>d</div><tr><p>p</p><td>1</table>": "div('d') p('p') table(tbody(tr(td('1'))))",
+    "<table><caption>c<tr><th>h<td>d<tbody><tr><td>z</table>": "table(caption('c') tbody(tr(th('h') td('d'))) tbody(tr(td('z'))))",
+    "<table><colgroup><col><col>x<tr><td>1</table>": "'x' table(colgroup(col col) tbody(tr(td('1'))))",
+    "<table><td>a<table><td>b</table>c</table>d": "table(tbody(tr(td('a' table(tbody(tr(td('b')))) 'c')))) 'd'",
+    "<table><tr><td><p>a</td><td>b</tr></table>": "table(tbody(tr(td(p('a')) td('b'))))",
+    "<table><form><tr><td>1<input type=hidden></table>": "table(form tbody(tr(td('1' input))))",
+    "<p><table><tr><td>x": "p(table(tbody(tr(td('x')))))",
+    "<!doctype html><p><table><tr><td>x": "p table(tbody(tr(td('x'))))",
+    "<b><p>x</b>y": "b p(b('x') 'y')",
+    "<p>a<b>b<i>c</b>d</i>e": "p('a' b('b' i('c')) i('d') 'e')",
+    "<p><b>a<p>b": "p(b('a')) p(b('b'))",
+    "<b>1<table><td>2</b>3</table>4": "b('1' table(tbody(tr(td('2' '3')))) '4')",
+    "<a>1<a>2": "a('1') a('2')",
+    "<a href=1><div>x<a href=2>y</div>z": "a div(a('x') a('y')) a('z')",
+    "<nobr>a<nobr>b": "nobr('a') nobr('b')",
+    "<div>a<svg/>b<svg><g/><p>c</div>d": "div('a' svg 'b' svg(g) p('c')) 'd'",
+    "<div><svg/><p>x": "div(svg p('x'))",
+    "<svg><title>k</title><foreignObject><div>q</div></foreignObject><![CDATA[a<b]]></svg>r": "svg(title('k') foreignobject(div('q')) 'a<b') 'r'",
+    "<math><mi>x</mi><mo>y</math>z": "math(mi('x') mo('y')) 'z'",
+    "<ruby>a<rt>b<rp>c</ruby>": "ruby('a' rt('b') rp('c'))",
+}
+
+
+@pytest.mark.parametrize("page", ODD_PAGES)
+def test_trees_of_odd_pages(page):
+    assert drawn(TreeBuilder.tree(page)) == f"html(head body{'(' + ODD_PAGES[page] + ')' if ODD_PAGES[page] else ''})"
+
+
+def test_heads():
+    for page, want in {"<title>a&amp;<b></title>x": "head(title('a&<b>')) body('x')", "<head><script>a<b</script></head><body>t": "head(script('a<b')) body('t')", "<meta><noscript><p>n</noscript>x": "head(meta noscript('<p>n')) body('x')", "<template><p>t</template>u": "head(template(p('t'))) body('u')", "<link></head><style>s</style>": "head(link style('s')) body"}.items():
+        assert drawn(TreeBuilder.tree(page)) == f"html({want})"
+
+
+def test_deep_pages():
+    assert len(TreeBuilder.tree("<div>" * 3000 + "x").kids) == 2
+
+
+def test_text_outside_elements_is_seen(spark):
+    assert {p: r["text"] for p, r in paths(spark, "mail a.b@example.org <p>x</p> or c").items()} == {"body": "mail a.b@example.org or c", "body > p": "x"}
+    assert paths(spark, "just text")["body"]["text"] == "just text"
+
+
+def test_held_values(spark):
+    page = """<textarea id=t>\n Line <b> &amp;\n two</textarea><select id=s1><option value=1>One<option value=2 selected>Two</select>
+      <select id=s2><optgroup disabled><option>a</optgroup><option disabled>b<option> c  d </select><select id=s3 multiple><option>x</select>
+      <select id=s4><option selected>x<option selected>y</select><select id=s5 size=3><option>x</select><select id=s6></select>
+      <input id=c type=checkbox><input id=r type=RADIO value=v><input id=f type=file value=x><input id=n type=number value=1x><input id=o type=number value=-1.5e3><input id=l value="w"><input id=p type=PassWord value=x>"""
+    got = paths(spark, page)
+    held = {"textarea#t": "Line <b> & two", "select#s1": "2", "select#s2": "c d", "select#s3": None, "select#s4": "y", "select#s5": None, "select#s6": None, "input#c": "on", "input#r": "v", "input#f": None, "input#n": None, "input#o": "-1.5e3", "input#l": "w", "input#p": None}
+    assert {p: got[p]["value"] for p in held} == held
+    assert got["input#p"]["value_omitted"] == "password" and len(paths(spark, f"<textarea id=t>{'x' * 300}</textarea>")["textarea#t"]["value"]) == 201
+
+
+def test_held_values_are_detected_and_replaced(spark):
+    page = "<textarea id=t>write to a.b@example.org</textarea><select id=s name=mail><option>x<option selected>c.d@example.org</select><input id=m type=EMAIL value=odd>"
+    nodes = html.snapshots(spark.createDataFrame([(1, page)], "page_id BIGINT, html STRING"))
+    named = redact.tokens_for(detect.detect_nodes(nodes))
+    assert {(r["path"], r["type"]) for r in named.collect()} == {("textarea#t", "email"), ("select#s", "email"), ("input#m", "email")}
+    assert {r["path"]: r["value"] for r in redact.sanitise(nodes, named).where("path LIKE '%#%'").collect()} == {"textarea#t": "write to a***@***.org", "select#s": "c***@***.org", "input#m": "[EMAIL]"}
+
+
+def test_roles_and_types(spark):
+    acting = ["button", "link", "textbox", "searchbox", "checkbox", "radio", "combobox", "listbox", "menuitem", "menuitemcheckbox", "menuitemradio", "option", "tab", "switch", "slider", "spinbutton"]
+    idle = ["tablist", "optionality", "buttonish", "list", "Button"]
+    page = "".join(f"<div id=x_{r} role='{r} other'>t</div>" for r in [*acting, *idle]) + "<details id=d>t</details><div id=none role=' '>t</div><p id=e contenteditable>t</p>"
+    got = paths(spark, page)
+    assert {r for r in [*acting, *idle] if got[f"div#x_{r}"]["interactive"]} == {*acting}
+    assert all(got[f"div#x_{r}"]["text"] is None for r in acting) and got["div#x_tablist"]["text"] == "t" and got["details#d"]["interactive"] and got["p#e"]["text"] is None
+    assert got["div#none"]["role"] is None and got["div#x_list"]["role"] == "list"
+    got = paths(spark, "<input id=a type=EMAIL><input id=b type=odd><input id=c><button id=d type=submit>x</button><input id=e type=Range><svg id=v>t</svg>")
+    assert {p.split("#")[1]: (r["input_type"], r["role"]) for p, r in got.items()} == {"a": ("email", "textbox"), "b": ("text", "textbox"), "c": ("text", "textbox"), "d": (None, "button"), "e": ("range", "slider"), "v": (None, None)}
+    assert got["svg#v"]["text"] is None and got["svg#v"]["media"] == "svg"
+
+
+def test_a_label_stands_for_one_control(spark):
+    got = paths(spark, "<label>Both <input id=a><input id=b></label><label for=''>None <input id=c></label><label>Hid <input id=h type=hidden><input id=d></label><label for=e>One</label><select id=e></select>")
+    assert {p.split("#")[1]: r["label"] for p, r in got.items() if "#" in p} == {"a": "Both", "b": None, "c": None, "h": None, "d": "Hid", "e": "One"}
+
+
+def test_a_break_stands_between(spark):
+    assert paths(spark, "<b>Name</b><br><i>x</i><b>Phone</b><i>y</i>")["body > i:nth-of-type(1)"]["context_label"] is None
+    assert paths(spark, "<b>Name</b><br><i>x</i><b>Phone</b><i>y</i>")["body > i:nth-of-type(2)"]["context_label"] == "Phone"

@@ -41,10 +41,11 @@ def live_rules(rules: Sequence[PatternRule], threshold: float) -> list[PatternRu
     return [r for r in rules if r.confidence >= threshold]
 
 
-def found_matches(text: Column, context: Column, r: PatternRule) -> Column:
-    """What a rule's matcher finds in a text; cheap gates come before it."""
+def found_matches(text: Column, context: Column, r: PatternRule, digits: Column) -> Column:
+    """What a rule's matcher finds in a text; cheap gates come before it. Only an address can do without a digit, so one look
+    for `digits` spares a text all other matchers."""
     found = F.regexp_extract_all(text, F.lit(r.regex), F.lit(0))
-    for gate in [text.contains(r.needs)] * bool(r.needs) + [context.rlike(r.context)] * bool(r.context):
+    for gate in [text.contains(r.needs) if r.needs else digits] + [context.rlike(r.context)] * bool(r.context):
         found = F.when(gate, found)
     return F.coalesce(found, F.array().cast("array<string>"))
 
@@ -66,8 +67,9 @@ def detect_text(df: DataFrame, text: str, context: str | None = None, rules: Seq
     live = live_rules(rules, threshold)
     names = [f"matches_{k}" for k in range(len(live))]
     # matches are a step of their own, so that each matcher runs once
-    found = df.withColumns({n: found_matches(said, around, r) for n, r in zip(names, live, strict=True)})
-    return found.withColumn("spans", found_spans(said, [F.col(n) for n in names], live)).drop(*names)
+    found = df.withColumn("has_digit", said.rlike("[0-9]"))
+    found = found.withColumns({n: found_matches(said, around, r, F.col("has_digit")) for n, r in zip(names, live, strict=True)})
+    return found.withColumn("spans", found_spans(said, [F.col(n) for n in names], live)).drop("has_digit", *names)
 
 
 def detect_nodes(nodes: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -79,7 +81,7 @@ def detect_nodes(nodes: DataFrame, threshold: float = 0.5) -> DataFrame:
     for f in FIELDS:
         open_ = blank_to_null(f).isNotNull() & ~(F.col("whole").isNotNull() & (F.col("data_field") == f))
         said, live = F.coalesce(F.col(f), F.lit("")), live_rules(PATTERNS, threshold)
-        fields += [F.lit(f), F.when(open_, found_spans(said, [found_matches(said, F.col("context"), r) for r in live], live)).otherwise(none)]
+        fields += [F.lit(f), F.when(open_ & said.rlike("[0-9@]"), found_spans(said, [found_matches(said, F.col("context"), r, F.lit(True)) for r in live], live)).otherwise(none)]
     return out.withColumn("spans", F.create_map(*fields))
 
 

@@ -5,20 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.folds import greedy_match
 from ..functions.geometry import iou
+from .boxes import matched, meeting
+from .quantiles import quantiles
 
 
 def match_screens(predictions: DataFrame, truth: DataFrame) -> DataFrame:
-    """Outcomes (screen_id, outcome tp/fp/fn, tier, type): tp and fp by the prediction, fn by the truth. One row per
-    screen holds that screen's boxes, as many as a page shows."""
-    p = predictions.groupBy("screen_id").agg(F.collect_list(F.struct(F.col("seq").cast("int").alias("seq"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), "type", "tier", "bbox")).alias("p"))
-    t = truth.groupBy("screen_id").agg(F.collect_list(F.struct(F.col("item_idx").cast("int").alias("i"), "type", "tier", "bbox")).alias("t"))
-    rows = t.join(p, "screen_id").withColumn("m", greedy_match(F.col("p"), F.col("t")))
-    hit = lambda x: F.element_at(F.filter("m", lambda m: m["seq"] == x["seq"]), 1)["truth"].isNotNull()
-    own = F.transform("p", lambda x: F.struct(F.when(hit(x), "tp").otherwise("fp").alias("outcome"), x["tier"].cast("int").alias("tier"), x["type"].alias("type")))
-    missed = F.transform(F.filter("t", lambda x: ~F.exists("m", lambda m: m["truth"].eqNullSafe(x["i"]))), lambda x: F.struct(F.lit("fn").alias("outcome"), x["tier"].cast("int").alias("tier"), x["type"].alias("type")))
-    return rows.select("screen_id", F.explode(F.concat(own, missed)).alias("o")).select("screen_id", "o.*")
+    """Outcomes (screen_id, outcome tp/fp/fn, tier, type): tp and fp by the prediction, fn by the truth, of the screens
+    that have both. Boxes meet on a grid, so a screen may hold any number of them."""
+    both = lambda df, other: df.join(other.select("screen_id").distinct(), "screen_id", "left_semi")
+    found = matched(predictions, truth)
+    told = lambda df, outcome: df.select("screen_id", outcome.alias("outcome"), F.col("tier").cast("int").alias("tier"), "type")
+    hits = both(predictions, truth).join(found.select("screen_id", "seq", F.lit(True).alias("hit")), ["screen_id", "seq"], "left")
+    missed = both(truth, predictions).join(found.select("screen_id", F.col("truth").alias("item_idx")), ["screen_id", "item_idx"], "left_anti")
+    return told(hits, F.when(F.col("hit"), "tp").otherwise("fp")).unionByName(told(missed, F.lit("fn")))
 
 
 def unscorable(truth: DataFrame, predictions: DataFrame) -> DataFrame:
@@ -38,22 +38,25 @@ def confusion(outcomes: DataFrame) -> DataFrame:
 
 def redaction_precision(manifest: DataFrame, truth: DataFrame, least: float = 0.5) -> DataFrame:
     """Of the masked boxes, how many lie on a labelled item (best IoU >= least): by tier, and overall with tier null."""
-    boxes = truth.select("screen_id", F.col("bbox").alias("t_bbox"))
-    entries = manifest.where("bbox IS NOT NULL")
-    best = entries.join(boxes, "screen_id", "left").groupBy("screen_id", "seq", "tier").agg(F.max(iou(F.col("t_bbox"), F.col("bbox"))).alias("best"))
-    rows = best.withColumn("on", (F.coalesce("best", F.lit(0.0)) >= least).cast("bigint"))
+    entries = manifest.where("bbox IS NOT NULL").select("screen_id", "seq", "tier", F.col("bbox").alias("b_bbox"))
+    pairs = meeting(truth.select("screen_id", F.col("bbox").alias("a_bbox")), entries, ["screen_id"])
+    on = pairs.where(iou(F.col("a_bbox"), F.col("b_bbox")) >= least).select("screen_id", "seq").distinct().withColumn("hit", F.lit(True))
+    rows = entries.join(on, ["screen_id", "seq"], "left").withColumn("on", F.coalesce("hit", F.lit(False)).cast("bigint"))
     out = rows.groupingSets([[], [F.col("tier")]], "tier").agg(F.sum("on").alias("on_target"), F.count(F.lit(1)).alias("masked"))
     return out.withColumn("precision", F.try_divide(F.col("on_target").cast("double"), F.col("masked")))
 
 
 def percentiles(df: DataFrame, stages: list[str], by: list[str] = ()) -> DataFrame:
-    """Exact p50 and p95 of each stage, by linear interpolation, and of the rows' totals; a row per stage."""
+    """Exact p50 and p95 of each stage, by linear interpolation, and of the rows' totals; a row per stage. A stage without
+    a value in a group has nulls."""
     total = sum((F.coalesce(F.col(s), F.lit(0.0)) for s in stages), F.lit(0.0))
-    wide = df.withColumn("total", total)
-    aggs = [F.percentile(s, q).alias(f"{s}_{n}") for s in [*stages, "total"] for q, n in ((0.5, "p50"), (0.95, "p95"))]
-    one = wide.groupBy(*by).agg(*aggs)
-    rows = F.array(*[F.struct(F.lit(s).alias("stage"), F.col(f"{s}_p50").alias("p50"), F.col(f"{s}_p95").alias("p95")) for s in [*stages, "total"]])
-    return one.select(*by, F.explode(rows).alias("r")).select(*by, "r.*")
+    named = [*[(s, F.col(s)) for s in stages], ("total", total)]
+    long = df.select(*by, F.explode(F.array(*[F.struct(F.lit(n).alias("stage"), c.cast("double").alias("x")) for n, c in named])).alias("v")).select(*by, "v.*")
+    found = quantiles(long, [*by, "stage"], "x", [0.5, 0.95])
+    at = lambda q: F.max(F.when(F.col("share") == q, F.col("quantile")))
+    wide = found.groupBy(*by, "stage").agg(at(0.5).alias("p50"), at(0.95).alias("p95"))
+    absent = long.groupBy(*by, "stage").agg(F.count("x").alias("n")).where("n = 0").select(*by, "stage", F.lit(None).cast("double").alias("p50"), F.lit(None).cast("double").alias("p95"))
+    return wide.unionByName(absent)
 
 
 def stage_sums(found: DataFrame, by: list[str] = ()) -> DataFrame:

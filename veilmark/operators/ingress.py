@@ -50,13 +50,23 @@ def describe(path: Column, field: Column, pattern: Column) -> Column:
 
 def scrub(records: DataFrame, fields: list[str]) -> DataFrame:
     """Each leaking field becomes a marker as a whole; other fields stay. Row by row: no join with the findings."""
-    return records.withColumns({f: F.when(F.size(raw_patterns(F.coalesce(F.col(f), F.lit("")))) > 0, F.lit(REDACTED)).otherwise(F.col(f)) for f in fields})
+    return judged(records, fields, "redact").drop("verdict", "patterns")
+
+
+def judged(records: DataFrame, fields: list[str], policy: str = "reject") -> DataFrame:
+    """`records` with `patterns`, what was found as `field: pattern` in order, and `verdict`: clean, rejected, or scrubbed, with a
+    marker for each leaking field. Any policy but `redact` rejects. Each pattern is tried once a field."""
+    names = {f: f"found_{i}" for i, f in enumerate(fields)}
+    found = records.withColumns({n: raw_patterns(F.coalesce(F.col(f), F.lit(""))) for f, n in names.items()})
+    named = lambda f, n: F.transform(F.col(n), lambda p: F.concat(F.lit(f"{f}: "), p))
+    found = found.withColumn("patterns", F.concat(*[named(f, n) for f, n in names.items()]))
+    verdict = F.when(F.size("patterns") == 0, "clean").otherwise("scrubbed" if policy == "redact" else "rejected")
+    out = found.withColumn("verdict", verdict)
+    if policy == "redact":
+        out = out.withColumns({f: F.when(F.size(n) > 0, F.lit(REDACTED)).otherwise(F.col(f)) for f, n in names.items()})
+    return out.drop(*names.values())
 
 
 def enforce(records: DataFrame, fields: list[str], policy: str = "reject") -> DataFrame:
     """`records` with `verdict`: clean, rejected, or scrubbed. Any policy but `redact` rejects."""
-    leaks = F.lit(False)
-    for f in fields:
-        leaks = leaks | (F.size(raw_patterns(F.coalesce(F.col(f), F.lit("")))) > 0)
-    marked = records.withColumn("verdict", F.when(~leaks, "clean").otherwise("scrubbed" if policy == "redact" else "rejected"))
-    return scrub(marked, fields) if policy == "redact" else marked
+    return judged(records, fields, policy).drop("patterns")

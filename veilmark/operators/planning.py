@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import has_marker
+from .ordered import up_to_first, with_prior
 
 ACTION = "struct<action:string,selector:string,value:string,value_ref:string>"
 VERBS = ("click", "type", "focus", "scroll", "read", "wait")
@@ -108,14 +109,12 @@ def with_outcomes(actions: DataFrame, outcomes: DataFrame, keys: list[str], ok:
 
 def run_prefix(events: DataFrame, by: str, order: list[str], failed: Column) -> DataFrame:
     """Per group, events up to and with the first that failed."""
-    before = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return events.withColumn("r_failed", F.coalesce(F.sum(failed.cast("int")).over(before), F.lit(0))).where("r_failed = 0").drop("r_failed")
+    return up_to_first(events, [by], order, failed)
 
 
 def prior_actions(events: DataFrame, by: str, order: list[str], value: str, most: int) -> DataFrame:
     """Each event with the `most` events before it in its group, oldest first."""
-    w = Window.partitionBy(by).orderBy(*order).rowsBetween(-most, -1)
-    return events.withColumn("prior", F.collect_list(value).over(w))
+    return with_prior(events, [by], order, value, most)
 
 
 def find_one(selectors: DataFrame, nodes: DataFrame, selector: str, path: str) -> DataFrame:

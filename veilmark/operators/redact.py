@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.folds import apply_spans, match_spans
 from ..functions.text import blank_to_null, has_marker, masking_for, replacement_for, token_key
+from .ordered import numbered
 from .rules import PATTERNS, matches
 
 
 def number_tokens(items: DataFrame, session: str, kind: str, key: str, order: list[str]) -> DataFrame:
     """`items` with `token`: within a session and type, keys are numbered as they first appear."""
     first = items.groupBy(F.col(session).alias("t_session"), F.col(kind).alias("t_kind"), F.col(key).alias("t_key")).agg(F.min(F.struct(*order)).alias("t_first"))
-    ranked = first.withColumn("t_n", F.row_number().over(Window.partitionBy("t_session", "t_kind").orderBy("t_first"))).drop("t_first")
+    ranked = numbered(first, ["t_session", "t_kind"], ["t_first"], "t_n").drop("t_first")
     on = F.col(session).eqNullSafe(F.col("t_session")) & F.col(kind).eqNullSafe(F.col("t_kind")) & F.col(key).eqNullSafe(F.col("t_key"))
     token = F.concat(F.upper(F.col(kind)), F.lit("_"), F.col("t_n").cast("string"))
     return items.join(ranked, on).withColumn("token", token).drop("t_session", "t_kind", "t_key", "t_n")

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry, text, validators
-from ..functions.folds import match_spans, suppress
-from ..operators import detect, evaluate, ingress, planning, redact, rules
+from ..functions.folds import match_spans
+from ..operators import boxes, detect, evaluate, ingress, perception, planning, redact, rules
 from ..sources import html
-from ..streaming import sessions
+from ..streaming import gate, sessions
+from ..tables import shared
 from . import fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,7 +22,7 @@ def _table(name: str) -> Query:
     return lambda spark, sf: spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-documents, conversations, pages, events, labels = (_table(t) for t in ("documents", "conversations", "pages", "events", "labels"))
+documents, conversations, pages, events, labels, lineitem, customer = (_table(t) for t in ("documents", "conversations", "pages", "events", "labels", "lineitem", "customer"))
 
 
 def _values(df: DataFrame, id_col: str, column: str, pattern: str, check=None) -> DataFrame:
@@ -135,12 +135,10 @@ def strict_schema(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _named(spark: SparkSession, nodes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Nodes, those of the fixture by default, and their detections with tokens. What is detected is a table in the shared
-    folder, since the plans that follow read it several times."""
+    """Nodes, those of the fixture by default, and their detections with tokens. What is detected is kept by the session, which
+    makes it when it is first read and again where an executor is lost; no file outlives it."""
     nodes = fixtures.nodes(spark) if nodes is None else nodes
-    found, path = detect.detect_nodes(nodes), _shared(spark, "detected")
-    found.write.parquet(path)
-    found = spark.read.schema(found.schema).parquet(path)
+    found = detect.detect_nodes(nodes).persist()
     return found.select(*nodes.columns), redact.tokens_for(found)
 
 
@@ -209,6 +207,64 @@ def page_plans(spark: SparkSession, sf: str) -> DataFrame:
     return judged.select(F.col("session_id").cast("bigint").alias("page_id"), "position", "action", "selector", "value_ref", "rejection")
 
 
+def _forms(spark: SparkSession, sf: str) -> DataFrame:
+    """A page of HTML for each customer: an account form whose controls and terms speak of what they hold, with values made of
+    the customer's own numbers."""
+    c = customer(spark, sf)
+    key, name, money = F.col("c_custkey").cast("string"), F.regexp_replace("c_name", "#0*", " "), F.floor(F.col("c_acctbal").cast("double") * 100).cast("bigint")
+    pad = lambda x, n: F.lpad(x, n, "0")
+    controls = {
+        "text\" name=\"login\" autocomplete=\"username": F.concat(F.lit("user"), key),
+        "password\" id=\"pin": F.concat(F.lit("secret"), key),
+        "email\" id=\"mail": F.concat(F.lit("user"), key, F.lit("@"), F.lower("c_mktsegment"), F.lit(".example.org")),
+        "tel\" id=\"mobile": F.concat(F.lit("98765"), pad(key, 5)),
+        "text\" autocomplete=\"one-time-code": pad(key, 6),
+        "text\" autocomplete=\"cc-number": F.concat(F.lit("4000 0000 "), pad(key, 8)),
+        "text\" autocomplete=\"cc-csc": pad(F.substring(key, 1, 3), 3),
+        "text\" autocomplete=\"cc-exp": F.lit("11/31"),
+        "text\" name=\"aadhaar": F.concat(F.lit("2345"), pad(key, 8)),
+        "text\" placeholder=\"PAN": F.concat(F.lit("ABCDE"), pad(F.substring(key, 1, 4), 4), F.lit("F")),
+        "text\" name=\"ssn": F.concat(F.lit("123-45-"), pad(F.substring(key, 1, 4), 4)),
+        "text\" aria-label=\"Passport number": F.concat(F.lit("P"), pad(key, 7)),
+        "text\" autocomplete=\"street-address": F.concat(key, F.lit(" Main Road")),
+        "text\" autocomplete=\"bday": F.lit("1990-01-31"),
+    }
+    terms = {"Account number": F.concat(F.lit("30"), pad(key, 12)), "IFSC": F.concat(F.lit("KOTN0"), pad(F.substring(key, 1, 6), 6)), "Account holder": name, "Balance": money.cast("string")}
+    inputs = [F.concat(F.lit(f'<input type="{a}" value="'), v, F.lit('">')) for a, v in controls.items()]
+    listed = [F.concat(F.lit(f"<dt>{t}</dt><dd>"), v, F.lit("</dd>")) for t, v in terms.items()]
+    note = F.concat(F.lit("<textarea id=\"note\">Write to "), F.lower("c_mktsegment"), key, F.lit("@example.net about ABCDE1234F, 123-45-6789 or KOTN0004417.</textarea>"))
+    page = F.concat(F.lit("<!doctype html><title>Account</title><body><form>"), *inputs, note, F.lit("</form><dl>"), *listed, F.lit("</dl><button id=\"go\">Sign in</button>"))
+    return c.select(F.col("c_custkey").alias("page_id"), page.alias("html"))
+
+
+def _form_named(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return _named(spark, html.snapshots(_forms(spark, sf)))
+
+
+def form_detections(spark: SparkSession, sf: str) -> DataFrame:
+    """What is found in every customer's form: attribute rules of all kinds, and patterns in its note."""
+    found = detect.detections(detect.detect_nodes(html.snapshots(_forms(spark, sf))))
+    return found.select(F.col("snapshot_id").cast("bigint").alias("page_id"), "field", "type", "tier", "detector", "confidence", F.col("span.start").alias("start"), F.col("span.end").alias("end"))
+
+
+def form_sanitised(spark: SparkSession, sf: str) -> DataFrame:
+    nodes, named = _form_named(spark, sf)
+    clean = redact.refuse_leaks(redact.sanitise(nodes, named))
+    return clean.select(F.col("snapshot_id").cast("bigint").alias("page_id"), "node_seq", "role", "label", "value")
+
+
+def form_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    nodes, named = _form_named(spark, sf)
+    return redact.manifest(nodes, named).select(F.col("snapshot_id").cast("bigint").alias("page_id"), "id", "type", "tier", "masking", "detector", "confidence")
+
+
+def form_plans(spark: SparkSession, sf: str) -> DataFrame:
+    """What the rule planner does on each form, as far as every action may run."""
+    requests = _requests_of(*_form_named(spark, sf), F.col("snapshot_id"))
+    judged = planning.constrain(planning.rule_planner(requests), requests)
+    return judged.select(F.col("session_id").cast("bigint").alias("page_id"), "position", "action", "value_ref", "rejection")
+
+
 def plan_constrain(spark: SparkSession, sf: str) -> DataFrame:
     rows = spark.createDataFrame([*fixtures.PLANS], "session_id STRING, n INT, action STRING, selector STRING, value STRING, value_ref STRING")
     plans = rows.groupBy("session_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "action", "selector", "value", "value_ref"))), lambda a: F.struct(a["action"], a["selector"], a["value"], a["value_ref"])).alias("actions"))
@@ -257,14 +313,40 @@ def selector_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return planning.one_match(rows, ["host"]).select("page_id", "host", "lookup")
 
 
+def _number(name: str, by: float) -> Column:
+    return F.col(name).cast("double") * by
+
+
+def _line() -> Column:
+    """A number for each order line; order and line alone aren't unique."""
+    return (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100_000_000 + F.round(F.col("l_extendedprice") * 100).cast("bigint")
+
+
+def _predictions(spark: SparkSession, sf: str) -> DataFrame:
+    """Every order line as a box that a detector found on its part's screen: the type is its return flag."""
+    at = F.array(_number("l_quantity", 4), _number("l_discount", 1000), _number("l_quantity", 4) + 60 + _number("l_linenumber", 10), _number("l_discount", 1000) + 40 + _number("l_tax", 300))
+    seq = _line()
+    return lineitem(spark, sf).select(F.col("l_partkey").alias("screen_id"), seq.alias("seq"), F.col("l_returnflag").alias("type"), F.when(F.col("l_linestatus") == "F", 1).otherwise(2).alias("tier"), (F.col("l_extendedprice") / 100000).alias("confidence"), geometry.rounded(at).alias("bbox"))
+
+
+def _truth(spark: SparkSession, sf: str) -> DataFrame:
+    """Every order line as the box that should have been found, somewhat off the other, on most of the screens."""
+    at = F.array(_number("l_quantity", 4) + _number("l_linenumber", 3), _number("l_discount", 1000), _number("l_quantity", 4) + 60 + _number("l_linenumber", 12), _number("l_discount", 1000) + 30 + _number("l_tax", 500))
+    item = _line()
+    screen = F.when(F.col("l_suppkey") == 1, -F.col("l_partkey")).otherwise(F.col("l_partkey"))
+    return lineitem(spark, sf).select(screen.alias("screen_id"), item.alias("item_idx"), F.col("l_returnflag").alias("type"), F.when(F.col("l_linestatus") == "F", 1).otherwise(2).alias("tier"), geometry.rounded(at).alias("bbox"))
+
+
 def iou_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    p = fixtures.predicted(spark).select("screen_id", "seq", F.col("bbox").alias("p"))
-    t = fixtures.truth(spark).select("screen_id", "item_idx", F.col("bbox").alias("t"))
-    return p.join(t, "screen_id").select("screen_id", "seq", "item_idx", F.round(geometry.iou(F.col("t"), F.col("p")), 6).alias("iou"), F.round(geometry.containment(F.col("t"), F.col("p")), 6).alias("inside"))
+    """The boxes of each screen that overlap."""
+    p = _predictions(spark, sf).select("screen_id", "type", "seq", F.col("bbox").alias("b_bbox"))
+    t = _truth(spark, sf).select("screen_id", "type", "item_idx", F.col("bbox").alias("a_bbox"))
+    pairs, a, b = boxes.meeting(t, p, ["screen_id", "type"]), F.col("a_bbox"), F.col("b_bbox")
+    return pairs.select("screen_id", "seq", "item_idx", F.round(geometry.iou(a, b), 9).alias("iou"), F.round(geometry.containment(a, b), 9).alias("inside"))
 
 
 def greedy_match(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluate.match_screens(fixtures.predicted(spark), fixtures.truth(spark))
+    return evaluate.match_screens(_predictions(spark, sf), _truth(spark, sf))
 
 
 def eval_confusion(spark: SparkSession, sf: str) -> DataFrame:
@@ -279,20 +361,49 @@ def eval_prf(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def eval_unscorable(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluate.unscorable(fixtures.truth(spark), fixtures.predicted(spark))
+    return evaluate.unscorable(_truth(spark, sf), _predictions(spark, sf))
 
 
 def redaction_precision(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluate.redaction_precision(fixtures.predicted(spark), fixtures.truth(spark))
+    return evaluate.redaction_precision(_predictions(spark, sf), _truth(spark, sf))
+
+
+def _face_passes(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Order lines as faces that a model saw, a part's on one image: the lines of status F in the whole frame, the others in a
+    region that starts at the part's own offset."""
+    rows = _predictions(spark, sf).select(F.col("screen_id").alias("image_id"), "seq", "confidence", "tier", "bbox")
+    seen = rows.select("image_id", F.col("seq").alias("i"), text.half_up("confidence", 3).alias("score"), "tier", "bbox")
+    offset = F.array(F.pmod("image_id", F.lit(40)).cast("double"), F.pmod("image_id", F.lit(25)).cast("double"))
+    return seen.where("tier = 1").drop("tier"), seen.where("tier = 2").drop("tier").withColumn("offset", offset)
 
 
 def nms_faces(spark: SparkSession, sf: str) -> DataFrame:
-    rows = fixtures.faces(spark).groupBy("image_id").agg(F.collect_list(F.struct("score", "i", "bbox")).alias("boxes"))
-    return rows.select("image_id", F.explode(suppress(F.filter("boxes", lambda b: b["score"] >= 0.6))).alias("b")).select("image_id", "b.i", "b.score")
+    """Both passes as one, in the frame's own places, and of faces that cover one another the surest."""
+    return perception.merged(*_face_passes(spark, sf), least=0.3).select("image_id", "i", "score")
+
+
+def _face_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return redact.faces(perception.numbered_faces(perception.merged(*_face_passes(spark, sf), least=0.3)))
+
+
+def face_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """The faces that are kept as manifest rows."""
+    return _face_rows(spark, sf).select("snapshot_id", "id", "type", "tier", "masking", "detector", "confidence")
+
+
+def face_regions(spark: SparkSession, sf: str) -> DataFrame:
+    """What is painted over them."""
+    return redact.regions(_face_rows(spark, sf)).select("snapshot_id", "masking", *[F.col("bbox")[k].alias(c) for k, c in enumerate(("x1", "y1", "x2", "y2"))])
+
+
+def perception_timings(spark: SparkSession, sf: str) -> DataFrame:
+    """What a capture's passes took, in milliseconds to two places: the events of a user by kind."""
+    return perception.timings(events(spark, sf), ["user_id"], "event_type", "value", ("view", "click", "error"))
 
 
 def blur_regions(spark: SparkSession, sf: str) -> DataFrame:
-    return fixtures.faces(spark).select("image_id", "i", geometry.blur_region(F.col("bbox"), F.lit(2.0), F.lit(240), F.lit(80)).alias("r")).select("image_id", "i", "r.*")
+    rows = _predictions(spark, sf).select(F.col("screen_id").alias("image_id"), F.col("seq").alias("i"), geometry.blur_region(F.col("bbox"), F.lit(2.0), F.lit(440), F.lit(160)).alias("r"))
+    return rows.where("r IS NOT NULL").select("image_id", "i", "r.*")
 
 
 def latency_percentiles(spark: SparkSession, sf: str) -> DataFrame:
@@ -315,36 +426,68 @@ def event_windows_sliding(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("start", "event_type", "n", F.round("total", 4).alias("total"))
 
 
-def _stream(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.readStream.schema(events(spark, sf).schema).parquet(f"{sf}/events.parquet*")
-
-
-def _shared(spark: SparkSession, name: str) -> str:
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    base = base or tempfile.mkdtemp(prefix="veilmark-stream-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def _stream(spark: SparkSession, sf: str, table: str = "events") -> DataFrame:
+    """A table's files as a stream, some of them a batch."""
+    return spark.readStream.schema(_table(table)(spark, sf).schema).option("maxFilesPerTrigger", 16).parquet(f"{sf}/{table}.parquet*")
 
 
 def stream_tokens(spark: SparkSession, sf: str) -> DataFrame:
     items = _stream(spark, sf).select(F.col("user_id").cast("string").alias("session"), F.col("event_id").alias("seq"), F.col("event_type").alias("type"), F.col("props").alias("key"))
-    out = _shared(spark, "tokens")
+    out = shared(spark, "tokens")
     sessions.run_available(sessions.session_tokens(items), f"{out}/rows", f"{out}/state")
     return spark.read.parquet(f"{out}/rows").select("session", "seq", "type", "token")
 
 
+def stream_resets(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens of sessions that start anew at each error."""
+    kind = F.when(F.col("event_type") == "error", "reset").otherwise(F.col("event_type"))
+    items = _stream(spark, sf).select(F.col("user_id").cast("string").alias("session"), F.col("event_id").alias("seq"), kind.alias("type"), F.col("props").alias("key"))
+    out = shared(spark, "resets")
+    sessions.run_available(sessions.session_tokens(items), f"{out}/rows", f"{out}/state")
+    return spark.read.schema(sessions.TOKENS).parquet(f"{out}/rows").select("session", "seq", "type", "token")
+
+
+def stream_debounce(spark: SparkSession, sf: str) -> DataFrame:
+    """The last event of each burst that is over, as the watermark knows it: a day may pass before a late event doesn't count."""
+    rows = _stream(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    out = shared(spark, "bursts")
+    sessions.run_available(sessions.debounced(rows, "user_id", "ts", F.col("event_id"), "6 hours", late="1 day"), f"{out}/rows", f"{out}/state")
+    return spark.read.parquet(f"{out}/rows").select("user_id", F.col("last").alias("event_id"), F.col("events").alias("n"))
+
+
+def stream_stale(spark: SparkSession, sf: str) -> DataFrame:
+    """Clicks as inspected pages, other events as what is open then."""
+    kind = F.when(F.col("event_type") == "click", "inspected").otherwise("open")
+    items = _stream(spark, sf).select(F.col("user_id").cast("string").alias("session"), F.col("event_id").alias("seq"), kind.alias("kind"), F.col("props").alias("value"))
+    out = shared(spark, "stale")
+    sessions.run_available(sessions.stale_changes(items), f"{out}/rows", f"{out}/state")
+    return spark.read.parquet(f"{out}/rows").select("session", "seq", "stale")
+
+
+def _gated(spark: SparkSession, sf: str, policy: str) -> DataFrame:
+    rows = _stream(spark, sf, "documents").select("doc_id", F.col("source").alias("label"), F.col("text").alias("value"))
+    out = shared(spark, "gate")
+    gate.run_gate(rows, f"{out}/rows", f"{out}/state", ["doc_id"], ["label", "value"], policy)
+    return spark.read.parquet(f"{out}/rows").select("doc_id", "verdict", "label", "value", F.array_join("patterns", ", ").alias("patterns"))
+
+
+def stream_gate_reject(spark: SparkSession, sf: str) -> DataFrame:
+    return _gated(spark, sf, "reject")
+
+
+def stream_gate_redact(spark: SparkSession, sf: str) -> DataFrame:
+    return _gated(spark, sf, "redact")
+
+
 def stream_histories(spark: SparkSession, sf: str) -> DataFrame:
     items = _stream(spark, sf).select(F.col("user_id").cast("string").alias("session"), F.col("event_id").alias("seq"), F.col("event_type").alias("value"))
-    out = _shared(spark, "histories")
+    out = shared(spark, "histories")
     sessions.run_available(sessions.histories(items, 3), f"{out}/rows", f"{out}/state")
     return spark.read.parquet(f"{out}/rows").select("session", "seq", F.array_join("prior", ",").alias("prior"))
 
 
 def stream_windows(spark: SparkSession, sf: str) -> DataFrame:
-    out = _shared(spark, "windows")
+    out = shared(spark, "windows")
     sessions.run_available(sessions.windowed_counts(_stream(spark, sf).withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type", "value", "1 day", late="3 days"), f"{out}/rows", f"{out}/state", "update")
     rows = sessions.latest(spark.read.parquet(f"{out}/rows").drop("number"), ["start", "event_type"])
     return rows.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
@@ -354,6 +497,14 @@ def html_nodes(spark: SparkSession, sf: str) -> DataFrame:
     return html.nodes(pages(spark, sf)).select("page_id", "node_seq", "path", "tag", "role", "label", "text", "interactive", "truncated")
 
 
+def html_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """What each page says, in order: the text of its elements, or the name of those that can be acted on."""
+    rows = html.nodes(pages(spark, sf))
+    said = rows.select("page_id", "node_seq", "tag", F.coalesce("text", "label").alias("said")).where("said IS NOT NULL")
+    place = F.row_number().over(Window.partitionBy("page_id").orderBy("node_seq"))  # at most MOST_NODES a page
+    return said.select("page_id", place.alias("place"), "tag", "said")
+
+
 def html_elements(spark: SparkSession, sf: str) -> DataFrame:
     return html.parse(pages(spark, sf)).where(F.col("tag").isin("a", "article", "h1")).groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n"))
 
@@ -457,7 +608,7 @@ def page_detections(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     pii_email_spans, pii_email_counts_by_lang, pii_card_valid, pii_phone_valid, pii_dates, pii_dob_context, pii_identity_values, pii_all_resolved, pii_doc_profile, redact_documents, redact_email_partial, session_tokens,
     ingress_findings, ingress_scrub, ingress_policy, strict_schema, node_detections, sanitised_nodes, redaction_manifest, gate_violations, leak_audit, plan_constrain, plan_rules, plan_message, plan_resolved,
-    executor_prefix, debounce_last, activity_ring, prior_actions, last_capture, selector_lookup, iou_matrix, greedy_match, eval_confusion, eval_prf, eval_unscorable, redaction_precision, nms_faces, blur_regions,
-    latency_percentiles, latency_budget, event_windows, event_windows_sliding, stream_tokens, stream_histories, stream_windows, html_nodes, html_elements, page_hosts, page_detections, page_sanitised, page_manifest, page_violations, page_plans, pii_context_values, ingress_requests, find_one, plan_outcomes,
+    executor_prefix, debounce_last, activity_ring, prior_actions, last_capture, selector_lookup, iou_matrix, greedy_match, eval_confusion, eval_prf, eval_unscorable, redaction_precision, nms_faces, face_manifest, face_regions, perception_timings, blur_regions,
+    latency_percentiles, latency_budget, event_windows, event_windows_sliding, stream_tokens, stream_resets, stream_histories, stream_windows, stream_debounce, stream_stale, stream_gate_reject, stream_gate_redact, html_nodes, html_texts, html_elements, form_detections, form_sanitised, form_manifest, form_plans, page_hosts, page_detections, page_sanitised, page_manifest, page_violations, page_plans, pii_context_values, ingress_requests, find_one, plan_outcomes,
     saved_values, manifest_malformed, manifest_undeclared, latency_stage_sum, box_geometry, face_decode, measured_labels, stable_ids, rounding, user_chips,
 )}
