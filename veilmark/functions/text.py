@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 TIER_2 = ("email", "phone", "address", "person_name", "date_of_birth")
 #: All types.
 TYPES = ("password", "otp", "card_number", "cvv", "card_expiry", "aadhaar", "pan", "ssn", "passport", "bank_account", "ifsc", "face", *TIER_2)
+#: Fixed value: how what was taken out is marked.
 MARKER = r"\[(?:REDACTED:[A-Z_]+|[A-Z_]+_[0-9]+)\]"
 #: White space as browsers see it: Java's class lacks no-break space, BOM and the separators.
 BLANK = "[\\s\\u00A0\\uFEFF\\p{Z}]"
@@ -79,10 +80,15 @@ def is_stable_id(x: Column | str) -> Column:
     return F.coalesce(c.rlike(r"^[A-Za-z_][A-Za-z0-9_-]{0,47}\z") & ~c.rlike(r"^(?i)[0-9a-f]{8,}\z") & (F.regexp_count(c, F.lit("[0-9]")) * 2 <= F.length(c)), F.lit(False))
 
 
+#: Addresses of browser pages, and of the extension stores.
+BROWSER_PAGES = "^(?:chrome|edge|brave|about|devtools|chrome-extension|view-source|moz-extension):"
+STORES = ("https://chrome.google.com/webstore", "https://chromewebstore.google.com")
+
+
 def is_restricted_url(x: Column | str) -> Column:
     """Pages that must not be captured: none, browser pages, and the extension stores."""
     c = F.coalesce(col(x), F.lit(""))
-    return (c == "") | c.rlike("^(?:chrome|edge|brave|about|devtools|chrome-extension|view-source|moz-extension):") | c.startswith("https://chrome.google.com/webstore") | c.startswith("https://chromewebstore.google.com")
+    return (c == "") | c.rlike(BROWSER_PAGES) | c.startswith(STORES[0]) | c.startswith(STORES[1])
 
 
 def host_label(url: Column | str) -> Column:

@@ -76,13 +76,12 @@ def detect_nodes(nodes: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Page nodes with `whole`, the claim on the data field, and `spans`, per field what patterns find in the others."""
     out = nodes.withColumn("context", context_string()).withColumn("data_field", data_field())
     out = out.withColumn("whole", claim(F.col("context"), threshold=threshold))
-    none = F.array().cast(f"array<{SPAN}>")
-    fields = []
-    for f in FIELDS:
-        open_ = blank_to_null(f).isNotNull() & ~(F.col("whole").isNotNull() & (F.col("data_field") == f))
-        said, live = F.coalesce(F.col(f), F.lit("")), live_rules(PATTERNS, threshold)
-        fields += [F.lit(f), F.when(open_ & said.rlike("[0-9@]"), found_spans(said, [found_matches(said, F.col("context"), r, F.lit(True)) for r in live], live)).otherwise(none)]
-    return out.withColumn("spans", F.create_map(*fields))
+    none, live = F.array().cast(f"array<{SPAN}>"), live_rules(PATTERNS, threshold)
+    open_ = lambda f: blank_to_null(f).isNotNull() & ~(F.col("whole").isNotNull() & (F.col("data_field") == f))
+    said = F.array(*[F.when(open_(f), F.col(f)).otherwise("") for f in FIELDS])
+    # one expression for all fields; what holds neither a digit nor an @ meets no matcher
+    own = lambda x: F.when(x.rlike("[0-9@]"), found_spans(x, [found_matches(x, F.col("context"), r, F.lit(True)) for r in live], live)).otherwise(none)
+    return out.withColumn("spans", F.map_from_arrays(F.array(*map(F.lit, FIELDS)), F.transform(said, own)))
 
 
 def detections(found: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from ..functions.text import has_marker
 from .ordered import up_to_first, with_prior
 
 ACTION = "struct<action:string,selector:string,value:string,value_ref:string>"
+#: Verbs, those that need a selector, and the forms of references and slots.
 VERBS = ("click", "type", "focus", "scroll", "read", "wait")
 NEEDS_SELECTOR = ("click", "type", "focus")
 VALUE_REF = r"^user_saved:[A-Za-z0-9_.\-]{1,64}\z"

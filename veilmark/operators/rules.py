@@ -78,6 +78,7 @@ DOM_RULES = (
     DomRule("date_of_birth", "dom:dob", 0.88, r"date[ -]?of[ -]?birth|\bdob\b|birth[ -]?date|birthday", r"^bday\z"),
 )
 
+#: The patterns that the rules below share.
 EMAIL = EDGE + r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}" + CLOSE
 CARD = OPEN + r"(?:[0-9][ -]?){12,18}[0-9]" + CLOSE
 AADHAAR = OPEN + r"[2-9][0-9]{3}[ -]?[0-9]{4}[ -]?[0-9]{4}" + CLOSE

@@ -19,6 +19,7 @@ def _values(rows, names: str) -> str:
     return f"(VALUES {', '.join('(' + ', '.join(map(_literal, r)) + ')' for r in rows)}) v({names})"
 
 
+#: The patterns of the rule tables as this engine writes them.
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
 CARD = r"\b(?:[0-9][ -]?){12,18}[0-9]\b"
 AADHAAR = r"\b[2-9][0-9]{3}[ -]?[0-9]{4}[ -]?[0-9]{4}\b"
@@ -153,7 +154,7 @@ SELECT user_id::VARCHAR AS session, event_id AS seq, event_type AS type, upper(e
     "html_elements": """WITH c AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<(script|style|head)[ >].*?</(script|style|head)>', '', 'g'), '(?s)<!--.*?-->', '', 'g') AS h FROM pages)
 SELECT page_id, tag, n FROM (SELECT page_id, unnest([{'tag': 'a', 'n': len(regexp_extract_all(h, '<a[ >]'))}, {'tag': 'article', 'n': len(regexp_extract_all(h, '<article[ >]'))}, {'tag': 'h1', 'n': len(regexp_extract_all(h, '<h1[ >]'))}], recursive := true) FROM c) WHERE n > 0""",
     "stable_ids": "SELECT c_custkey, c_name, regexp_full_match(x, '[A-Za-z_][A-Za-z0-9_-]{0,47}') AND NOT regexp_full_match(x, '(?i)[0-9a-f]{8,}') AND len(regexp_extract_all(x, '[0-9]')) * 2 <= length(x) AS stable, repeat('•', least(length(c_name), 12)::INT) AS preview FROM (SELECT *, replace(c_name, '#', '_') AS x FROM customer)",
-    "rounding": f"SELECT event_id, floor(-value * 10 + 0.5) AS near, CASE WHEN floor(value) < 2 THEN 'now' WHEN floor(value) < 60 THEN floor(value)::BIGINT || 's' ELSE floor(floor(value) / 60 + 0.5)::BIGINT || 'm' END AS ago, {_CARD_HTML} AS html FROM events",
+    "rounding": f"SELECT event_id, floor(-value * 10 + 0.5) AS near, floor(value / 7 * 100 + 0.5) / 100 AS near_2, floor(-value / 7 * 1000 + 0.5) / 1000 AS near_3, floor(value / 7 * 10000 + 0.5) / 10000 AS near_4, CASE WHEN floor(value) < 2 THEN 'now' WHEN floor(value) < 60 THEN floor(value)::BIGINT || 's' ELSE floor(floor(value) / 60 + 0.5)::BIGINT || 'm' END AS ago, {_CARD_HTML} AS html FROM events",
     "perception_timings": "SELECT user_id, " + ", ".join(f"floor(coalesce(sum(value) FILTER (event_type = '{k}'), 0) * 100 + 0.5) / 100 AS {k}_ms" for k in ("view", "click", "error")) + ", floor(coalesce(sum(value) FILTER (event_type IN ('view', 'click', 'error')), 0) * 100 + 0.5) / 100 AS total_ms FROM events GROUP BY user_id",
     "user_chips": "SELECT user_id, count(*) FILTER (event_type = 'error') AS failed, bool_or(event_type = 'purchase') AS bought, count(DISTINCT event_type) AS kinds, count(*) FILTER (event_type = 'error') || CASE WHEN count(*) FILTER (event_type = 'error') = 1 THEN ' failure' ELSE ' failures' END AS chip FROM events GROUP BY user_id",
 }
@@ -297,3 +298,6 @@ SQL["form_detections"] = """WITH f AS (SELECT c_custkey AS page_id, c_custkey::V
     + [_span("label", "card_number", 1, "regex:card_number+luhn", 0.95, "0", "card", _card("card")), _span("label", "aadhaar", 1, "regex:aadhaar+verhoeff", 0.95, "0", "aadhaar", _aadhaar("aadhaar")), _span("label", "ssn", 1, "regex:ssn", 0.9, "0", "ssn", _ssn("ssn"))]
 )
 SQL["form_plans"] = """SELECT c_custkey AS page_id, unnest([{'position': 0, 'action': 'type', 'value_ref': 'user_saved:username', 'rejection': NULL::VARCHAR}, {'position': 1, 'action': 'type', 'value_ref': 'user_saved:password', 'rejection': NULL}, {'position': 2, 'action': 'click', 'value_ref': NULL, 'rejection': NULL}], recursive := true) FROM customer"""
+SQL["event_bars"] = "SELECT event_id, repeat('█', CASE WHEN value > 0 THEN greatest(1, round_even(least(value, 100) * 20 / 100, 0)::INT) ELSE 0 END) AS bar FROM events"
+SQL["data_urls"] = "SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'image/png' ELSE 'text/' || lower(c_mktsegment) END AS mime, c_name AS name FROM customer"
+SQL["latency_report"] = "SELECT rpad(event_type, 24, ' ') || lpad(printf('%.3f', floor(round(quantile_cont(value::DOUBLE, 0.5), 6) * 1000 + 0.5) / 1000), 10, ' ') || lpad(printf('%.3f', floor(round(quantile_cont(value::DOUBLE, 0.95), 6) * 1000 + 0.5) / 1000), 10, ' ') AS line FROM events GROUP BY event_type"

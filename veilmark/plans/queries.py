@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry, text, validators
 from ..functions.folds import match_spans
 from ..operators import boxes, detect, evaluate, ingress, perception, planning, redact, rules
-from ..sources import html
+from ..sources import html, records
 from ..streaming import gate, sessions
 from ..tables import shared
 from . import fixtures
@@ -518,7 +518,25 @@ def stable_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rounding(spark: SparkSession, sf: str) -> DataFrame:
-    return events(spark, sf).select("event_id", text.half_up(-F.col("value") * 10).alias("near"), text.elapsed_label(F.floor("value")).alias("ago"), text.html_escape(F.concat(F.lit('<"'), "props")).alias("html"))
+    return events(spark, sf).select("event_id", text.half_up(-F.col("value") * 10).alias("near"), text.half_up(F.col("value") / 7, 2).alias("near_2"), text.half_up(-F.col("value") / 7, 3).alias("near_3"), text.half_up(F.col("value") / 7, 4).alias("near_4"), text.elapsed_label(F.floor("value")).alias("ago"), text.html_escape(F.concat(F.lit('<"'), "props")).alias("html"))
+
+
+def event_bars(spark: SparkSession, sf: str) -> DataFrame:
+    """Each event's value as a bar of at most 20 blocks, where 100 fills it."""
+    return events(spark, sf).select("event_id", text.bar(F.least("value", F.lit(100.0)), F.lit(100.0), 20).alias("bar"))
+
+
+def data_urls(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers' names as data URLs, some without a head, and what is read back from them."""
+    encoded = F.base64(F.encode("c_name", "UTF-8"))
+    url = F.when(F.col("c_mktsegment") == "BUILDING", encoded).otherwise(F.concat(F.lit("data:text/"), F.lower("c_mktsegment"), F.lit(";base64,"), encoded))
+    return customer(spark, sf).select("c_custkey", text.data_url_mime(url).alias("mime"), F.decode(text.data_url_bytes(url), "UTF-8").alias("name"))
+
+
+def latency_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Percentiles of each kind of event as lines of text."""
+    found = latency_percentiles(spark, sf).where("stage = 'capture'").withColumns({c: text.half_up(c, 3) for c in ("p50", "p95")})
+    return records.report_lines(found, "event_type", ["p50", "p95"])
 
 
 def user_chips(spark: SparkSession, sf: str) -> DataFrame:
@@ -610,5 +628,5 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     ingress_findings, ingress_scrub, ingress_policy, strict_schema, node_detections, sanitised_nodes, redaction_manifest, gate_violations, leak_audit, plan_constrain, plan_rules, plan_message, plan_resolved,
     executor_prefix, debounce_last, activity_ring, prior_actions, last_capture, selector_lookup, iou_matrix, greedy_match, eval_confusion, eval_prf, eval_unscorable, redaction_precision, nms_faces, face_manifest, face_regions, perception_timings, blur_regions,
     latency_percentiles, latency_budget, event_windows, event_windows_sliding, stream_tokens, stream_resets, stream_histories, stream_windows, stream_debounce, stream_stale, stream_gate_reject, stream_gate_redact, html_nodes, html_texts, html_elements, form_detections, form_sanitised, form_manifest, form_plans, page_hosts, page_detections, page_sanitised, page_manifest, page_violations, page_plans, pii_context_values, ingress_requests, find_one, plan_outcomes,
-    saved_values, manifest_malformed, manifest_undeclared, latency_stage_sum, box_geometry, face_decode, measured_labels, stable_ids, rounding, user_chips,
+    saved_values, manifest_malformed, manifest_undeclared, latency_stage_sum, box_geometry, face_decode, measured_labels, stable_ids, rounding, event_bars, data_urls, latency_report, user_chips,
 )}
