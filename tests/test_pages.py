@@ -232,8 +232,8 @@ def test_held_values_are_detected_and_replaced(spark):
     page = "<textarea id=t>write to a.b@example.org</textarea><select id=s name=mail><option>x<option selected>c.d@example.org</select><input id=m type=EMAIL value=odd>"
     nodes = html.snapshots(spark.createDataFrame([(1, page)], "page_id BIGINT, html STRING"))
     named = redact.tokens_for(detect.detect_nodes(nodes))
-    assert {(r["path"], r["type"]) for r in named.collect()} == {("textarea#t", "email"), ("select#s", "email"), ("input#m", "email")}
-    assert {r["path"]: r["value"] for r in redact.sanitise(nodes, named).where("path LIKE '%#%'").collect()} == {"textarea#t": "write to a***@***.org", "select#s": "c***@***.org", "input#m": "[EMAIL]"}
+    assert {(r["path"], r["type"]) for r in named.collect()} == {("textarea#t", "email"), ("select#s", "email"), ("select#s > option:nth-of-type(2)", "email"), ("input#m", "email")}
+    assert {r["path"]: r["value"] for r in redact.sanitise(nodes, named).where("path LIKE '%#%' AND path NOT LIKE '%option%'").collect()} == {"textarea#t": "write to a***@***.org", "select#s": "c***@***.org", "input#m": "[EMAIL]"}
 
 
 def test_roles_and_types(spark):
