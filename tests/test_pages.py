@@ -66,6 +66,14 @@ def test_html_row_cap(spark):
     assert len(rows) == 400 and all(r["truncated"] for r in rows)
 
 
+def test_texts_of_a_long_page(spark, tmp_path):
+    """What a page says is told to its end: the cap is the nodes' own."""
+    page = "<body>" + "".join(f"<p>{i}</p>" for i in range(950)) + "</body>"
+    spark.createDataFrame([(1, page)], "page_id BIGINT, html STRING").write.parquet(f"{tmp_path}/pages.parquet")
+    got = queries.html_texts(spark, str(tmp_path)).collect()
+    assert {(r["place"], r["said"]) for r in got} == {(i + 1, str(i)) for i in range(950)} and len(got) == 950
+
+
 def paths(spark, page):
     return {r["path"]: r for r in html.nodes(spark.createDataFrame([(1, page)], "page_id BIGINT, html STRING")).collect()}
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -498,10 +499,10 @@ def html_nodes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def html_texts(spark: SparkSession, sf: str) -> DataFrame:
-    """What each page says, in order: the text of its elements, or the name of those that can be acted on."""
-    rows = html.nodes(pages(spark, sf))
+    """What each page says, in order: the text of all its elements, or the name of those that can be acted on."""
+    rows = html.nodes(pages(spark, sf), most=sys.maxsize)
     said = rows.select("page_id", "node_seq", "tag", F.coalesce("text", "label").alias("said")).where("said IS NOT NULL")
-    place = F.row_number().over(Window.partitionBy("page_id").orderBy("node_seq"))  # at most MOST_NODES a page
+    place = F.row_number().over(Window.partitionBy("page_id").orderBy("node_seq"))  # a page, which one row held
     return said.select("page_id", place.alias("place"), "tag", "said")
 
 

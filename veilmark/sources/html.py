@@ -198,11 +198,11 @@ def css_path(most: int = 8) -> Column:
     return F.array_join(F.reverse(F.transform(F.slice(chain, F.lit(1), cut), segment)), " > ")
 
 
-def nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """Elements that can be acted on, show media or have own text, at most MOST_NODES a page, with role, name, value,
+def nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", most: int = MOST_NODES) -> DataFrame:
+    """Elements that can be acted on, show media or have own text, the first `most` of a page, with role, name, value,
     path and `truncated`. What can be acted on or shows media has no text of its own: its name says it. Without a layout
     there are no boxes. Passwords are never read, not as a name either."""
-    rows = parse(pages, id_col, html_col, MOST_NODES)
+    rows = parse(pages, id_col, html_col, most)
     password = F.coalesce(input_type() == "password", F.lit(False))
     field = F.col("tag").isin(*FIELDS)
     name = lambda c: clip(c, MOST_LABEL)
