@@ -103,6 +103,14 @@ def test_html_nodes_need_no_exchange(spark, sf, capsys):
     assert "Exchange" not in (plan := capsys.readouterr().out) and "Window" not in plan
 
 
+def test_forms_are_dealt_and_read_once(spark, tmp_path, capsys):
+    """One small file of customers becomes many tasks, and each page is parsed once for all its detections."""
+    spark.range(5000).selectExpr("id AS c_custkey", "'Customer#1' AS c_name", "1.5 AS c_acctbal", "'AUTO' AS c_mktsegment").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    assert queries._forms(spark, str(tmp_path)).rdd.getNumPartitions() == 3
+    queries.form_detections(spark, str(tmp_path)).explain()
+    assert capsys.readouterr().out.count("MapInArrow") == 1
+
+
 @pytest.mark.parametrize("threshold", [0.0, 0.5, 0.96, 0.99, 1.0])
 def test_any_threshold(spark, threshold):
     """However high the threshold, detection runs, unread passwords are declared, and the gate sees what is left."""

@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .geometry import containment, iou
+from .text import let
 
 SPANS = "array<struct<start:int,end:int,value:string>>"
 
@@ -17,7 +18,6 @@ def match_spans(text: Column, pattern: str, found: Column | None = None) -> Colu
     """All matches with their code-point offsets, ends exclusive: the pieces between matches tell where they stand.
     `found`: the matches, where a column already has them, so that they are sought once."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)) if found is None else found
-    pairs = F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(found)), found, lambda gap, m: F.struct(F.length(gap).alias("gap"), m.alias("value")))
     begin = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
 
     def step(a: Column, x: Column) -> Column:
@@ -25,7 +25,11 @@ def match_spans(text: Column, pattern: str, found: Column | None = None) -> Colu
         end = start + F.length(x["value"])
         return F.struct(end.alias("at"), F.array_append(a["out"], F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"))).alias("out"))
 
-    return F.when(F.size(found) > 0, F.aggregate(pairs, begin, step, lambda a: a["out"])).otherwise(F.array().cast(SPANS))
+    def spans(m: Column) -> Column:
+        pairs = F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(m)), m, lambda gap, v: F.struct(F.length(gap).alias("gap"), v.alias("value")))
+        return F.when(F.size(m) > 0, F.aggregate(pairs, begin, step, lambda a: a["out"])).otherwise(F.array().cast(SPANS))
+
+    return let(found, spans)
 
 
 def beats(a: Column, b: Column) -> Column:

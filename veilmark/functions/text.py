@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,10 +26,15 @@ def blank_to_null(x: Column | str) -> Column:
     return F.nullif(col(x), F.lit(""))
 
 
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """`f` of a value that is worked out once, however often `f` names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def clip(x: Column | str, most: int) -> Column:
     """White space collapsed and trimmed; longer text is cut at `most` and gets an ellipsis. Empty becomes null."""
-    flat = F.regexp_replace(F.regexp_replace(col(x), BLANK + "+", " "), "^ | $", "")
-    return blank_to_null(F.when(F.length(flat) > most, F.concat(F.substring(flat, 1, most), F.lit("…"))).otherwise(flat))
+    flat = F.btrim(F.regexp_replace(col(x), BLANK + "+", " "), F.lit(" "))
+    return let(flat, lambda v: F.when(v == "", F.lit(None)).when(F.length(v) > most, F.concat(F.substring(v, 1, most), F.lit("…"))).otherwise(v))
 
 
 def tier_of(kind: Column | str) -> Column:

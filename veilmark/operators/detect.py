@@ -13,6 +13,8 @@ from .rules import DOM_RULES, PATTERNS, DomRule, PatternRule
 
 SPAN = "struct<start:int,end:int,value:string,type:string,tier:int,detector:string,confidence:double,seq:int>"
 CLAIM = "struct<type:string,tier:int,detector:string,confidence:double>"
+LISTED = "struct<field:string,type:string,tier:int,detector:string,confidence:double,start:int,end:int,seq:int>"
+KEPT = ("type", "tier", "detector", "confidence")
 FIELDS = ("value", "text", "label")
 #: Tags that label others, whose text isn't data, and tags whose data is their value.
 STRUCTURAL = ("label", "dt", "th", "legend", "caption")
@@ -84,10 +86,18 @@ def detect_nodes(nodes: DataFrame, threshold: float = 0.5) -> DataFrame:
     return out.withColumn("spans", F.map_from_arrays(F.array(*map(F.lit, FIELDS)), F.transform(said, own)))
 
 
+def listed(found: DataFrame, head: Sequence[str]) -> DataFrame:
+    """The columns of `head` and one row per detection, in one pass: its field, what it is, and where it stands; without a
+    start it claims the whole field."""
+    whole = F.struct(F.col("data_field").alias("field"), *[F.col(f"whole.{c}").alias(c) for c in KEPT], *[F.lit(None).cast("int").alias(c) for c in ("start", "end")], F.lit(-1).alias("seq"))
+    spans = F.transform(F.map_entries("spans"), lambda e: F.transform(e["value"], lambda s: F.struct(e["key"].alias("field"), *[s[c].alias(c) for c in (*KEPT, "start", "end", "seq")])))
+    # an expression, not a column: of a column Spark would infer a filter, and evaluate it once more below all that made it
+    every = F.concat(F.when(F.col("whole").isNotNull(), F.array(whole)).otherwise(F.array().cast(f"array<{LISTED}>")), F.flatten(spans).cast(f"array<{LISTED}>"))
+    return found.select(*head, F.explode(every).alias("d")).select(*head, "d.*")
+
+
 def detections(found: DataFrame) -> DataFrame:
     """One row per detection; a null span means the whole field."""
-    head = ["snapshot_id", "node_seq", "path", "bbox"]
-    whole = found.where(F.col("whole").isNotNull()).select(*head, F.col("data_field").alias("field"), "whole.*", F.lit(None).cast("struct<start:int,end:int>").alias("span"), F.lit(-1).alias("seq"))
-    parts = found.select(*head, F.explode("spans").alias("field", "s")).select(*head, "field", F.explode("s").alias("s"))
-    spans = parts.select(*head, "field", "s.type", "s.tier", "s.detector", "s.confidence", F.struct("s.start", "s.end").alias("span"), "s.seq")
-    return whole.unionByName(spans)
+    rows = listed(found, ["snapshot_id", "node_seq", "path", "bbox"])
+    span = F.when(F.col("start").isNotNull(), F.struct("start", "end"))
+    return rows.select("snapshot_id", "node_seq", "path", "bbox", "field", *KEPT, span.alias("span"), "seq")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.folds import apply_spans, match_spans
 from ..functions.text import blank_to_null, has_marker, masking_for, replacement_for, token_key
+from .detect import listed
 from .ordered import numbered
 from .rules import PATTERNS, matches
 
@@ -38,9 +39,7 @@ def tokens_for(found: DataFrame, session: str = "session_id") -> DataFrame:
     field = F.element_at(F.create_map(F.lit("value"), F.col("value"), F.lit("text"), F.col("text"), F.lit("label"), F.col("label")), F.col("field"))
     head = ["snapshot_id", session, "node_seq", "path", "bbox", "value", "text", "label"]
     order = F.create_map(F.lit("value"), F.lit(0), F.lit("text"), F.lit(1), F.lit("label"), F.lit(2))
-    whole = found.where(F.col("whole").isNotNull()).select(*head, F.col("data_field").alias("field"), "whole.*", F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"))
-    spans = found.select(*head, F.explode("spans").alias("field", "s")).select(*head, "field", F.explode("s").alias("s")).select(*head, "field", "s.type", "s.tier", "s.detector", "s.confidence", "s.start", "s.end")
-    out = whole.unionByName(spans)
+    out = listed(found, head).drop("seq")
     content = F.when(F.col("start").isNull(), field).otherwise(F.substring(field, F.col("start") + 1, F.col("end") - F.col("start")))
     # the data field first, then the label; within a field by place
     out = out.withColumns({"content": blank_to_null(content), "field_order": F.element_at(order, F.col("field")), "place": F.coalesce("start", F.lit(-1))})

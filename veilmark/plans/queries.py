@@ -13,7 +13,7 @@ from ..functions.folds import match_spans
 from ..operators import boxes, detect, evaluate, ingress, perception, planning, redact, rules
 from ..sources import html, records
 from ..streaming import gate, sessions
-from ..tables import shared
+from ..tables import dealt, shared
 from . import fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -208,10 +208,14 @@ def page_plans(spark: SparkSession, sf: str) -> DataFrame:
     return judged.select(F.col("session_id").cast("bigint").alias("page_id"), "position", "action", "selector", "value_ref", "rejection")
 
 
+#: A file of customers holds some 20 bytes a row, and each becomes a page of 2 KB.
+PAGES_A_TASK = 2000
+
+
 def _forms(spark: SparkSession, sf: str) -> DataFrame:
     """A page of HTML for each customer: an account form whose controls and terms speak of what they hold, with values made of
     the customer's own numbers."""
-    c = customer(spark, sf)
+    c = dealt(customer(spark, sf).select("c_custkey", "c_name", "c_acctbal", "c_mktsegment"), PAGES_A_TASK)
     key, name, money = F.col("c_custkey").cast("string"), F.regexp_replace("c_name", "#0*", " "), F.floor(F.col("c_acctbal").cast("double") * 100).cast("bigint")
     pad = lambda x, n: F.lpad(x, n, "0")
     controls = {

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import blank_to_null, clip, is_stable_id
+from ..functions.text import blank_to_null, clip, is_stable_id, let
 from .tree import Node, TreeBuilder
 
 #: Subtrees that hold no content, and tags that people act on.
@@ -33,6 +33,8 @@ NAMED = ("button", "a", "label", "option", "h1", "h2", "h3", "h4", "h5", "h6")
 FIELDS = ("input", "select", "textarea")
 #: Nodes of a page, characters of a text, and of a name or value, at most.
 MOST_NODES, MOST_TEXT, MOST_LABEL = 400, 600, 200
+#: Rows, and characters of HTML, after which the nodes of a few pages are handed on.
+ROWS_A_BATCH, TEXT_A_BATCH = 1000, 1_000_000
 SCHEMA = (
     "page_id bigint, node_seq int, parent int, tag string, own_text string, full_text string, attrs map<string,string>, "
     "ancestors array<struct<tag:string,id:string,once:boolean,nth:int,of:int>>, sibling_text string, labelled_by string, labels string, held string, interactive boolean, truncated boolean"
@@ -138,20 +140,24 @@ def parse(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", mos
     blank = re.compile(f"[{_BLANK}]*")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
         for batch in batches:
             for page, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 nodes = elements(html) if html else []
                 told = [n for n in nodes if n["shown"] and (most is None or n["acts"] or n["tag"] in MEDIA or not blank.fullmatch(n["own"]))]
-                rows = []
+                steps = [{"tag": x["tag"], "id": x["attrs"].get("id"), "once": x["once"], "nth": x["nth"], "of": x["of"]} for x in nodes]
                 for n in told[:most]:
                     up, path = n["seq"], []
                     while up is not None:
-                        x = nodes[up]
-                        path.append({"tag": x["tag"], "id": x["attrs"].get("id"), "once": x["once"], "nth": x["nth"], "of": x["of"]})
-                        up = x["parent"]
+                        path.append(steps[up])
+                        up = nodes[up]["parent"]
                     rows.append({"page_id": page, "node_seq": n["seq"], "parent": n["parent"], "tag": n["tag"], "own_text": n["own"], "full_text": _text(n["node"]) if n["tag"] in NAMED else None, "attrs": list(n["attrs"].items()), "ancestors": path, "sibling_text": n["sibling"], "labelled_by": n["by"], "labels": n["labels"], "held": n["held"], "interactive": n["acts"], "truncated": most is not None and len(told) >= most})
-                if rows:
+                held += len(html or "")
+                if rows and (len(rows) >= ROWS_A_BATCH or held >= TEXT_A_BATCH):
                     yield pa.RecordBatch.from_pylist(rows, schema=out)
+                    rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=out)
 
     step = pa.struct([("tag", pa.string()), ("id", pa.string()), ("once", pa.bool_()), ("nth", pa.int32()), ("of", pa.int32())])
     text = [(n, pa.string()) for n in ("tag", "own_text", "full_text")]
@@ -166,22 +172,22 @@ def attr(name: str) -> Column:
 def input_type() -> Column:
     """Of an input what a browser takes its type for, null elsewhere."""
     said = F.lower(attr("type"))
-    return F.when(F.col("tag") == "input", F.when(said.isin(*INPUT_TYPES), said).otherwise("text"))
+    return F.when(F.col("tag") == "input", let(said, lambda x: F.when(x.isin(*INPUT_TYPES), x).otherwise("text")))
 
 
 def role() -> Column:
-    """The explicit role's first word, else by input type, link target or tag."""
+    """The explicit role's first word, else by `input_type`, link target or tag."""
     kinds = F.create_map(*[F.lit(x) for kv in INPUT_ROLES.items() for x in kv])
     tags = F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv])
     explicit = blank_to_null(F.element_at(F.split(F.trim(attr("role")), r"\s+"), 1))
-    by_type = F.coalesce(F.try_element_at(kinds, input_type()), F.lit("textbox"))
+    by_type = F.coalesce(F.try_element_at(kinds, F.col("input_type")), F.lit("textbox"))
     return F.coalesce(explicit, F.when(F.col("tag") == "input", by_type).when(F.col("tag") == "a", F.when(F.map_contains_key("attrs", F.lit("href")), "link")).otherwise(F.try_element_at(tags, F.col("tag"))))
 
 
 def held_value() -> Column:
     """What a control holds when its page has been read: a text area its content, a select the option that it starts with, an
     input its value; boxes without one hold "on", files and numbers that are none hold nothing."""
-    said, kind = F.try_element_at(F.col("attrs"), F.lit("value")), input_type()
+    said, kind = F.try_element_at(F.col("attrs"), F.lit("value")), F.col("input_type")
     number = F.when(said.rlike(r"^-?(?:[0-9]+(?:\.[0-9]+)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\z"), said)
     own = F.when(kind.isin("checkbox", "radio"), F.coalesce(said, F.lit("on"))).when(kind == "file", F.lit(None)).when(kind == "number", number).otherwise(said)
     return F.when(F.col("tag") == "input", own).when(F.col("tag").isin(*FIELDS), F.col("held"))
@@ -191,26 +197,30 @@ def css_path(most: int = 8) -> Column:
     """Segments from the element up to the first ancestor with a stable id that stands once in its page, at most `most`,
     joined top down."""
     anchored = lambda x: F.coalesce(x["once"] & is_stable_id(x["id"]), F.lit(False))
-    segment = lambda x: F.when(anchored(x), F.concat(x["tag"], F.lit("#"), x["id"])).when(x["of"] > 1, F.concat(x["tag"], F.lit(":nth-of-type("), x["nth"].cast("string"), F.lit(")"))).otherwise(x["tag"])
-    chain = F.filter("ancestors", lambda x: x["tag"] != "html")
-    first = F.array_position(F.transform(chain, anchored), F.lit(True)).cast("int")
-    cut = F.when(first > 0, F.least(first, F.lit(most))).otherwise(F.lit(most))
-    return F.array_join(F.reverse(F.transform(F.slice(chain, F.lit(1), cut), segment)), " > ")
+    segment = lambda x: F.when(x["anchored"], F.concat(x["tag"], F.lit("#"), x["id"])).when(x["of"] > 1, F.concat(x["tag"], F.lit(":nth-of-type("), x["nth"].cast("string"), F.lit(")"))).otherwise(x["tag"])
+    chain = F.transform(F.filter("ancestors", lambda x: x["tag"] != "html"), lambda x: F.struct(anchored(x).alias("anchored"), *[x[c].alias(c) for c in ("tag", "id", "nth", "of")]))
+
+    def joined(steps: Column) -> Column:
+        first = F.array_position(F.transform(steps, lambda x: x["anchored"]), F.lit(True)).cast("int")
+        cut = F.when(first > 0, F.least(first, F.lit(most))).otherwise(F.lit(most))
+        return F.array_join(F.reverse(F.transform(F.slice(steps, F.lit(1), cut), segment)), " > ")
+
+    return let(chain, joined)
 
 
 def nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", most: int = MOST_NODES) -> DataFrame:
     """Elements that can be acted on, show media or have own text, the first `most` of a page, with role, name, value,
     path and `truncated`. What can be acted on or shows media has no text of its own: its name says it. Without a layout
     there are no boxes. Passwords are never read, not as a name either."""
-    rows = parse(pages, id_col, html_col, most)
-    password = F.coalesce(input_type() == "password", F.lit(False))
+    rows = parse(pages, id_col, html_col, most).withColumn("input_type", input_type())
+    password = F.coalesce(F.col("input_type") == "password", F.lit(False))
     field = F.col("tag").isin(*FIELDS)
     name = lambda c: clip(c, MOST_LABEL)
     label = F.coalesce(name("labelled_by"), name(attr("aria-label")), F.when(field, F.coalesce(name("labels"), name(attr("placeholder")))), name(attr("alt")), name(attr("title")), F.when((F.col("tag") == "input") & ~password, name(attr("value"))), name("full_text"))
     attrs = F.struct(*[attr(a).alias(a.replace("-", "_")) for a in ("id", "name", "autocomplete", "placeholder", "aria-label", "alt", "title", "inputmode", "maxlength")])
     media = F.when(F.col("tag").isin(*MEDIA), F.col("tag"))
     text = F.when(~F.col("interactive") & media.isNull(), clip("own_text", MOST_TEXT))
-    return rows.select("page_id", "node_seq", css_path().alias("path"), "tag", role().alias("role"), label.alias("label"), text.alias("text"), name("sibling_text").alias("context_label"), F.when(~password, name(held_value())).alias("value"), F.when(password & attr("value").isNotNull(), "password").alias("value_omitted"), input_type().alias("input_type"), attrs.alias("attrs"), "interactive", media.alias("media"), "truncated")
+    return rows.select("page_id", "node_seq", css_path().alias("path"), "tag", role().alias("role"), label.alias("label"), text.alias("text"), name("sibling_text").alias("context_label"), F.when(~password, name(held_value())).alias("value"), F.when(password & attr("value").isNotNull(), "password").alias("value_omitted"), "input_type", attrs.alias("attrs"), "interactive", media.alias("media"), "truncated")
 
 
 def snapshots(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:

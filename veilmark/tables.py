@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -25,3 +26,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame, rows: int) -> DataFrame:
+    """A table whose rows make much more than they hold, over tasks of about so many rows, however few files it came in."""
+    return df.repartition(max(math.ceil(df.count() / rows), 1))
