@@ -173,6 +173,57 @@ def test_matched_boxes(spark):
     assert boxes.matched(predictions.limit(0), truth).count() == 0
 
 
+def outcomes(p, t):
+    """(screen, outcome, tier, type) by brute force, of screens with both."""
+    out = []
+    for s in {x[0] for x in p} & {x[0] for x in t} - {None}:
+        own, theirs = [x for x in p if x[0] == s], [x for x in t if x[0] == s]
+        found = greedy([x for x in own if x[5]], [x for x in theirs if x[5]])
+        out += [(s, "tp" if x[1] in found else "fp", x[4], x[3]) for x in own] + [(s, "fn", x[4], x[3]) for x in theirs if x[1] not in found.values()]
+    return sorted(out)
+
+
+def test_screens_of_few_and_many_boxes(spark):
+    """Small screens are settled without rounds or intermediate tables of pairs, a large one beside them on the grid; batches end inside screens."""
+    r = random.Random(9)
+    t = [x for s in range(1, 60) for x in some_boxes(r, r.randrange(0, 12), s, 20)]
+    t = [(s, k, *rest) for k, (s, _, *rest) in enumerate(t)]
+    p = [(s, k, c, kind, tier, [v + r.uniform(-1, 1) for v in b]) for s, k, c, kind, tier, b in t if r.random() < 0.8] + [(s, 10_000 + s, 0.5, "a", 1, [0.0, 0.0, 9.0, 9.0]) for s in range(50, 70)]
+    t, p = [*t, (3, 20_000, 0.5, "a", 1, None), (None, 20_001, 0.5, "a", 1, [0.0, 0.0, 9.0, 9.0])], [*p, (None, 20_001, 0.5, "a", 1, [0.0, 0.0, 9.0, 9.0])]
+    big = some_boxes(r, 200, 99, 60)
+    written, put = [], boxes.written
+    boxes.written = lambda df, name: (written.append(name), put(df, name))[1]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for more in ([], big):
+            got = evaluate.match_screens(spark.createDataFrame(p + more, BOX), spark.createDataFrame(t + more, BOX).withColumnRenamed("seq", "item_idx"))
+            assert sorted((x["screen_id"], x["outcome"], x["tier"], x["type"]) for x in got.collect()) == outcomes(p + more, t + more)
+            assert more or written == ["crowded"]
+    finally:
+        boxes.written = put
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_few_boxes_meet_without_a_grid(spark, capsys):
+    """Each box of a small screen is sent once, not to every square that it touches."""
+    df = spark.createDataFrame(some_boxes(random.Random(10), 50), BOX)
+    boxes.meeting(df.select("screen_id", F.col("seq").alias("i"), F.col("bbox").alias("a_bbox")), df.select("screen_id", F.col("seq").alias("j"), F.col("bbox").alias("b_bbox")), ["screen_id"]).explain()
+    assert "Generate" not in capsys.readouterr().out
+
+
+def test_images_of_few_and_many_faces(spark):
+    r = random.Random(11)
+    faces = [(s, 1000 * s + k, round(r.random(), 2), b[5]) for s in range(40) for k, b in enumerate(some_boxes(r, 9 * s % 40, wide=15))] + [(None, 7, 0.5, [0.0, 0.0, 5.0, 5.0]), (None, 8, 0.4, [0.0, 0.0, 5.0, 5.0]), (1, 5, 0.9, None)]
+    many = [(99, k, round(r.random(), 2), b[5]) for k, b in enumerate(some_boxes(r, 300, 99, 60))]
+    for rows in (faces, faces + many):
+        kept = []
+        for f in sorted(rows, key=lambda x: (-x[2], x[1])):
+            if all(f[0] != g[0] or not f[3] or not g[3] or share(f[3], g[3]) < 0.3 for g in kept):
+                kept.append(f)
+        got = boxes.suppressed(spark.createDataFrame(rows, "image_id BIGINT, i BIGINT, score DOUBLE, bbox ARRAY<DOUBLE>")).collect()
+        assert sorted((x["image_id"] or -1, x["i"]) for x in got) == sorted((f[0] if f[0] else -1 if f[0] is None else -1, f[1]) for f in kept)
+
+
 def test_suppressed_boxes(spark):
     r = random.Random(8)
     faces = [(1, k, round(r.random(), 2), b[5]) for k, b in enumerate(some_boxes(r, 250, wide=40))]

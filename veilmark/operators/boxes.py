@@ -6,21 +6,100 @@ most four squares as well. A pair meets at the level of the larger box, in every
 the one that holds the corner where their overlap begins. So no pair is found twice, and no square gathers more than
 boxes that are about as large as itself or visit it.
 
+That is for keys with many boxes. Those of keys with few, which are counted first, meet one another in a plain join.
+
 Greedy choices (a prediction takes the best open truth, a face stays if no better one covers it) look sequential. They are
 settled in rounds: whatever is first among all that it competes with chooses at once, everywhere; each round settles the
-first of every chain, and only pairs that are still open go on.
+first of every chain, and only pairs that are still open go on. A screen with few boxes is settled in order in one pass:
+Spark deals and sorts the screens, and each Arrow batch of whole ones is a few steps over arrays.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import containment, iou
 from ..tables import written
 
+#: Boxes of a key, of both sides together, that need no grid and no rounds.
+FEW = 256
+
+
+def _alike(keys: list[str], prefix: str) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{prefix}{k}")) for k in keys])
+
+
+def crowded(sides: list[DataFrame], keys: list[str]) -> DataFrame | None:
+    """The keys with more than FEW rows in all sides together, as a table; None where there are none."""
+    every = reduce(DataFrame.union, [df.select(*keys) for df in sides])
+    many = written(every.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FEW).select(*keys), "crowded")
+    return None if many.isEmpty() else many
+
+
+def within(df: DataFrame, many: DataFrame, keys: list[str], how: str = "left_semi") -> DataFrame:
+    """The rows whose keys are among `many`, or with left_anti the others."""
+    return df.join(many.withColumnsRenamed({k: f"m_{k}" for k in keys}), _alike(keys, "m_"), how)
+
+
+def fit(b: Column) -> Column:
+    """Whether a box is one: not null, its ends in order."""
+    return b.isNotNull() & (b[2] > b[0]) & (b[3] > b[1])
+
+
+def edges(b: Column) -> list[Column]:
+    """A box as four columns, null where it is none."""
+    return [F.when(fit(b), b[k]).alias(f"e_{k}") for k in range(4)]
+
+
+def begins(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """Whether a row's keys differ from those of the row before."""
+    out = np.ones(len(table), bool)
+    out[1:] = False
+    for k in keys:
+        c = table[k].combine_chunks()
+        now, before = c[1:], c[:-1]
+        out[1:] |= pc.or_(pc.fill_null(pc.not_equal(now, before), False), pc.not_equal(now.is_null(), before.is_null())).to_numpy(zero_copy_only=False)
+    return out
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Sorted batches again, cut between groups: the rows of a batch's last group wait for the next."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        if not len(table):
+            continue
+        table = table if held is None else pa.concat_tables([held, table]).combine_chunks()
+        last = int(np.flatnonzero(begins(table, keys))[-1])
+        if last:
+            yield table.slice(0, last)
+        held = table.slice(last)
+    if held is not None:
+        yield held
+
+
+def overlaps(table: pa.Table, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs of rows whether they overlap in more than an edge, their IoU, and how much of the first lies in the second."""
+    e = [table[f"e_{k}"].combine_chunks().to_numpy(zero_copy_only=False) for k in range(4)]
+    size = (e[2] - e[0]) * (e[3] - e[1])
+    w, h = (np.minimum(e[k + 2][a], e[k + 2][b]) - np.maximum(e[k][a], e[k][b]) for k in (0, 1))
+    with np.errstate(all="ignore"):
+        inter = w * h
+        return (w > 0) & (h > 0), inter / (size[a] + size[b] - inter), inter / size[a]
+
+
+def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each count, one after another."""
+    before = np.cumsum(counts) - counts
+    return np.arange(counts.sum()) + np.repeat(starts - before, counts)
+
 
 def _level(b: Column) -> Column:
     side = F.greatest(b[2] - b[0], b[3] - b[1])
@@ -38,13 +117,28 @@ def _cells(b: Column, level: Column) -> Column:
 def meeting(left: DataFrame, right: DataFrame, keys: list[str], left_box: str = "a_bbox", right_box: str = "b_bbox") -> DataFrame:
     """The pairs of rows of both sides with equal keys whose boxes overlap in more than an edge; the sides' other columns
     must differ in name. Boxes that are null, or whose ends are out of order, meet nothing."""
-    fit = lambda b: F.col(b).isNotNull() & (F.col(b)[2] > F.col(b)[0]) & (F.col(b)[3] > F.col(b)[1])
-    sides = []
-    for df, box in ((left, left_box), (right, right_box)):
-        sides.append(df.where(fit(box)).withColumn("g_level", _level(F.col(box))))
+    left, right = left.where(fit(F.col(left_box))), right.where(fit(F.col(right_box)))
+    many = crowded([left, right], keys)
+    if many is None:
+        return _each_other(left, right, keys, left_box, right_box)
+    few = _each_other(within(left, many, keys, "left_anti"), within(right, many, keys, "left_anti"), keys, left_box, right_box)
+    return few.unionByName(_on_grid(within(left, many, keys), within(right, many, keys), keys, left_box, right_box))
+
+
+def _overlap(x: Column, y: Column) -> Column:
+    return (x[0] < y[2]) & (y[0] < x[2]) & (x[1] < y[3]) & (y[1] < x[3])
+
+
+def _each_other(left: DataFrame, right: DataFrame, keys: list[str], left_box: str, right_box: str) -> DataFrame:
+    right = right.withColumnsRenamed({k: f"r_{k}" for k in keys})
+    return left.join(right, _alike(keys, "r_") & _overlap(F.col(left_box), F.col(right_box))).drop(*[f"r_{k}" for k in keys])
+
+
+def _on_grid(left: DataFrame, right: DataFrame, keys: list[str], left_box: str, right_box: str) -> DataFrame:
+    sides = [df.withColumn("g_level", _level(F.col(box))) for df, box in ((left, left_box), (right, right_box))]
     levels = sides[0].select(*keys, "g_level").union(sides[1].select(*keys, "g_level")).groupBy(*keys).agg(F.collect_set("g_level").alias("levels"))  # some 120 at most
     levels = levels.withColumnsRenamed({k: f"l_{k}" for k in keys})
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"l_{k}")) for k in keys])
+    same = _alike(keys, "l_")
 
     def spread(df: DataFrame, box: str, home: str) -> DataFrame:
         levelled = df.join(levels, same).select(*df.columns, F.explode(F.filter("levels", lambda x: x >= F.col("g_level"))).alias("at"))
@@ -52,12 +146,11 @@ def meeting(left: DataFrame, right: DataFrame, keys: list[str], left_box: str =
 
     a, b = spread(sides[0], left_box, "a_home"), spread(sides[1], right_box, "b_home")
     b = b.withColumnsRenamed({k: f"r_{k}" for k in keys} | {"at": "r_at", "cell": "r_cell"})
-    met = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"r_{k}")) for k in keys], (F.col("at") == F.col("r_at")) & (F.col("cell") == F.col("r_cell")))
+    met = _alike(keys, "r_") & (F.col("at") == F.col("r_at")) & (F.col("cell") == F.col("r_cell"))
     x, y = F.col(left_box), F.col(right_box)
-    overlap = (x[0] < y[2]) & (y[0] < x[2]) & (x[1] < y[3]) & (y[1] < x[3])
     width = F.pow(F.lit(2.0), F.col("at"))
     corner = (F.floor(F.greatest(x[0], y[0]) / width).cast("bigint") == F.col("cell.x")) & (F.floor(F.greatest(x[1], y[1]) / width).cast("bigint") == F.col("cell.y"))
-    pairs = a.join(b, met & (F.col("a_home") | F.col("b_home")) & overlap & corner)
+    pairs = a.join(b, met & (F.col("a_home") | F.col("b_home")) & _overlap(x, y) & corner)
     return pairs.drop("a_home", "b_home", "at", "cell", "r_at", "r_cell", *[f"r_{k}" for k in keys])
 
 
@@ -97,9 +190,36 @@ def suppressed(boxes: DataFrame, most: float = 0.3) -> DataFrame:
     """Of boxes (image_id, i, score, bbox) those that non-maximum suppression keeps: the best first, a box stays unless it
     overlaps a kept one by an IoU of `most` or more.
 
-    Pairs that exclude each other are found on the grid. In each round a box with no better open rival is kept and its
-    rivals go.
+    Images with few boxes go through them in order. Of the others, pairs that exclude each other are found on the grid; in
+    each round a box with no better open rival is kept and its rivals go.
     """
+    many = crowded([boxes], ["image_id"])
+    if many is None:
+        return _suppressed_in_order(boxes, most)
+    few = _suppressed_in_order(within(boxes, many, ["image_id"], "left_anti"), most)
+    return few.unionByName(_suppressed_in_rounds(within(boxes, many, ["image_id"]), most))
+
+
+def _suppressed_in_order(boxes: DataFrame, most: float) -> DataFrame:
+    columns = boxes.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ["image_id"]):
+            start, at = np.flatnonzero(begins(table, ["image_id"])), np.arange(len(table))
+            first = np.repeat(start, np.diff(np.append(start, len(table))))
+            worse, better = np.repeat(at, at - first), ranges(first, at - first)
+            meet, share, _ = overlaps(table, better, worse)
+            rival, kept = meet & (share >= most), np.ones(len(table), bool)
+            for b, w in zip(better[rival].tolist(), worse[rival].tolist(), strict=True):
+                if kept[b]:
+                    kept[w] = False
+            yield from table.select(columns).filter(pa.array(kept)).to_batches()
+
+    dealt = boxes.repartition("image_id").sortWithinPartitions("image_id", -F.col("score"), "i")
+    return dealt.select(*columns, *edges(F.col("bbox"))).mapInArrow(run, boxes.schema)
+
+
+def _suppressed_in_rounds(boxes: DataFrame, most: float) -> DataFrame:
     first = F.struct((-F.col("score")).alias("s"), F.col("i").alias("i"))
     every = boxes.select("image_id", "i", "score", "bbox", first.alias("first"))
     a = every.select("image_id", F.col("i").alias("better"), F.col("first").alias("a_first"), F.col("bbox").alias("a_bbox"))

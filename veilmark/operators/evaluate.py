@@ -2,19 +2,71 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import iou
-from .boxes import matched, meeting
+from .boxes import begins, crowded, edges, matched, meeting, overlaps, ranges, whole_groups, within
 from .quantiles import quantiles
 
 
-def match_screens(predictions: DataFrame, truth: DataFrame) -> DataFrame:
+OUTCOME = "screen_id {}, outcome string, tier int, type string"
+
+
+def match_screens(predictions: DataFrame, truth: DataFrame, least: float = 0.5, rescue: float = 0.9) -> DataFrame:
     """Outcomes (screen_id, outcome tp/fp/fn, tier, type): tp and fp by the prediction, fn by the truth, of the screens
-    that have both. Boxes meet on a grid, so a screen may hold any number of them."""
+    that have both. Screens with few boxes are matched in order; in others boxes meet on a grid, so a screen may hold any
+    number of them."""
+    many = crowded([predictions, truth], ["screen_id"])
+    if many is None:
+        return _in_order(predictions, truth, least, rescue)
+    few = _in_order(*[within(df, many, ["screen_id"], "left_anti") for df in (predictions, truth)], least, rescue)
+    return few.unionByName(_in_rounds(*[within(df, many, ["screen_id"]) for df in (predictions, truth)], least, rescue))
+
+
+def _in_order(predictions: DataFrame, truth: DataFrame, least: float, rescue: float) -> DataFrame:
+    """The rules of boxes.matched(), screen by screen: truths by item, then predictions by confidence, each of which takes
+    the open truth that it wishes most."""
+    told = lambda df, mine, *order: df.where("screen_id IS NOT NULL").select("screen_id", "type", F.col("tier").cast("int").alias("tier"), F.lit(mine).alias("mine"), *[c.alias(f"o_{k}") for k, c in enumerate(order)], *edges(F.col("bbox")))
+    none = lambda df, c: F.lit(None).cast(df.schema[c].dataType)
+    p = told(predictions, True, -F.coalesce("confidence", F.lit(0.0)), F.col("seq"), none(truth, "item_idx"))
+    t = told(truth, False, F.lit(None).cast("double"), none(predictions, "seq"), F.col("item_idx"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ["screen_id"]):
+            mine = table["mine"].combine_chunks().to_numpy(zero_copy_only=False)
+            start = np.flatnonzero(begins(table, ["screen_id", "type"]))
+            group = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(table))))
+            truths = np.bincount(group[~mine], minlength=len(start))
+            rows = np.flatnonzero(mine)
+            a, b = ranges(start[group[rows]], truths[group[rows]]), np.repeat(rows, truths[group[rows]])
+            meet, share, inside = overlaps(table, a, b)
+            wished = meet & ((share >= least) | (inside >= rescue))
+            a, b, score = a[wished], b[wished], np.where(share >= least, share, least)[wished]
+            order = np.lexsort((a, -score, b))
+            hit, last = np.zeros(len(table), bool), -1
+            for y, x in zip(a[order].tolist(), b[order].tolist(), strict=True):
+                if x != last and not hit[y]:
+                    hit[x] = hit[y] = True
+                    last = x
+            # of the screens that have both, all predictions and the truths that none took
+            screen = np.cumsum(begins(table, ["screen_id"])) - 1
+            n, own = np.bincount(screen), np.bincount(screen[mine], minlength=screen[-1] + 1)
+            kept = ((own > 0) & (own < n))[screen] & (mine | ~hit)
+            outcome = pa.array(np.where(~mine, "fn", np.where(hit, "tp", "fp")), pa.string())
+            yield from pa.table([table["screen_id"], outcome, table["tier"], table["type"]], names=["screen_id", "outcome", "tier", "type"]).filter(pa.array(kept)).to_batches()
+
+    dealt = p.unionByName(t).repartition("screen_id").sortWithinPartitions("screen_id", "type", "mine", "o_0", "o_1", "o_2")
+    return dealt.select("screen_id", "type", "tier", "mine", *[f"e_{k}" for k in range(4)]).mapInArrow(run, OUTCOME.format(dealt.schema["screen_id"].dataType.simpleString()))
+
+
+def _in_rounds(predictions: DataFrame, truth: DataFrame, least: float, rescue: float) -> DataFrame:
     both = lambda df, other: df.join(other.select("screen_id").distinct(), "screen_id", "left_semi")
-    found = matched(predictions, truth)
+    found = matched(predictions, truth, least, rescue)
     told = lambda df, outcome: df.select("screen_id", outcome.alias("outcome"), F.col("tier").cast("int").alias("tier"), "type")
     hits = both(predictions, truth).join(found.select("screen_id", "seq", F.lit(True).alias("hit")), ["screen_id", "seq"], "left")
     missed = both(truth, predictions).join(found.select("screen_id", F.col("truth").alias("item_idx")), ["screen_id", "item_idx"], "left_anti")
