@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.folds import apply_spans, match_spans
-from ..functions.text import blank_to_null, has_marker, masking_for, replacement_for, token_key
+from ..functions.text import blank_to_null, has_marker, let, masking_for, replacement_for, token_key
 from .detect import listed
 from .ordered import numbered
 from .rules import PATTERNS, matches
@@ -117,11 +117,16 @@ def violations(clean: DataFrame) -> DataFrame:
 
 def refuse_leaks(clean: DataFrame) -> DataFrame:
     """`clean` as it is, or an error when it is read and a row leaks: the closed gate."""
-    bad = F.lit(False)
-    for r in PATTERNS:
-        if r.context is None:
-            for f in ("label", "value"):
-                bad = bad | matches(r, F.col(f))
+    def leaks(row: Column) -> Column:
+        bad = F.lit(False)
+        for r in PATTERNS:
+            if r.context is None:
+                for f in ("label", "value"):
+                    bad = bad | matches(r, row[f])
+        return bad
+
+    # Spark moves the filter below what makes the fields; they are worked out once for all patterns
+    bad = let(F.struct("label", "value"), leaks)
     return clean.where(F.when(bad, F.raise_error(F.concat(F.lit("raw personal data at "), F.col("path"))).isNull()).otherwise(True))
 
 
