@@ -111,6 +111,28 @@ def test_forms_are_dealt_and_read_once(spark, tmp_path, capsys):
     assert capsys.readouterr().out.count("MapInArrow") == 1
 
 
+def test_plans_meet_once(spark, tmp_path, capsys):
+    """The nodes of a form meet once, on their way to its plan; nothing is kept or joined."""
+    spark.range(5000).selectExpr("id AS c_custkey", "'Customer#1' AS c_name", "1.5 AS c_acctbal", "'AUTO' AS c_mktsegment").write.parquet(f"{tmp_path}/customer.parquet")
+    queries.form_plans(spark, str(tmp_path)).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange hashpartitioning") == 1 and "InMemoryTableScan" not in plan and "Join" not in plan
+
+
+@pytest.mark.parametrize("threshold", [0.5, 1.0])
+def test_page_requests_are_those_of_the_tables(spark, threshold):
+    """Within a row: the summary that `sanitise` makes of a page, and the manifest, with the same tokens."""
+    odd = """<label for=u>User a.b@example.org</label><input id=u value=b><input id=p type=password value=x><input type=password><input type=password id=q>
+      <p>Mail A.B@example.org, c@d.example, +1 415 555 0100 or a.b@example.org</p><textarea>call +1 (415) 555-0100 or +44 20 7946 0958, 1990-01-31</textarea>
+      <dl><dt>Account holder</dt><dd>Ann Lee</dd><dt>Card number</dt><dd>4012 8888 8888 1881</dd></dl><input type=email value='a.b@example.org'><input type=email value=''>"""
+    long = "".join(f"<p>{i} u{i % 7}@x.example or +1 415 555 {1000 + i % 5}" for i in range(450))
+    found = detect.detect_nodes(html.snapshots(spark.createDataFrame([(1, odd), (2, long), (3, "<p>nothing</p>"), (4, None)], "page_id BIGINT, html STRING")), threshold)
+    got = {r["session_id"]: r for r in redact.page_requests(found).collect()}
+    named = redact.tokens_for(found)
+    want = queries._requests_of(found, named, F.col("snapshot_id")).select("session_id", "dom_summary", "redaction_manifest").collect()
+    assert got == {r["session_id"]: r for r in want} and {*got} == {"1", "2", "3"}
+
+
 @pytest.mark.parametrize("threshold", [0.0, 0.5, 0.96, 0.99, 1.0])
 def test_any_threshold(spark, threshold):
     """However high the threshold, detection runs, unread passwords are declared, and the gate sees what is left."""

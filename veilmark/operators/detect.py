@@ -86,14 +86,17 @@ def detect_nodes(nodes: DataFrame, threshold: float = 0.5) -> DataFrame:
     return out.withColumn("spans", F.map_from_arrays(F.array(*map(F.lit, FIELDS)), F.transform(said, own)))
 
 
-def listed(found: DataFrame, head: Sequence[str]) -> DataFrame:
-    """The columns of `head` and one row per detection, in one pass: its field, what it is, and where it stands; without a
-    start it claims the whole field."""
+def of_node() -> Column:
+    """All detections of a node: its field, what it is, and where it stands; without a start it claims the whole field."""
     whole = F.struct(F.col("data_field").alias("field"), *[F.col(f"whole.{c}").alias(c) for c in KEPT], *[F.lit(None).cast("int").alias(c) for c in ("start", "end")], F.lit(-1).alias("seq"))
     spans = F.transform(F.map_entries("spans"), lambda e: F.transform(e["value"], lambda s: F.struct(e["key"].alias("field"), *[s[c].alias(c) for c in (*KEPT, "start", "end", "seq")])))
     # an expression, not a column: of a column Spark would infer a filter, and evaluate it once more below all that made it
-    every = F.concat(F.when(F.col("whole").isNotNull(), F.array(whole)).otherwise(F.array().cast(f"array<{LISTED}>")), F.flatten(spans).cast(f"array<{LISTED}>"))
-    return found.select(*head, F.explode(every).alias("d")).select(*head, "d.*")
+    return F.concat(F.when(F.col("whole").isNotNull(), F.array(whole)).otherwise(F.array().cast(f"array<{LISTED}>")), F.flatten(spans).cast(f"array<{LISTED}>"))
+
+
+def listed(found: DataFrame, head: Sequence[str]) -> DataFrame:
+    """The columns of `head` and one row per detection, in one pass."""
+    return found.select(*head, F.explode(of_node()).alias("d")).select(*head, "d.*")
 
 
 def detections(found: DataFrame) -> DataFrame:

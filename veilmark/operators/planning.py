@@ -7,7 +7,7 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import has_marker
+from ..functions.text import has_marker, let
 from .ordered import up_to_first, with_prior
 
 ACTION = "struct<action:string,selector:string,value:string,value_ref:string>"
@@ -24,13 +24,28 @@ class Planner(Protocol):
     def __call__(self, requests: DataFrame) -> DataFrame: ...
 
 
+def _allowed() -> list[Column]:
+    """Of a request its paths and, of these, those of tier 1."""
+    return [F.transform("dom_summary", lambda n: n["path"]).alias("paths"), F.transform(F.filter("redaction_manifest", lambda m: (m["tier"] == 1) & (F.coalesce(m["dom_path"], F.lit("")) != "")), lambda m: m["dom_path"]).alias("tier1")]
+
+
 def constrain(plans: DataFrame, requests: DataFrame, session: str = "session_id") -> DataFrame:
     """One row per proposed action: its position, and `rejection`, the first rule that it breaks, or null if it may run.
 
     A selector must be among the paths of its session's dom_summary; a tier-1 path takes references, never literals.
     """
-    paths = requests.select(session, F.transform("dom_summary", lambda n: n["path"]).alias("paths"), F.transform(F.filter("redaction_manifest", lambda m: (m["tier"] == 1) & (F.coalesce(m["dom_path"], F.lit("")) != "")), lambda m: m["dom_path"]).alias("tier1"))
-    rows = plans.select(session, F.posexplode("actions").alias("position", "a")).select(session, "position", "a.*").join(paths, session, "left")
+    rows = plans.select(session, F.posexplode("actions").alias("position", "a")).select(session, "position", "a.*")
+    return _judged(rows.join(requests.select(session, *_allowed()), session, "left"), session)
+
+
+def rules_constrained(requests: DataFrame, session: str = "session_id") -> DataFrame:
+    """What `constrain` says of the rule planner's plans, where plan and request are still one row."""
+    rows = requests.select(session, "dom_summary", "redaction_manifest", *_allowed())
+    # an expression, not a column: of a column Spark would infer a filter, and evaluate it once more below all that made it
+    return _judged(rows.select(session, "paths", "tier1", F.posexplode(rule_actions()).alias("position", "a")).select(session, "paths", "tier1", "position", "a.*"), session)
+
+
+def _judged(rows: DataFrame, session: str) -> DataFrame:
     selector = F.coalesce("selector", F.lit(""))
     known = F.coalesce(F.array_contains("paths", selector), F.lit(False))
     both = F.col("value").isNotNull() == F.col("value_ref").isNotNull()
@@ -54,18 +69,23 @@ def executable(judged: DataFrame, session: str = "session_id") -> DataFrame:
     return kept.select(session, F.transform("k", lambda x: F.struct(x["action"], x["selector"], x["value"], x["value_ref"]).cast(ACTION)).alias("actions"), "requires_client_secret")
 
 
-def rule_planner(requests: DataFrame, session: str = "session_id") -> DataFrame:
-    """A sign-in form's fields and button, first ones in page order; an empty plan where there is none."""
+def rule_actions() -> Column:
+    """A sign-in form's fields and button, first ones in page order; none where there is no form."""
     hint = lambda n, words: F.coalesce(n["label"], F.lit("")).rlike("(?i)" + words)
     tier1 = F.transform(F.filter("redaction_manifest", lambda m: m["tier"] == 1), lambda m: m["dom_path"])
-    user = F.filter("dom_summary", lambda n: n["role"].isin("textbox", "searchbox") & ~F.coalesce(F.array_contains(tier1, n["path"]), F.lit(False)) & hint(n, r"user|customer|login|account\s*id|email"))
+    user = let(tier1, lambda t: F.filter("dom_summary", lambda n: n["role"].isin("textbox", "searchbox") & ~F.coalesce(F.array_contains(t, n["path"]), F.lit(False)) & hint(n, r"user|customer|login|account\s*id|email")))
     submit = F.filter("dom_summary", lambda n: (n["role"] == "button") & hint(n, r"sign\s*in|log\s*in|submit|continue|next"))
     secret = F.filter("redaction_manifest", lambda m: m["type"] == "password")
     first = lambda a, f: F.try_element_at(a, F.lit(1))[f]
     none = F.lit(None).cast("string")
     act = lambda verb, path, ref: F.when(F.coalesce(path, F.lit("")) != "", F.struct(F.lit(verb).alias("action"), path.alias("selector"), none.alias("value"), ref.alias("value_ref")).cast(ACTION))
-    actions = F.array_compact(F.array(act("type", first(user, "path"), F.lit("user_saved:username")), act("type", first(secret, "dom_path"), F.lit("user_saved:password")), act("click", first(submit, "path"), none)))
-    return requests.select(session, actions.alias("actions")).withColumn("requires_client_secret", F.exists("actions", lambda a: a["value_ref"].isNotNull()))
+    found = F.struct(first(user, "path").alias("user"), first(secret, "dom_path").alias("secret"), first(submit, "path").alias("submit"))
+    return let(found, lambda x: F.array_compact(F.array(act("type", x["user"], F.lit("user_saved:username")), act("type", x["secret"], F.lit("user_saved:password")), act("click", x["submit"], none))))
+
+
+def rule_planner(requests: DataFrame, session: str = "session_id") -> DataFrame:
+    """A plan of `rule_actions` for each request."""
+    return requests.select(session, rule_actions().alias("actions")).withColumn("requires_client_secret", F.exists("actions", lambda a: a["value_ref"].isNotNull()))
 
 
 def user_message(requests: DataFrame) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.folds import apply_spans, match_spans
 from ..functions.text import blank_to_null, has_marker, let, masking_for, replacement_for, token_key
-from .detect import listed
+from .detect import listed, of_node
 from .ordered import numbered
 from .rules import PATTERNS, matches
 
@@ -75,6 +75,46 @@ def manifest(nodes: DataFrame, named: DataFrame, session: str = "session_id") ->
     return listed.unionByName(declared)
 
 
+def page_requests(found: DataFrame) -> DataFrame:
+    """A row per page that is a session of its own, with what a planner is told: `dom_summary`, its nodes in order as `sanitise`
+    leaves them, and `redaction_manifest`, what `manifest` lists. The nodes of a page are few enough for one row, so they meet once;
+    tokens are numbered, fields replaced and unread passwords declared inside the row."""
+    field = lambda d: F.when(d["field"] == "value", F.col("value")).when(d["field"] == "text", F.col("text")).otherwise(F.col("label"))
+    content = lambda d: blank_to_null(F.when(d["start"].isNull(), field(d)).otherwise(F.substring(field(d), d["start"] + 1, d["end"] - d["start"])))
+    rank = lambda d: F.when(d["field"] == "value", 0).when(d["field"] == "text", 1).otherwise(2)
+    mark = lambda d, x: F.struct(rank(d).alias("field_order"), F.coalesce(d["start"], F.lit(-1)).alias("place"), *[d[c].alias(c) for c in ("field", "start", "end", "type", "tier")], x.alias("content"), token_key(d["type"], x, "path").alias("key"))
+    marks = F.array_sort(F.transform(of_node(), lambda d: let(content(d), lambda x: mark(d, x))))
+    data = F.when(F.col("data_field") == "value", F.col("value")).otherwise(F.col("text"))
+    unread = F.coalesce((F.col("value_omitted") == "password") & blank_to_null("value").isNull(), F.lit(False))
+    node = F.struct("node_seq", "path", "role", "label", data.alias("data"), "data_field", unread.alias("unread"), marks.alias("marks"))
+    rows = found.select("snapshot_id", node.alias("node")).groupBy("snapshot_id").agg(F.array_sort(F.collect_list("node")).alias("nodes"))
+
+    of_all = lambda f: F.flatten(F.transform("nodes", lambda n: F.transform(n["marks"], lambda m: f(n, m))))
+    kinds, keys = (F.array_distinct(of_all(lambda n, m, c=c: m[c])) for c in ("type", "key"))
+    own = lambda keys, t: F.filter(keys, lambda k: k.startswith(F.concat(t, F.lit(":"))) | k.startswith(F.concat(t, F.lit("@"))))
+    # by `let`, as a column that lambdas name may be put into them and worked out for each of their values
+    numbers = let(keys, lambda keys: F.transform(kinds, lambda t: F.transform(own(keys, t), lambda k, i: F.struct(k.alias("key"), F.concat(F.upper(t), F.lit("_"), (i + 1).cast("string")).alias("token")))))
+    tokens = F.map_from_entries(F.flatten(numbers))
+
+    def clean(n: Column, tokens: Column, name: Column, x: Column) -> Column:
+        own = F.filter(n["marks"], lambda m: m["field"] == name)
+        done = lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), replacement_for(m["type"], m["tier"], F.try_element_at(tokens, m["key"]), m["content"]).alias("replacement"))
+        first = lambda o: F.get(o, F.lit(0))
+        return let(F.transform(own, done), lambda o: F.when(F.size(o) == 0, x).when(first(o)["start"].isNull(), first(o)["replacement"]).otherwise(apply_spans(x, o)))
+
+    value = lambda n, tokens: F.when(n["unread"], "[REDACTED:PASSWORD]").otherwise(clean(n, tokens, n["data_field"], n["data"]))
+    summary = lambda tokens: F.transform("nodes", lambda n: F.struct(n["path"].alias("path"), n["role"].alias("role"), clean(n, tokens, F.lit("label"), n["label"]).alias("label"), value(n, tokens).alias("value")))
+    entry = lambda n, token, kind, tier: F.struct(n["node_seq"].alias("node_seq"), token.alias("id"), kind.alias("type"), tier.alias("tier"), n["path"].alias("dom_path"), masking_for(kind, tier).alias("masking"))
+    password, by_path = F.lit("password"), lambda n: token_key(F.lit("password"), F.lit(None).cast("string"), n["path"])
+    left = F.filter("nodes", lambda n: n["unread"] & ~F.exists(n["marks"], lambda m: m["type"] == password))
+    number = lambda unread, n: F.array_position(F.array_distinct(F.transform(unread, by_path)), by_path(n)).cast("string")
+    declared = let(left, lambda unread: F.transform(unread, lambda n: entry(n, F.concat(F.lit("PASSWORD_"), number(unread, n)), password, F.lit(1))))
+    entries = lambda tokens: F.array_sort(F.concat(of_all(lambda n, m: entry(n, F.try_element_at(tokens, m["key"]), m["type"], m["tier"])), declared))
+    brief = lambda tokens: F.transform(entries(tokens), lambda m: F.struct(*[m[c].alias(c) for c in ("id", "type", "tier", "dom_path", "masking")]))
+    told = let(tokens, lambda t: F.struct(summary(t).alias("dom_summary"), brief(t).alias("redaction_manifest")))
+    return rows.select(F.col("snapshot_id").alias("session_id"), told.alias("told")).select("session_id", "told.*")
+
+
 def faces(found: DataFrame) -> DataFrame:
     """Faces as manifest rows: blurred, keyed by their number in the capture."""
     return found.select("snapshot_id", "face", F.concat(F.lit("FACE_"), (F.col("face") + 1).cast("string")).alias("id"), F.lit("face").alias("type"), F.lit(1).alias("tier"), "bbox", F.lit("").alias("dom_path"), F.lit("blur").alias("masking"), F.lit("onnx:ultraface-rfb320").alias("detector"), F.col("score").alias("confidence"))

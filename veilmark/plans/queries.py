@@ -203,8 +203,7 @@ def page_violations(spark: SparkSession, sf: str) -> DataFrame:
 
 def page_plans(spark: SparkSession, sf: str) -> DataFrame:
     """What the rule planner does on each page, as far as every action may run; a page without a form has no rows."""
-    requests = _requests_of(*_page_named(spark, sf), F.col("snapshot_id"))
-    judged = planning.constrain(planning.rule_planner(requests), requests)
+    judged = planning.rules_constrained(redact.page_requests(detect.detect_nodes(html.snapshots(pages(spark, sf)))))
     return judged.select(F.col("session_id").cast("bigint").alias("page_id"), "position", "action", "selector", "value_ref", "rejection")
 
 
@@ -265,8 +264,7 @@ def form_manifest(spark: SparkSession, sf: str) -> DataFrame:
 
 def form_plans(spark: SparkSession, sf: str) -> DataFrame:
     """What the rule planner does on each form, as far as every action may run."""
-    requests = _requests_of(*_form_named(spark, sf), F.col("snapshot_id"))
-    judged = planning.constrain(planning.rule_planner(requests), requests)
+    judged = planning.rules_constrained(redact.page_requests(detect.detect_nodes(html.snapshots(_forms(spark, sf)))))
     return judged.select(F.col("session_id").cast("bigint").alias("page_id"), "position", "action", "value_ref", "rejection")
 
 
